@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlake.llm.components import components
-from scholarlake.llm.tools import checkpointed, signed, texts
+from scholarlake.llm.components import components, merged
+from scholarlake.llm.tools import checkpointed, discard, signed, texts
 from scholarlake.llm.words import BASE, MASK, U, Words, mix, salted, slices, windows
 
 #: At similarity 0.8 a pair is missed by all bands with probability 1.3e-7.
@@ -148,39 +148,49 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     first = F.min(F.struct("doc_id", "n", "bands"))
     classes = checkpointed(members.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(first.alias("r")).select("d1", "d2", "r.*"))
     light = members.select("doc_id", "n", "d1", "d2")
-    rep_docs = docs
 
     cells = classes.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket"))
     hubs = cells.groupBy("bucket").agg(F.min(F.struct(rank("rep").alias("k"), "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     cells = checkpointed(cells.join(hubs.select("bucket", F.col("hub.k.c").alias("hub"), F.col("hub.n").alias("hub_n"), "m"), "bucket"))
-    sized = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    pairs = cells.filter("rep != hub").filter(sized).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    similar = lambda n, other: 100 * F.least(n, other) >= percent * F.greatest(n, other)
+    pairs = cells.filter("rep != hub").filter(similar("n", "hub_n")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     tested = checkpointed(pairs)
-    links = checkpointed(confirmed(tested, rep_docs, width, percent))
-    spread = 8
-    roots = components(links) if not links.isEmpty() else None
-    # Buckets that repeat another bucket's classes need no second look.
-    big = cells.filter("m > 2")
+    links = checkpointed(confirmed(tested, docs, width, percent))
+    roots = None if links.isEmpty() else components(links)
+    discard(links)
+    spread, rest = 8, cells.filter("m > 2").select("bucket", "rep", "n", "m")
     while True:
-        placed = big if roots is None else big.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        placed = placed.withColumn("root", F.col("rep") if roots is None else F.coalesce("root", "rep"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-        placed = checkpointed(placed.join(mixed, "bucket", "left_semi").select("bucket", "rep", "n", "m", "root"))
-        # Pivots: each class of a bucket with probability spread / m, at last all.
-        chance = (F.pmod(F.xxhash64("rep", "bucket", F.lit(spread)), F.lit(1 << 20)) * F.col("m")) < F.lit(spread << 20)
-        pivots = placed.filter(chance).select("bucket", F.col("rep").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root"))
-        cross = placed.join(pivots, "bucket").filter("root != p_root").filter(100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
-        cross = cross.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        cross = checkpointed(cross)
-        largest = placed.agg(F.max("m")).first()[0]
+        # What is left: buckets that hold several components.
+        placed = rest.withColumn("root", F.col("rep")) if roots is None else rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        placed = checkpointed(placed.select("bucket", "rep", "n", "m", "root"))
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).filter("lo != hi").select("bucket", "rows")
+        left = checkpointed(placed.join(mixed, "bucket").drop("rows"))
+        discard(placed, rest)
+        # Pairs across components, counted without making them.
+        same = left.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
+        total, biggest = same.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.max("n")).first()
+        if not total:
+            break
+        # Pivots: every class if that makes no more pairs than twice the cells, else with probability spread / m.
+        every = total <= 2 * cells.count() or spread >= biggest
+        chance = F.pmod(F.xxhash64("rep", "bucket", F.lit(spread)), F.lit(1 << 20)) * F.col("m") < F.lit(spread << 20)
+        pivots = left.filter(F.lit(True) if every else chance).select("bucket", F.col("rep").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root"))
+        cross = left.join(pivots, "bucket").filter("root != p_root and rep != p").filter(similar("n", "p_n"))
+        if every:
+            cross = cross.filter("rep < p")
+        cross = cross.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        cross = checkpointed(cross.join(tested, ["a", "b"], "left_anti"))
         if not cross.isEmpty():
-            tested = tested.union(cross)
-            more = checkpointed(confirmed(cross, rep_docs, width, percent))
+            more = checkpointed(confirmed(cross, docs, width, percent))
             if not more.isEmpty():
-                links = checkpointed(links.union(more))
-                roots = components(links)
-        if largest is None or spread >= largest:
+                roots = merged(roots, more)
+            discard(more)
+        if every:
             break
+        joined = checkpointed(tested.union(cross))
+        discard(tested, cross)
+        tested, rest = joined, left.drop("root")
+        rest._stored_at = left._stored_at
         spread *= 8
 
     if roots is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,16 +20,36 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; only a session without one (tests, local mode) gets its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scholarlake-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, stored in the session's shared checkpoint folder.
+    """``df`` written as Parquet to the shared folder and read again: no lineage, no inherited constraints.
 
-    Only a session without ``spark.checkpoint.dir`` (tests, local mode) gets a folder of its own.
+    The files go with `discard`, or when the driver's JVM ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scholarlake-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of checkpointed frames that no plan needs any more."""
+    for df in frames:
+        if df is not None and hasattr(df, "_stored_at"):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def n_parts(spark: SparkSession) -> int:
