@@ -9,10 +9,13 @@ as independent ones do. Bands of coordinates give candidate buckets, and each
 candidate is confirmed on its full shingle sets.
 
 Equal sets are one class from the start. A bucket never emits all its pairs:
-first each class meets the bucket's hub; then, only where a bucket still holds
-several components, growing random pivots meet the members of the other
-components, until no bucket has an untested pair across components. So no
-candidate link between components is lost.
+first each class meets the bucket's hub. What is left are buckets that hold
+several components. Their classes are joined on prefixes: of a set's shingles
+in one global order, rare ones first, two sets at the threshold share one among
+their first size - ceil(threshold * size) + 1. So classes that can have no link
+meet nobody, however large their bucket. Shingles that still join several
+components are swept, by random pivots first if there are many pairs, until no
+untested pair across components is left; no link between components is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from scholarlake.llm.words import BASE, MASK, U, Words, mix, salted, slices, win
 
 #: At similarity 0.8 a pair is missed by all bands with probability 1.3e-7.
 BANDS, BAND_ROWS = 40, 5
+#: Counters of shingle frequencies; ids that may be broadcast; pairs swept without pivots, at least.
+COUNTERS, BROADCAST_IDS, SWEEP_PAIRS = 1 << 18, 1 << 20, 50_000
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,16 +123,116 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, s array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids``: broadcast where their number is small, else joined."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (a, b) whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), width)
     with_a = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return with_b.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle, counted in ``COUNTERS`` hashed counters (an order needs no more)."""
+    lanes = 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            values = np.asarray(batch.column(batch.schema.get_field_index("s")).flatten()).view(U)
+            total += np.bincount((salted(values, 61) % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        for lane in range(lanes):
+            mine = at[at % lanes == lane]
+            if len(mine):
+                yield pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([mine], pa.list_(pa.int64())), pa.array([total[mine]], pa.list_(pa.int64()))], names=["lane", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(np.asarray(batch.column(1).flatten()), weights=np.asarray(batch.column(2).flatten()), minlength=COUNTERS).astype(np.int64)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([at], pa.list_(pa.int64())), pa.array([total[at]], pa.list_(pa.int64()))], names=["lane", "at", "n"])
+
+    schema = "lane int, at array<long>, n array<long>"
+    out = np.zeros(COUNTERS, np.int64)
+    for r in sets.mapInArrow(count, schema).repartition("lane").mapInArrow(add, schema).collect():
+        out[np.array(r.at)] += np.array(r.n)
+    return out
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, bucket: one row for each shingle of a set's prefix)."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, out = [], [], []
+            for doc_id, s in zip(batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("s"))):
+                s = np.asarray(s.values).view(U)
+                h = salted(s, 61)
+                order = np.lexsort((h, shared.value[(h % U(COUNTERS)).astype(np.int64)]))
+                first = s[order[: len(s) - (percent * len(s) + 99) // 100 + 1]]
+                ids.append(np.full(len(first), doc_id))
+                sizes.append(np.full(len(first), len(s)))
+                out.append(first)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(signed(np.concatenate(out)))], names=["rep", "n", "bucket"])
+
+    return sets.mapInArrow(run, "rep long, n long, bucket long")
+
+
+def unsettled(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows of ``cells(bucket, rep, n)`` in buckets that hold several components, with their component."""
+    if roots is None:
+        placed = cells.withColumn("root", F.col("rep"))
+    else:
+        placed = cells.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = checkpointed(placed.select("bucket", "rep", "n", "root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
+    out = checkpointed(placed.join(mixed, "bucket"))
+    discard(placed)
+    return out
+
+
+def sweep(cells: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: int, limit: int) -> DataFrame | None:
+    """Components after all pairs across components that share a bucket are tested.
+
+    Where these are more than ``limit``, random pivots of the buckets are
+    tested first, ever more of them, for links found shrink what is left.
+    """
+    spread = 1
+    while True:
+        left = unsettled(cells, roots)
+        same = left.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
+        total, rows, biggest = same.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n"), F.max("n")).first()
+        if not total:
+            discard(left)
+            return roots
+        every = total <= limit or spread >= biggest
+        if every:
+            pivots = left
+        else:
+            m = left.groupBy("bucket").agg(F.count("*").alias("m"))
+            chance = F.pmod(F.xxhash64("rep", "bucket", F.lit(spread)), F.lit(1 << 20)) * F.col("m") < F.lit(spread << 20)
+            pivots = left.join(m, "bucket").filter(chance)
+        pivots = pivots.select("bucket", F.col("rep").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root"))
+        cross = left.join(pivots, "bucket").filter("root != p_root" + (" and rep < p" if every else "")).filter(100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
+        cross = checkpointed(cross.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct())
+        more = checkpointed(confirmed(cross, sets, percent))
+        if not more.isEmpty():
+            roots = merged(roots, more)
+        discard(left, cross, more)
+        if every:
+            return roots
+        spread *= 4
+
+
 def rank(column: str):
     """A fixed random order of classes: a hub is the same class in all buckets of a cluster."""
     return F.struct(F.xxhash64(F.col(column)).alias("h"), F.col(column).alias("c"))
@@ -152,46 +257,19 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     cells = classes.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket"))
     hubs = cells.groupBy("bucket").agg(F.min(F.struct(rank("rep").alias("k"), "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     cells = checkpointed(cells.join(hubs.select("bucket", F.col("hub.k.c").alias("hub"), F.col("hub.n").alias("hub_n"), "m"), "bucket"))
-    similar = lambda n, other: 100 * F.least(n, other) >= percent * F.greatest(n, other)
-    pairs = cells.filter("rep != hub").filter(similar("n", "hub_n")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    tested = checkpointed(pairs)
-    links = checkpointed(confirmed(tested, docs, width, percent))
+    # Classes that share a bucket: their full sets are made once.
+    sets = checkpointed(full_sets(only(docs, cells.select(F.col("rep").alias("doc_id")).distinct()), width).dropDuplicates(["doc_id"]))
+    close = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    pairs = checkpointed(cells.filter("rep != hub").filter(close).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
+    links = checkpointed(confirmed(pairs, sets, percent))
     roots = None if links.isEmpty() else components(links)
-    discard(links)
-    spread, rest = 8, cells.filter("m > 2").select("bucket", "rep", "n", "m")
-    while True:
-        # What is left: buckets that hold several components.
-        placed = rest.withColumn("root", F.col("rep")) if roots is None else rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        placed = checkpointed(placed.select("bucket", "rep", "n", "m", "root"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).filter("lo != hi").select("bucket", "rows")
-        left = checkpointed(placed.join(mixed, "bucket").drop("rows"))
-        discard(placed, rest)
-        # Pairs across components, counted without making them.
-        same = left.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        total, biggest = same.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.max("n")).first()
-        if not total:
-            break
-        # Pivots: every class if that makes no more pairs than twice the cells, else with probability spread / m.
-        every = total <= 2 * cells.count() or spread >= biggest
-        chance = F.pmod(F.xxhash64("rep", "bucket", F.lit(spread)), F.lit(1 << 20)) * F.col("m") < F.lit(spread << 20)
-        pivots = left.filter(F.lit(True) if every else chance).select("bucket", F.col("rep").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root"))
-        cross = left.join(pivots, "bucket").filter("root != p_root and rep != p").filter(similar("n", "p_n"))
-        if every:
-            cross = cross.filter("rep < p")
-        cross = cross.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-        cross = checkpointed(cross.join(tested, ["a", "b"], "left_anti"))
-        if not cross.isEmpty():
-            more = checkpointed(confirmed(cross, docs, width, percent))
-            if not more.isEmpty():
-                roots = merged(roots, more)
-            discard(more)
-        if every:
-            break
-        joined = checkpointed(tested.union(cross))
-        discard(tested, cross)
-        tested, rest = joined, left.drop("root")
-        rest._stored_at = left._stored_at
-        spread *= 8
+    left = unsettled(cells.filter("m > 2").select("bucket", "rep", "n"), roots)
+    if not left.isEmpty():
+        some = checkpointed(sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        rare = checkpointed(prefixes(some, percent))
+        roots = sweep(rare, roots, sets, percent, max(SWEEP_PAIRS, members.count() // 2))
+        discard(some, rare)
+    discard(left, cells, sets, pairs, links)
 
     if roots is None:
         named = classes.select("d1", "d2", F.col("doc_id").alias("component_id"))
