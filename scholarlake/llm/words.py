@@ -84,13 +84,19 @@ class Words:
     text's first word (one more entry than texts); ``hash``: word hashes.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False, seed: int = 0, hashed: bool = True):
+    def __init__(self, column: pa.Array, lower: bool = False, seed: int = 0, hashed: bool = True, letters: bool = False):
+        """``letters``: words are runs of letters, digits and non-ASCII bytes instead, and ``lower`` also folds U+00C0 to U+00DE."""
         data, self.offsets = raw_text(column)
         if lower:
             data = data + ((data >= 65) & (data <= 90)) * np.uint8(32)
+        if letters and lower and len(data):
+            data[1:] += ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) * np.uint8(32)
         self.data = data
         n = len(data)
-        solid = (data != 32) & ((data < 9) | (data > 13))
+        if letters:
+            solid = (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 65) & (data <= 90)) | ((data >= 48) & (data <= 57))
+        else:
+            solid = (data != 32) & ((data < 9) | (data > 13))
         edge = np.zeros(n + 1, bool)
         edge[self.offsets] = True
         opens = solid.copy()
@@ -109,8 +115,12 @@ class Words:
         step = byte_values(seed)[self.data]
         step *= powers(BASE, len(self.data))
         np.cumsum(step, out=total[1:])
-        back = powers(BASE_INV, len(self.data) + 1)
-        return mix((total[self.end] - total[self.start]) * back[self.start])
+        self.total, self.back = total, powers(BASE_INV, len(self.data) + 1)[self.start]
+        return mix((total[self.end] - total[self.start]) * self.back)
+
+    def prefix_hash(self, n: int) -> np.ndarray:
+        """Hashes of the words' first ``n`` bytes (of the whole word where it is shorter)."""
+        return mix((self.total[np.minimum(self.start + n, self.end)] - self.total[self.start]) * self.back)
 
     def doc_of(self) -> np.ndarray:
         """Index of the text that holds each word."""
