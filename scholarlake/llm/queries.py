@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholarlake.llm.decontaminate import contamination
 from scholarlake.llm.exact_dedup import exact_dedup
+from scholarlake.llm.langid import language
+from scholarlake.llm.lm import lm_scores
+from scholarlake.llm.mixing import label_domains, mix
 from scholarlake.llm.near_dedup import near_dedup
+from scholarlake.llm.secrets import secrets
+from scholarlake.llm.substring_dedup import substring_dedup
+from scholarlake.llm.suffix_dedup import suffix_dedup
+from scholarlake.llm.toxicity import toxicity as toxicity_scores
+
+#: Shares of tokens that the mix aims at, by quality and toxicity label.
+DOMAIN_WEIGHTS = {"q1t0": 0.90, "q0t0": 0.08, "q1t1": 0.02}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +27,53 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir), label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), DOMAIN_WEIGHTS)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), width=2, percent=80)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(documents(spark, sf_dir))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(documents(spark, sf_dir)).drop("lang_shares")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_soft_mixing": op3_soft_mixing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_decontamination": op7_decontamination,
+    "op8_debruijn_dedup": op8_debruijn_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_language": op10_language,
 }
 
 ORACLES = {
