@@ -136,13 +136,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: sets are long."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def frequencies(sets: DataFrame) -> np.ndarray:
     """How many sets hold a shingle, counted in ``COUNTERS`` hashed counters (an order needs no more)."""
     lanes = 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             values = np.asarray(batch.column(batch.schema.get_field_index("s")).flatten()).view(U)
             total += np.bincount((salted(values, 61) % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         at = np.flatnonzero(total)
@@ -171,7 +178,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, sizes, out = [], [], []
             for doc_id, s in zip(batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("s"))):
                 s = np.asarray(s.values).view(U)
