@@ -52,7 +52,7 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 class Blocks:
     """The documents (doc_id, text) in blocks; ``per_part``: blocks and buckets per shuffle partition."""
 
-    def __init__(self, docs: DataFrame, per_part: int = 4):
+    def __init__(self, docs: DataFrame, per_part: int = 1):
         self.parts = n_parts(docs.sparkSession)
         self.n = self.parts * per_part
         block = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(self.n)).cast("int")
