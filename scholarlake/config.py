@@ -22,15 +22,19 @@ def load_env(path: str | os.PathLike, env: dict[str, str] | None = None) -> dict
     return found
 
 
-def profile_prefs(root: str | os.PathLike, *names: str) -> dict[str, str]:
-    """Settings of the first profile folder (by name) whose ``prefs.js`` has any of ``names``."""
+# The two settings of a profile that say where attachments are.
+PREFS = {"data_dir": "extensions.zotero.dataDir", "linked_base": "extensions.zotero.baseAttachmentPath"}
+
+
+def profile_prefs(root: str | os.PathLike) -> dict[str, str]:
+    """``PREFS`` of the profiles below ``root``: each from the first profile (by name) that has it."""
+    found: dict[str, str] = {}
     for prefs in sorted(Path(root).glob("*/prefs.js")):
-        text = prefs.read_text(encoding="utf-8", errors="ignore")
-        pairs = dict(re.findall(r'user_pref\("([^"]+)",\s*"?((?:[^"\\]|\\.)*?)"?\);', text))
-        found = {n: pairs[n].replace("\\\\", "\\") for n in names if n in pairs}
-        if found:
-            return found
-    return {}
+        pairs = dict(re.findall(r'user_pref\("([^"]+)",\s*"([^"]+)"\)', prefs.read_text(encoding="utf-8", errors="ignore")))
+        for name, setting in PREFS.items():
+            if setting in pairs:
+                found.setdefault(name, pairs[setting])
+    return found
 
 
 def ocr_backend(env: dict[str, str]) -> str:

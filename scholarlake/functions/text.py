@@ -7,16 +7,17 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Chunk widths, page marker, OCR line format and kinds, slug characters.
 CHUNK_WIDTH, CHUNK_STEP, WHOLE_LIMIT = 900, 780, 1350
 MARKER = r"\*\*\[p\.([^\]]+)\]\*\*"
 MARKER_SPLIT = r"\*\*\[p\.[^\]]+\]\*\*"
-OCR_LINE = r"^<\|ref\|>(\w+)<\|/ref\|><\|det\|>\[\[(-?\d+), ?(-?\d+), ?(-?\d+), ?(-?\d+)\]\]<\|/det\|>(.*)$"
+OCR_LINE = r"^([a-z_]+)\s*\[(-?\d+),\s*(-?\d+),\s*(-?\d+),\s*(-?\d+)\](.*)$"
 DROPPED_KINDS = ("header", "footer", "page_number", "aside_text")
 UNSAFE = r'[\\/:*?"<>|]+'
 NEWLINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
-UNTITLED, ANONYMOUS, NO_YEAR = "untitled", "anon", "n.d."
+UNTITLED, ANONYMOUS, NO_YEAR, AND_OTHERS = "untitled", "佚名", "无年份", " 等("
 
 
 def py_strip(x: Column) -> Column:
@@ -28,7 +29,7 @@ def empty_to_null(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
@@ -55,8 +56,8 @@ def stable_key(path: Column) -> Column:
 
 
 def html_strip(x: Column, width: int | None = None) -> Column:
-    """Tags to spaces, trimmed, optionally cut."""
-    plain = py_strip(F.regexp_replace(x, r"<[^>]+>", " "))
+    """Tags to spaces, optionally cut."""
+    plain = F.regexp_replace(x, r"<[^>]+>", " ")
     return F.substring(plain, 1, width) if width else plain
 
 
@@ -66,7 +67,7 @@ def safe_name(x: Column) -> Column:
 
 def truncated(x: Column, width: int = 200_000) -> Column:
     """The first ``width`` code points, with a note of the full length where cut."""
-    note = F.concat(F.substring(x, 1, width), F.lit("\n\n[truncated, "), F.length(x).cast("string"), F.lit(" characters in all]"))
+    note = F.concat(F.substring(x, 1, width), F.lit("\n\n…（已截断，全文 "), F.length(x).cast("string"), F.lit(" 字符）"))
     return F.when(F.length(x) > width, note).otherwise(x)
 
 
@@ -95,10 +96,10 @@ def windows(body: Column) -> Column:
 
 def creator_summary(creators: Column) -> Column:
     """"" for none, the name for one, else the first and the number: last name, else name."""
-    name = lambda c: F.coalesce(empty_to_null(c["lastName"]), empty_to_null(c["name"]), empty_to_null(c["firstName"]), F.lit(""))
+    name = lambda c: F.coalesce(empty_to_null(c["lastName"]), empty_to_null(c["name"]), F.lit(""))
     first = name(F.get(creators, F.lit(0)))
     n = F.coalesce(F.size(creators), F.lit(0))
-    return F.when(n == 0, "").when(n == 1, first).otherwise(F.concat(first, F.lit(" et al. ("), n.cast("string"), F.lit(")")))
+    return F.when(n == 0, "").when(n == 1, first).otherwise(F.concat(first, F.lit(AND_OTHERS), n.cast("string"), F.lit(")")))
 
 
 def year_of(date: Column) -> Column:
