@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scholarlake.functions.vectors import cosine, doubles, normalised
 from scholarlake.sources.engines import Embedder
@@ -34,11 +35,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 8, key: str = "key", qu
     query's value; ``but_self``: without the row of the query's key.
     """
     columns = [query_key, "vector", *([scope] if scope else [])]
-    block = queries.select(*columns).withColumn("part", F.lit(0))
     n = queries.count()
     parts = max(1, -(-n // QUERY_BLOCK))
     key_type = dict(vectors.dtypes)[key]
-    q_type = dict(queries.dtypes)[query_key]
+    q_type, q_arrow = dict(queries.dtypes)[query_key], to_arrow_type(queries.schema[query_key].dataType)
     out = None
     for i in range(parts):
         block = queries.select(*columns).filter(F.pmod(F.xxhash64(query_key), F.lit(parts)) == i).collect()
@@ -68,7 +68,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 8, key: str = "key", qu
                     rows[0].extend([q_keys[i]] * len(best))
                     rows[1].extend(keys[best].tolist())
                     rows[2].extend(sim[i, best].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], pa.float64())], names=[query_key, key, "sim"]) if rows[0] else pa.RecordBatch.from_arrays([pa.array([], batch.schema.field(0).type), batch.column(0).slice(0, 0), pa.array([], pa.float64())], names=[query_key, key, "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], q_arrow), pa.array(rows[1], batch.schema.field(0).type), pa.array(rows[2], pa.float64())], names=[query_key, key, "sim"])
 
         some = vectors.select(key, "vector", *([scope] if scope else [])).filter("vector is not null").mapInArrow(run, f"{query_key} {q_type}, {key} {key_type}, sim double")
         out = some if out is None else out.union(some)

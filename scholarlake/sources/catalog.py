@@ -87,6 +87,7 @@ def register_catalog(spark: SparkSession, fetch: Fetch | None = None, name: str
             options = {k.lower(): v for k, v in self.options.items()}
             return CatalogReader(fetch or http_fetch(options["base_url"]), options)
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Catalog)
 
 
