@@ -24,7 +24,8 @@ def normalised(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where either has no direction."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def checked(v: Column, size: int) -> Column:
