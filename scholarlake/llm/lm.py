@@ -62,7 +62,7 @@ class Events:
         self.back_1, self.back_2 = before(self.key, 1), before(self.key, 2)
         form_1, form_2, form_3 = before(form, 1), before(form, 2), before(form, 3)
         hashed = [salted(form_1, 1), salted(self.back_1, 2), salted(form_2, 3), salted(mix(self.back_1) + self.back_2, 4), salted(form_3, 5)]
-        self.features = np.stack([(h % U(BUCKETS)).astype(np.int32) for h in hashed], axis=1)
+        self.features = np.stack([(h % U(BUCKETS)).astype(np.uint16) for h in hashed], axis=1)
         self.copies_1 = (self.back_1 == self.key) & ~self.is_end
         self.copies_2 = (self.back_2 == self.key) & ~self.is_end & ~self.copies_1
 
@@ -81,6 +81,21 @@ def start_weights() -> np.ndarray:
     return np.zeros((BUCKETS, CLASSES), np.float32)
 
 
+def segment_sums(x: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows with equal ``segment``: neighbours are added pairwise until one row a run is left."""
+    while True:
+        new = np.append(True, segment[1:] != segment[:-1])
+        start = np.flatnonzero(new)
+        if len(start) == len(segment):
+            return x
+        place = np.arange(len(segment)) - np.repeat(start, np.diff(start, append=len(segment)))
+        even = np.flatnonzero(place & 1 == 0)
+        odd = np.flatnonzero(place & 1)
+        x_new = x[even]
+        x_new[np.searchsorted(even, odd) - 1] += x[odd]
+        x, segment = x_new, segment[even]
+
+
 def descend(weights: np.ndarray, seen: np.ndarray, events: Events, rate: float) -> None:
     """AdaGrad steps over the events; a word that could be a copy counts as one."""
     label = np.where(events.copies_1, COPY_1, np.where(events.copies_2, COPY_2, events.form_class))
@@ -89,10 +104,13 @@ def descend(weights: np.ndarray, seen: np.ndarray, events: Events, rate: float)
         g = class_probabilities(weights, f)
         g[np.arange(len(y)), y] -= 1
         g /= len(y)
-        rows, inverse = np.unique(f.ravel(), return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        cut = np.searchsorted(inverse[order], np.arange(len(rows)))
-        total = np.add.reduceat(g[order // f.shape[1]], cut, axis=0)
+        # Sixteen-bit features sort by radix.
+        flat = f.ravel()
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        cut = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        rows = flat[cut]
+        total = segment_sums(g[order // f.shape[1]], flat)
         seen[rows] += total**2
         weights[rows] -= rate * total / np.sqrt(seen[rows])
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from scholarlake.llm.components import components, merged
 from scholarlake.llm.tools import checkpointed, discard, signed, texts
-from scholarlake.llm.words import BASE, MASK, U, Words, mix, salted, slices, windows
+from scholarlake.llm.words import BASE, MASK, U, Words, distinct, mix, salted, slices, windows
 
 #: At similarity 0.8 a pair is missed by all bands with probability 1.3e-7.
 BANDS, BAND_ROWS = 40, 5
@@ -47,7 +47,7 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(len(words.count)):
         lo, hi = words.first[i], words.first[i + 1]
         if hi - lo >= width:
-            sets.append(np.unique(hashes[lo : hi - width + 1]))
+            sets.append(distinct(hashes[lo : hi - width + 1]))
         elif hi > lo:
             total = int(hi - lo)
             for h in words.hash[lo:hi].tolist():

@@ -16,9 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 
 from scholarlake.llm.blocks import split
-from scholarlake.llm.words import U, mix, powers, salted
+from scholarlake.llm.words import U, mix, powers
 
-NONE = np.iinfo(np.uint64).max
 #: Two independent polynomial bases; the second confirms a match at its source.
 BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9 | 1)
 
@@ -40,15 +39,15 @@ class Sums:
     """Prefix polynomials of token values: hashes of any stretch, under two bases."""
 
     def __init__(self, values: np.ndarray):
-        self.total, self.back = [], []
+        self.total = []
         for base in BASES:
             total = np.zeros(len(values) + 1, U)
             np.cumsum(values * powers(base, len(values)), out=total[1:])
             self.total.append(total)
-            self.back.append(powers(pow(base, -1, 1 << 64), len(values) + 1))
 
     def hash(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        h = (self.total[which][end] - self.total[which][start]) * self.back[which][start]
+        back = powers(pow(BASES[which], -1, 1 << 64), len(self.total[which]))
+        h = (self.total[which][end] - self.total[which][start]) * back[start]
         return mix(h + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
 
 
@@ -57,20 +56,20 @@ class Paths:
 
     def __init__(self, seeds: np.ndarray, first: np.ndarray, width: int, seed: int):
         """``seeds[i]``: hash of the ``seed`` tokens from token i; ``first``: each text's first token, and the end."""
-        self.width, self.first = width, first
-        n = len(seeds) + seed - 1
+        self.width = width
         low = sliding_min(seeds, width - seed + 1)
-        ends = np.repeat(first[1:], np.diff(first))[: len(low)]
-        inside = np.arange(len(low)) + width <= ends
+        # A text's last width - 1 tokens start no window, so windows of two texts are never neighbours.
+        inside = np.ones(len(low), bool)
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+            inside[max(lo, hi - width + 1) : hi] = False
+        changes = low[1:] != low[:-1]
         opens = inside.copy()
-        opens[1:] &= ~inside[:-1] | (low[1:] != low[:-1]) | (ends[1:] != ends[:-1])
+        opens[1:] &= ~inside[:-1] | changes
         self.start = np.flatnonzero(opens)
-        closes = inside.copy()
-        closes[:-1] &= ~inside[1:] | (low[1:] != low[:-1]) | (ends[1:] != ends[:-1])
-        self.n = np.flatnonzero(closes) + 1 - self.start
+        inside[:-1] &= ~inside[1:] | changes
+        self.n = np.flatnonzero(inside) + 1 - self.start
         self.key = low[self.start]
         self.doc = np.searchsorted(first, self.start, side="right") - 1
-        del n
 
     def end(self) -> np.ndarray:
         return self.start + self.n + self.width - 1

@@ -31,31 +31,30 @@ OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remo
 
 
 class Part:
-    """Words and paths of a run of texts."""
+    """Paths of a run of texts, with the hashes of their words; ``path`` and ``check``: two hashes of each path."""
 
     def __init__(self, batch: pa.RecordBatch, width: int):
-        self.ids = batch.column(0).to_numpy(zero_copy_only=False)
-        self.words = Words(batch.column(1))
-        seeds, _ = windows(self.words.hash, self.words.first, (width + 1) // 2)
-        self.paths = Paths(seeds, self.words.first, width, (width + 1) // 2)
-        self.sums = Sums(salted(self.words.hash, 21)) if len(self.paths.start) else None
+        self.batch, self.ids = batch, batch.column(0).to_numpy(zero_copy_only=False)
+        words = Words(batch.column(1))
+        self.first, self.count = words.first, words.count
+        seeds, _ = windows(words.hash, words.first, (width + 1) // 2)
+        self.paths = Paths(seeds, words.first, width, (width + 1) // 2)
+        self.sums = Sums(salted(words.hash, 21)) if len(self.paths.start) else None
+        self.path, self.check = (self.sums.hash(self.paths.start, self.paths.end(), k) if self.sums else np.zeros(0, U) for k in (0, 1))
+        self.owner = self.ids[self.paths.doc]
 
-    def hashes(self, which: int) -> np.ndarray:
-        return self.sums.hash(self.paths.start, self.paths.end(), which) if self.sums else np.zeros(0, U)
+
+def parts_of(table: pa.Table, width: int) -> list[Part]:
+    return [Part(batch, width) for batch in slices(text_batch(table))]
 
 
 def joined(columns: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*columns))
 
 
-def block_paths(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
-    """(path hash, smallest doc, key, check) of the block's distinct paths, by path hash."""
-    rows = []
-    for batch in slices(text_batch(table)):
-        part = Part(batch, width)
-        rows.append(least(part.hashes(0), part.ids[part.paths.doc], part.paths.key, part.hashes(1)))
-    path, doc, key, check = joined(rows)
-    return least(path, doc, key, check)
+def block_paths(parts: list[Part]) -> tuple[np.ndarray, ...]:
+    """(path hash, smallest doc, key, check) of the distinct paths, by path hash."""
+    return least(*joined([(p.path, p.owner, p.paths.key, p.check) for p in parts]))
 
 
 def repeats(docs: DataFrame, width: int, finish, schema: str, empty: pa.Schema) -> DataFrame:
@@ -65,59 +64,50 @@ def repeats(docs: DataFrame, width: int, finish, schema: str, empty: pa.Schema)
     bucket_of = lambda key: ((key >> U(32)) % U(n)).astype(np.int64)
 
     def ask_paths(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        path, doc, key, check = block_paths(table, width)
+        path, doc, key, check = block_paths(parts_of(table, width))
         for b, columns, _ in split(bucket_of(key), path, key, doc, check):
             yield b, packed(*columns)
 
-    def known(table: pa.Table, answers: dict) -> tuple[np.ndarray, ...]:
-        path, doc, key, check = block_paths(table, width)
+    def known(parts: list[Part], answers: dict) -> tuple[np.ndarray, ...]:
+        path, doc, key, check = block_paths(parts)
         first, source, look = gathered(bucket_of(key), path, answers.get(1, {}), (np.int64(np.iinfo(np.int64).max), U(0), False))
         return path, first, source, look
 
-    def block_windows(part: Part, path: np.ndarray, first: np.ndarray, look: np.ndarray) -> tuple[np.ndarray, ...]:
+    def single_windows(part: Part, path: np.ndarray, first: np.ndarray, look: np.ndarray) -> tuple[np.ndarray, ...]:
         """(window hash, doc, check, first token) of the windows of branching paths that this part leads."""
-        at = np.searchsorted(path, part.hashes(0))
-        single = np.flatnonzero(look[at] & (first[at] == part.ids[part.paths.doc])) if len(at) else at
+        at = np.searchsorted(path, part.path)
+        single = np.flatnonzero(look[at] & (first[at] == part.owner)) if len(at) else at
         start, row = spread(part.paths.start[single], part.paths.n[single])
         if not len(start):
             return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, U), start
         end = start + width
-        return part.sums.hash(start, end, 0), part.ids[part.paths.doc[single]][row], part.sums.hash(start, end, 1), start
-
-    def all_windows(table: pa.Table, path, first, look) -> tuple[np.ndarray, ...]:
-        rows = []
-        for batch in slices(text_batch(table)):
-            h, doc, check, _ = block_windows(Part(batch, width), path, first, look)
-            rows.append(least(h, doc, check))
-        return least(*joined(rows))
+        return part.sums.hash(start, end, 0), part.owner[single][row], part.sums.hash(start, end, 1), start
 
     def ask_windows(table: pa.Table, answers: dict) -> Iterator[tuple[int, bytes]]:
-        path, first, _, look = known(table, answers)
+        parts = parts_of(table, width)
+        path, first, _, look = known(parts, answers)
         if look.any():
-            h, doc, check = all_windows(table, path, first, look)
+            h, doc, check = least(*joined([single_windows(p, path, first, look)[:3] for p in parts]))
             for b, columns, _ in split(bucket_of(h), h, doc, check):
                 yield b, packed(*columns)
 
     def end(table: pa.Table, answers: dict) -> pa.Table:
-        path, first, source, look = known(table, answers)
-        h = None
-        if 2 in answers:
-            h, doc, check = all_windows(table, path, first, look)
-            w_first, w_source = gathered(bucket_of(h), h, answers[2], (np.int64(np.iinfo(np.int64).max), U(0)))
-            # Inside the block a smaller document may have the window too.
-            inner = doc < w_first
-            w_first, w_source = np.where(inner, doc, w_first), np.where(inner, check, w_source)
+        parts = parts_of(table, width)
+        path, first, source, look = known(parts, answers)
+        mine = [single_windows(p, path, first, look) for p in parts]
+        h, doc, check = least(*joined([m[:3] for m in mine]))
+        w_first, w_source = gathered(bucket_of(h), h, answers.get(2, {}), (np.int64(np.iinfo(np.int64).max), U(0)))
+        # Inside the block a smaller document may have the window too.
+        inner = doc < w_first
+        w_first, w_source = np.where(inner, doc, w_first), np.where(inner, check, w_source)
         out = []
-        for batch in slices(text_batch(table)):
-            part = Part(batch, width)
-            at = np.searchsorted(path, part.hashes(0))
-            whole = np.flatnonzero((first[at] < part.ids[part.paths.doc]) & (source[at] == part.hashes(1))) if len(at) else at
+        for part, (own, own_doc, own_check, start) in zip(parts, mine):
+            at = np.searchsorted(path, part.path)
+            whole = np.flatnonzero((first[at] < part.owner) & (source[at] == part.check)) if len(at) else at
             covered, _ = spread(part.paths.start[whole], part.paths.n[whole])
-            if h is not None:
-                mine, doc, check, start = block_windows(part, path, first, look)
-                i = np.searchsorted(h, mine)
-                covered = np.concatenate([covered, start[(w_first[i] < doc) & (w_source[i] == check)]])
-            out.append(finish(part, batch, covered))
+            i = np.searchsorted(h, own)
+            covered = np.concatenate([covered, start[(w_first[i] < own_doc) & (w_source[i] == own_check)]])
+            out.append(finish(part, covered))
         return pa.Table.from_batches(out, schema=empty)
 
     paths = blocks.answer(blocks.ask(ask_paths, 1), answer_paths, 1)
@@ -137,20 +127,17 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     docs = texts(docs, id_col=id_col, text_col=text_col)
     low = np.iinfo(np.int64).min
 
-    def finish(part: Part, batch: pa.RecordBatch, covered: np.ndarray) -> pa.RecordBatch:
-        words = part.words
-        depth = np.zeros(len(words.start) + width + 1, np.int64)
-        np.add.at(depth, covered, 1)
-        np.add.at(depth, covered + width, -1)
-        gone = np.cumsum(depth)[: len(words.start)] > 0
-        removed = np.add.reduceat(np.append(gone, False).astype(np.int64), words.first[:-1]) if len(words.count) else words.count
-        removed = np.where(words.count > 0, removed, 0)
+    def finish(part: Part, covered: np.ndarray) -> pa.RecordBatch:
+        n = int(part.first[-1])
+        depth = np.bincount(covered, minlength=n + width + 1) - np.bincount(covered + width, minlength=n + width + 1)
+        gone = np.cumsum(depth)[:n] > 0
+        removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[part.first])
         kept, sha, spans = [], [], []
-        for i, text in enumerate(batch.column(1)):
+        for i, text in enumerate(part.batch.column(1)):
             own = text.as_py().encode().split()
             cut: list[dict] = []
             if removed[i]:
-                mask = gone[words.first[i] : words.first[i + 1]]
+                mask = gone[part.first[i] : part.first[i + 1]]
                 own = list(compress(own, ~mask))
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]]).astype(np.int8)))
                 cut = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
@@ -159,6 +146,6 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             kept.append(out.decode())
             spans.append(cut)
         ids = pa.array([None if x == low else x for x in part.ids.tolist()], pa.int64())
-        return pa.RecordBatch.from_arrays([ids, pa.array(words.count), pa.array(removed), pa.array(sha), pa.array(kept, pa.string()), pa.array(spans, OUT_ARROW.field("spans").type)], schema=OUT_ARROW)
+        return pa.RecordBatch.from_arrays([ids, pa.array(part.count), pa.array(removed), pa.array(sha), pa.array(kept, pa.string()), pa.array(spans, OUT_ARROW.field("spans").type)], schema=OUT_ARROW)
 
     return repeats(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(low))), width, finish, OUT, OUT_ARROW)

@@ -25,7 +25,7 @@ from scholarlake.llm.blocks import Blocks, packed, split, text_batch
 from scholarlake.llm.paths import Paths, Sums, answer_paths, gathered, least, spread
 from scholarlake.llm.suffixes import prefix_groups, suffix_array
 from scholarlake.llm.tools import texts
-from scholarlake.llm.words import U, byte_values, mix, raw_text, slices
+from scholarlake.llm.words import U, byte_values, distinct, raw_text, slices
 
 WIDTH, SEED = 50, 16
 NEVER = np.iinfo(np.int64).max
@@ -35,15 +35,19 @@ OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remo
 SORT_BYTES = 4 << 20
 
 
-def seeds_of(data: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """Hash of the ``seed`` bytes (a multiple of 8) from every byte on."""
-    n = len(data) - seed + 1
+def seeds_of(data: np.ndarray) -> np.ndarray:
+    """Hash of the ``SEED`` (16) bytes from every byte on."""
+    n = len(data) - SEED + 1
     if n <= 0:
         return np.zeros(0, U)
-    words = np.ndarray(len(data) - 7, dtype="<u8", buffer=data.tobytes(), strides=(1,)) if len(data) >= 8 else np.zeros(0, U)
-    out = np.zeros(n, U)
-    for k in range(0, seed, 8):
-        out = mix(out * U(0x9E3779B97F4A7C15) + words[k : k + n])
+    words = np.ndarray(len(data) - 7, dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+    out = words[:n] * U(0x9E3779B97F4A7C15)
+    out ^= out >> U(29)
+    out += words[8 : 8 + n]
+    out *= U(0xBF58476D1CE4E5B9)
+    out ^= out >> U(32)
+    out *= U(0x94D049BB133111EB)
+    out ^= out >> U(29)
     return out
 
 
@@ -51,17 +55,22 @@ class Part:
     """Bytes and paths of a run of texts."""
 
     def __init__(self, batch: pa.RecordBatch, width: int):
-        self.ids = batch.column(0).to_numpy(zero_copy_only=False)
+        self.batch, self.ids = batch, batch.column(0).to_numpy(zero_copy_only=False)
         self.data, self.first = raw_text(batch.column(1))
         self.paths = Paths(seeds_of(self.data), self.first, width, SEED)
+        self.owner = self.ids[self.paths.doc]
 
     def only(self, keep: np.ndarray) -> None:
+        """Drop the other paths and hash these."""
         p = self.paths
         p.start, p.n, p.key, p.doc = p.start[keep], p.n[keep], p.key[keep], p.doc[keep]
-        self.sums = Sums(byte_values(3)[self.data]) if len(p.start) else None
+        self.owner = self.owner[keep]
+        sums = Sums(byte_values(3)[self.data]) if len(p.start) else None
+        self.path, self.check = (sums.hash(p.start, p.end(), k) if sums else np.zeros(0, U) for k in (0, 1))
 
-    def hashes(self, which: int) -> np.ndarray:
-        return self.sums.hash(self.paths.start, self.paths.end(), which) if self.sums else np.zeros(0, U)
+
+def parts_of(table: pa.Table, width: int) -> list[Part]:
+    return [Part(batch, width) for batch in slices(text_batch(table))]
 
 
 def answer_seeds(payloads: list[list[np.ndarray]]) -> Iterator[tuple | None]:
@@ -150,123 +159,106 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     n_buckets = blocks.n
     bucket_of = lambda key: ((key >> U(32)) % U(n_buckets)).astype(np.int64)
 
-    def block_seeds(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct minimizers of the block, whether several documents have it)."""
-        keys, lows, highs = [], [], []
-        for batch in slices(text_batch(table)):
-            part = Part(batch, width)
-            doc = part.ids[part.paths.doc]
-            order = np.lexsort((doc, part.paths.key))
-            k, d = part.paths.key[order], doc[order]
-            cut = np.flatnonzero(np.diff(k, prepend=~k[:1]) != 0) if len(k) else np.zeros(0, int)
-            keys.append(k[cut])
-            lows.append(d[cut])
-            highs.append(d[np.append(cut[1:], len(k)) - 1] if len(k) else d)
-        k, lo, hi = np.concatenate(keys), np.concatenate(lows), np.concatenate(highs)
-        order = np.argsort(k, kind="stable")
-        k, lo, hi = k[order], lo[order], hi[order]
-        if not len(k):
-            return k, np.zeros(0, bool)
-        cut = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        return k[cut], np.minimum.reduceat(lo, cut) != np.maximum.reduceat(hi, cut)
-
     def ask_seeds(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        key, many = block_seeds(table)
+        parts = parts_of(table, width)
+        key, owner = np.concatenate([p.paths.key for p in parts]), np.concatenate([p.owner for p in parts])
+        order = np.argsort(key)
+        key, owner = key[order], owner[order]
+        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+        many = np.minimum.reduceat(owner, cut) != np.maximum.reduceat(owner, cut) if len(key) else np.zeros(0, bool)
+        key = key[cut]
         for b, (k, m), _ in split(bucket_of(key), key, many):
             yield b, packed(k, np.packbits(m))
 
-    def repeated(table: pa.Table, answers: dict) -> np.ndarray:
-        """The block's minimizers that several documents have, sorted."""
-        key, _ = block_seeds(table)
+    def repeated(table: pa.Table, answers: dict) -> list[Part]:
+        """The block's parts with the paths whose minimizer several documents have."""
+        parts = parts_of(table, width)
+        key = distinct(np.concatenate([p.paths.key for p in parts]))
         keep = np.zeros(len(key), bool)
         for b, (k,), rows in split(bucket_of(key), key):
             if b in answers.get(1, {}):
                 keep[rows] = np.unpackbits(answers[1][b][0])[: len(k)].astype(bool)
-        return key[keep]
-
-    def parts(table: pa.Table, seeds: np.ndarray) -> Iterator[tuple[Part, pa.RecordBatch]]:
-        for batch in slices(text_batch(table)):
-            part = Part(batch, width)
-            at = np.minimum(np.searchsorted(seeds, part.paths.key), max(0, len(seeds) - 1))
-            part.only(seeds[at] == part.paths.key if len(seeds) else np.zeros(len(part.paths.key), bool))
-            yield part, batch
+        for p in parts:
+            p.only(keep[np.searchsorted(key, p.paths.key)] if len(key) else np.zeros(0, bool))
+        return parts
 
-    def block_paths(table: pa.Table, seeds: np.ndarray) -> tuple[np.ndarray, ...]:
-        rows = [least(part.hashes(0), part.ids[part.paths.doc], part.paths.key, part.hashes(1)) for part, _ in parts(table, seeds)]
-        return least(*(np.concatenate(c) for c in zip(*rows)))
+    def block_paths(parts: list[Part]) -> tuple[np.ndarray, ...]:
+        return least(*(np.concatenate(c) for c in zip(*[(p.path, p.owner, p.paths.key, p.check) for p in parts])))
 
     def ask_paths(table: pa.Table, answers: dict) -> Iterator[tuple[int, bytes]]:
-        seeds = repeated(table, answers)
-        if len(seeds):
-            path, doc, key, check = block_paths(table, seeds)
-            for b, columns, _ in split(bucket_of(key), path, key, doc, check):
-                yield b, packed(*columns)
-
-    def known(table: pa.Table, answers: dict):
-        seeds = repeated(table, answers)
-        path, doc, key, check = block_paths(table, seeds)
+        path, doc, key, check = block_paths(repeated(table, answers))
+        for b, columns, _ in split(bucket_of(key), path, key, doc, check):
+            yield b, packed(*columns)
+
+    def known(parts: list[Part], answers: dict):
+        path, doc, key, check = block_paths(parts)
         first, source, look = gathered(bucket_of(key), path, answers.get(2, {}), (np.int64(NEVER), U(0), False))
         # One copy of a branching path, from the block that has its smallest document.
-        led = look & (first == doc)
-        return seeds, path, key, doc, first, source, led
+        return path, key, doc, first, source, look & (first == doc)
 
-    def strings(table: pa.Table, seeds, path, led) -> tuple[np.ndarray, np.ndarray]:
+    def strings(parts: list[Part], path: np.ndarray, led: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(size of each led path in path order, their bytes one after another)."""
-        size, found = np.zeros(len(path), np.int64), {}
-        for part, _ in parts(table, seeds):
-            at = np.searchsorted(path, part.hashes(0))
-            ends = part.paths.end()
-            for i in np.flatnonzero(led[at]) if len(at) else ():
-                if at[i] not in found:
-                    found[at[i]] = part.data[part.paths.start[i] : ends[i]]
-        rows = np.flatnonzero(led)
-        size = np.array([len(found[r]) for r in rows], np.int64)
-        return size, np.concatenate([found[r] for r in rows]) if len(rows) else np.zeros(0, np.uint8)
+        where = np.full((len(path), 2), -1)
+        for k, part in enumerate(parts):
+            at = np.searchsorted(path, part.path)
+            rows = np.flatnonzero(led[at]) if len(at) else at
+            where[at[rows]] = np.stack([np.full(len(rows), k), rows], axis=1)
+        where = where[led]
+        size, pieces = np.zeros(len(where), np.int64), [None] * len(where)
+        for k in np.unique(where[:, 0]):
+            part, mine = parts[k], np.flatnonzero(where[:, 0] == k)
+            rows = where[mine, 1]
+            start, end = part.paths.start[rows], part.paths.end()[rows]
+            size[mine] = end - start
+            for i, lo, hi in zip(mine.tolist(), start.tolist(), end.tolist()):
+                pieces[i] = part.data[lo:hi]
+        return size, np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
 
     def ask_strings(table: pa.Table, answers: dict) -> Iterator[tuple[int, bytes]]:
-        seeds, path, key, doc, _, _, led = known(table, answers)
+        parts = repeated(table, answers)
+        path, key, doc, _, _, led = known(parts, answers)
         if led.any():
-            size, data = strings(table, seeds, path, led)
+            size, data = strings(parts, path, led)
             first = np.cumsum(size) - size
             for b, (k, d, n), rows in split(bucket_of(key[led]), key[led], doc[led], size):
                 at, _ = spread(first[rows], n)
                 yield b, packed(k, d, n.astype(np.uint32), data[at])
 
     def end(table: pa.Table, answers: dict) -> pa.Table:
-        seeds, path, key, doc, first, source, led = known(table, answers)
-        # Windows of led paths that a smaller document has, by path.
-        gone: dict[int, np.ndarray] = {}
-        if 3 in answers:
-            rows = np.flatnonzero(led)
-            sizes = np.zeros(len(path), np.int64)
-            for part, _ in parts(table, seeds):
-                if len(part.paths.start):
-                    sizes[np.searchsorted(path, part.hashes(0))] = part.paths.n
-            for b, (r,), _ in split(bucket_of(key[rows]), rows):
-                if b in answers[3]:
-                    say = answers[3][b][0].astype(np.int64)
-                    to = np.cumsum(sizes[r])
-                    which = np.searchsorted(to, say, side="right")
-                    inner = say - (to - sizes[r])[which]
-                    for i in np.unique(which):
-                        gone[int(r[i])] = inner[which == i]
+        parts = repeated(table, answers)
+        path, key, doc, first, source, led = known(parts, answers)
+        sizes = np.zeros(len(path), np.int64)
+        for p in parts:
+            sizes[np.searchsorted(path, p.path)] = p.paths.n
+        # Windows of led paths that a smaller document has: a run for each path.
+        row, inner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        rows = np.flatnonzero(led)
+        for b, (r,), _ in split(bucket_of(key[rows]), rows):
+            if b in answers.get(3, {}):
+                say, to = answers[3][b][0].astype(np.int64), np.cumsum(sizes[r])
+                which = np.searchsorted(to, say, side="right")
+                row.append(r[which])
+                inner.append(say - (to - sizes[r])[which])
+        row, inner = np.concatenate(row), np.concatenate(inner)
+        order = np.argsort(row, kind="stable")
+        row, inner = row[order], inner[order]
         out = []
-        for part, batch in parts(table, seeds):
-            at = np.searchsorted(path, part.hashes(0))
-            mine = part.ids[part.paths.doc]
+        for part in parts:
+            at = np.searchsorted(path, part.path)
             covered = [np.zeros(0, np.int64)]
             if len(at):
-                whole = np.flatnonzero((first[at] < mine) & (source[at] == part.hashes(1)))
+                whole = np.flatnonzero((first[at] < part.owner) & (source[at] == part.check))
                 covered.append(spread(part.paths.start[whole], part.paths.n[whole])[0])
-                for i in np.flatnonzero(led[at] & (first[at] == mine)):
-                    if (w := gone.get(int(at[i]))) is not None:
-                        covered.append(part.paths.start[i] + w)
-            out.append(result(part, batch, np.concatenate(covered)))
+                mine = np.flatnonzero(led[at] & (first[at] == part.owner))
+                lo, hi = np.searchsorted(row, at[mine]), np.searchsorted(row, at[mine], side="right")
+                place, of = spread(lo, hi - lo)
+                covered.append(part.paths.start[mine][of] + inner[place])
+            out.append(result(part, np.concatenate(covered)))
         return pa.Table.from_batches(out, schema=OUT_ARROW)
 
-    def result(part: Part, batch: pa.RecordBatch, covered: np.ndarray) -> pa.RecordBatch:
+    def result(part: Part, covered: np.ndarray) -> pa.RecordBatch:
         n = len(part.data)
-        depth = np.bincount(covered, minlength=n + width + 1)[: n + width + 1] - np.bincount(covered + width, minlength=n + width + 1)[: n + width + 1]
+        depth = np.bincount(covered, minlength=n + width + 1) - np.bincount(covered + width, minlength=n + width + 1)
         gone = np.cumsum(depth)[:n] > 0
         removed, sha, kept, spans = [], [], [], []
         for lo, hi in zip(part.first[:-1].tolist(), part.first[1:].tolist()):

@@ -19,7 +19,7 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one numpy step works on.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,17 +36,37 @@ def salted(x: np.ndarray, salt: int) -> np.ndarray:
     return mix(x + U((salt * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & MASK))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def byte_values(seed: int = 0) -> np.ndarray:
     """256 random odd 64-bit values, one for each byte."""
     return salted(np.arange(256, dtype=U), 7919 + seed) | U(1)
 
 
+class Kept(dict):
+    """A cache of one process: it travels to others empty."""
+
+    def __reduce__(self):
+        return Kept, ()
+
+
+POWERS = Kept()
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, dtype=U)
-    out[0] = 1
-    np.multiply.accumulate(out, out=out)
-    return out
+    """base**0 .. base**(n-1) modulo 2**64; not to be written to."""
+    found = POWERS.get(base)
+    if found is None or len(found) < n:
+        found = np.full(max(n, SLICE_BYTES + 1), base, dtype=U)
+        found[0] = 1
+        np.multiply.accumulate(found, out=found)
+        if n <= 4 * SLICE_BYTES:
+            POWERS[base] = found
+    return found[:n]
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +136,7 @@ class Words:
         step *= powers(BASE, len(self.data))
         np.cumsum(step, out=total[1:])
         self.total, self.back = total, powers(BASE_INV, len(self.data) + 1)[self.start]
+        del step
         return mix((total[self.end] - total[self.start]) * self.back)
 
     def prefix_hash(self, n: int) -> np.ndarray:
