@@ -34,7 +34,7 @@ from scholarlake.llm.words import BASE, MASK, U, Words, distinct, mix, salted, s
 #: At similarity 0.8 a pair is missed by all bands with probability 1.3e-7.
 BANDS, BAND_ROWS = 40, 5
 #: Counters of shingle frequencies; ids that may be broadcast; pairs swept without pivots, at least.
-COUNTERS, BROADCAST_IDS, SWEEP_PAIRS = 1 << 18, 1 << 20, 50_000
+COUNTERS, BROADCAST_IDS, SWEEP_PAIRS = 1 << 18, 1 << 20, 2_000_000
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,12 +174,12 @@ def frequencies(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n, bucket: one row for each shingle of a set's prefix)."""
+    """(rep, n, bucket, place): one row for each shingle of a set's prefix, with its place in the order."""
     shared = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            ids, sizes, out = [], [], []
+            ids, sizes, places, out = [], [], [], []
             for doc_id, s in zip(batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("s"))):
                 s = np.asarray(s.values).view(U)
                 h = salted(s, 61)
@@ -187,20 +187,21 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 first = s[order[: len(s) - (percent * len(s) + 99) // 100 + 1]]
                 ids.append(np.full(len(first), doc_id))
                 sizes.append(np.full(len(first), len(s)))
+                places.append(np.arange(len(first)))
                 out.append(first)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(signed(np.concatenate(out)))], names=["rep", "n", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, sizes)] + [pa.array(signed(np.concatenate(out))), pa.array(np.concatenate(places))], names=["rep", "n", "bucket", "place"])
 
-    return sets.mapInArrow(run, "rep long, n long, bucket long")
+    return sets.mapInArrow(run, "rep long, n long, bucket long, place long")
 
 
 def unsettled(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows of ``cells(bucket, rep, n)`` in buckets that hold several components, with their component."""
+    """Rows of ``cells(bucket, rep, n, place)`` in buckets that hold several components, with their component."""
     if roots is None:
         placed = cells.withColumn("root", F.col("rep"))
     else:
         placed = cells.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    placed = checkpointed(placed.select("bucket", "rep", "n", "root"))
+    placed = checkpointed(placed.select("bucket", "rep", "n", "place", "root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
     out = checkpointed(placed.join(mixed, "bucket"))
     discard(placed)
@@ -213,11 +214,11 @@ def sweep(cells: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: i
     Where these are more than ``limit``, random pivots of the buckets are
     tested first, ever more of them, for links found shrink what is left.
     """
-    spread = 1
+    spread = 8
     while True:
         left = unsettled(cells, roots)
         same = left.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        total, rows, biggest = same.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n"), F.max("n")).first()
+        total, biggest = same.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.max("n")).first()
         if not total:
             discard(left)
             return roots
@@ -228,8 +229,11 @@ def sweep(cells: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: i
             m = left.groupBy("bucket").agg(F.count("*").alias("m"))
             chance = F.pmod(F.xxhash64("rep", "bucket", F.lit(spread)), F.lit(1 << 20)) * F.col("m") < F.lit(spread << 20)
             pivots = left.join(m, "bucket").filter(chance)
-        pivots = pivots.select("bucket", F.col("rep").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root"))
-        cross = left.join(pivots, "bucket").filter("root != p_root" + (" and rep < p" if every else "")).filter(100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
+        pivots = pivots.select("bucket", F.col("rep").alias("p"), F.col("n").alias("p_n"), F.col("place").alias("p_place"), F.col("root").alias("p_root"))
+        # At their first common shingle two sets have no more in common than it and what follows in the shorter rest.
+        bound = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")) >= percent * (F.col("n") + F.col("p_n"))
+        close = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
+        cross = left.join(pivots, "bucket").filter("root != p_root" + (" and rep < p" if every else "")).filter(close & bound)
         cross = checkpointed(cross.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct())
         more = checkpointed(confirmed(cross, sets, percent))
         if not more.isEmpty():
@@ -237,7 +241,7 @@ def sweep(cells: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: i
         discard(left, cross, more)
         if every:
             return roots
-        spread *= 4
+        spread *= 16
 
 
 def rank(column: str):
@@ -270,11 +274,11 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     pairs = checkpointed(cells.filter("rep != hub").filter(close).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
     links = checkpointed(confirmed(pairs, sets, percent))
     roots = None if links.isEmpty() else components(links)
-    left = unsettled(cells.filter("m > 2").select("bucket", "rep", "n"), roots)
+    left = unsettled(cells.filter("m > 2").select("bucket", "rep", "n", F.lit(0).alias("place")), roots)
     if not left.isEmpty():
         some = checkpointed(sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
         rare = checkpointed(prefixes(some, percent))
-        roots = sweep(rare, roots, sets, percent, max(SWEEP_PAIRS, members.count() // 2))
+        roots = sweep(rare, roots, some, percent, max(SWEEP_PAIRS, 8 * members.count()))
         discard(some, rare)
     discard(left, cells, sets, pairs, links)
 
