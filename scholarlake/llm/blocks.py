@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from scholarlake.llm.tools import n_parts
 from scholarlake.llm.words import U
 
+#: Beyond so many blocks a literal of their numbers would weigh on the plan; plain hashes are even enough then.
+LITERAL_IDS = 20_000
 ASKED = "bucket int, block int, step int, payload binary"
 ASKED_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("step", pa.int32()), ("payload", pa.binary())])
 
@@ -49,27 +51,53 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
-class Blocks:
-    """The documents (doc_id, text) in blocks; ``per_part``: blocks and buckets per shuffle partition."""
+def partition_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The partition that Spark's hash partitioning deals an int to: Murmur3 of one word, seed 42."""
+    u = np.uint32
+    k = ids.astype(u) * u(0xCC9E2D51)
+    k = ((k << u(15)) | (k >> u(17))) * u(0x1B873593)
+    h = u(42) ^ k
+    h = ((h << u(13)) | (h >> u(19))) * u(5) + u(0xE6546B64)
+    h = h ^ u(4)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    h = h ^ (h >> u(16))
+    return np.mod(h.view(np.int32).astype(np.int64), parts)
+
+
+def even_ids(parts: int) -> np.ndarray:
+    """One int for each partition, so that as many blocks are dealt one to a partition."""
+    out, at = np.full(parts, -1, np.int32), 0
+    while (out < 0).any():
+        ids = np.arange(at, at + 4 * parts, dtype=np.int32)
+        where, first = np.unique(partition_of(ids, parts), return_index=True)
+        new = out[where] < 0
+        out[where[new]] = ids[first[new]]
+        at += 4 * parts
+    return out
 
-    def __init__(self, docs: DataFrame, per_part: int = 1):
-        self.parts = n_parts(docs.sparkSession)
-        self.n = self.parts * per_part
-        block = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(self.n)).cast("int")
-        self.texts = docs.withColumn("block", block).repartition(self.parts, "block")
 
-    def bucket_of(self, key: np.ndarray) -> np.ndarray:
-        """Bucket of each key, from its upper bits."""
-        return ((key >> U(32)) % U(self.n)).astype(np.int64)
+class Blocks:
+    """The documents (doc_id, text, ...) in as many blocks as there are shuffle partitions, and as many buckets of keys."""
+
+    def __init__(self, docs: DataFrame):
+        self.parts = self.n = n_parts(docs.sparkSession)
+        #: Block and bucket numbers as rows carry them.
+        self.ids = even_ids(self.parts)
+        number = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(self.n)).cast("int")
+        block = F.lit(self.ids.tolist()).cast("array<int>")[number] if self.n <= LITERAL_IDS else number
+        self.texts = docs.withColumn("block", block).repartition(self.parts, "block")
 
     def ask(self, run: Callable[[pa.Table], Iterator[tuple[int, bytes]]], step: int, answers: DataFrame | None = None) -> DataFrame:
         """``run(texts[, answers by step])`` yields (bucket, payload) for one block; earlier answers travel on."""
-        rows = lambda table, made: asked_rows(table, made, step)
+        ids = self.ids
+        back = {int(x): i for i, x in enumerate(ids)}
+        rows = lambda table, made: asked_rows(table, made, step, ids)
         if answers is None:
             return self.texts.groupBy("block").applyInArrow(lambda table: rows(table, run(table)), ASKED)
 
         def later(table: pa.Table, found: pa.Table) -> pa.Table:
-            made = rows(table, run(table, by_step(found)) if table.num_rows else ())
+            made = rows(table, run(table, by_step(found, back)) if table.num_rows else ())
             return pa.concat_tables([made, found.select(ASKED_ARROW.names).cast(ASKED_ARROW)])
 
         return self.texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later, ASKED)
@@ -93,23 +121,25 @@ class Blocks:
     def finish(self, answers: DataFrame, run: Callable[[pa.Table, dict], pa.Table], schema: str, empty: pa.Schema) -> DataFrame:
         """``run(texts, answers by step)`` makes the result rows of one block."""
 
+        back = {int(x): i for i, x in enumerate(self.ids)}
+
         def one(table: pa.Table, found: pa.Table) -> pa.Table:
-            return run(table, by_step(found)) if table.num_rows else empty.empty_table()
+            return run(table, by_step(found, back)) if table.num_rows else empty.empty_table()
 
         return self.texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(one, schema)
 
 
-def asked_rows(table: pa.Table, made, step: int) -> pa.Table:
+def asked_rows(table: pa.Table, made, step: int, ids: np.ndarray) -> pa.Table:
     made = list(made)
     block = table.column("block")[0].as_py() if table.num_rows else 0
-    return pa.table([pa.array([b for b, _ in made], pa.int32()), pa.array([block] * len(made), pa.int32()), pa.array([step] * len(made), pa.int32()), pa.array([p for _, p in made], pa.binary())], schema=ASKED_ARROW)
+    return pa.table([pa.array([int(ids[b]) for b, _ in made], pa.int32()), pa.array([block] * len(made), pa.int32()), pa.array([step] * len(made), pa.int32()), pa.array([p for _, p in made], pa.binary())], schema=ASKED_ARROW)
 
 
-def by_step(found: pa.Table) -> dict[int, dict[int, list[np.ndarray]]]:
+def by_step(found: pa.Table, back: dict[int, int]) -> dict[int, dict[int, list[np.ndarray]]]:
     """{step: {bucket: arrays}} of a block's answers."""
     out: dict[int, dict[int, list[np.ndarray]]] = {}
     for bucket, step, payload in zip(found.column("bucket").to_pylist(), found.column("step").to_pylist(), found.column("payload")):
-        out.setdefault(step, {})[bucket] = unpacked(payload.as_py())
+        out.setdefault(step, {})[back[bucket]] = unpacked(payload.as_py())
     return out
 
 

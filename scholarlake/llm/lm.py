@@ -26,6 +26,7 @@ from scholarlake.llm.words import BASE_INV, U, Words, mix, powers, salted, slice
 
 CLASSES, FORMS = 32, 29
 END, COPY_1, COPY_2 = 0, 1, 2
+END_KEY = U(1)
 BUCKETS = 1 << 14
 #: Kinds of features of a context.
 KINDS = 5
@@ -37,10 +38,10 @@ ADD = 0.1
 
 
 class Events:
-    """The tokens (words, then an end) of a run of texts with their contexts."""
+    """The tokens (words, then an end) of a run of texts; `contexts` adds what comes before each."""
 
     def __init__(self, column: pa.Array):
-        self.words = w = Words(column, lower=True)
+        w = Words(column, lower=True)
         n = len(w.count)
         #: Token rows: the words of a text and its end.
         self.count = w.count + 1
@@ -48,30 +49,39 @@ class Events:
         self.n = len(w.hash) + n
         self.is_end = np.zeros(self.n, bool)
         self.is_end[self.first + w.count] = True
-        self.word_rows = np.flatnonzero(~self.is_end)
-        self.key = np.full(self.n, U(1))
-        self.key[self.word_rows] = w.hash
+        word_rows = np.flatnonzero(~self.is_end)
+        self.key = np.full(self.n, END_KEY)
+        self.key[word_rows] = w.hash
         tail = np.maximum(w.end - 3, w.start)
         ending = mix((w.total[w.end] - w.total[tail]) * powers(BASE_INV, len(w.data) + 1)[tail])
-        form = np.zeros(self.n, U)
-        form[self.word_rows] = ending
-        self.form_class = np.full(self.n, END)
-        self.form_class[self.word_rows] = 3 + (salted(ending, 3) % U(FORMS)).astype(np.int64)
+        self.form = np.zeros(self.n, U)
+        self.form[word_rows] = ending
+        self.form_class = np.full(self.n, END, np.uint8)
+        self.form_class[word_rows] = (salted(ending, 3) % U(FORMS)).astype(np.uint8) + 3
+
+    def contexts(self) -> Events:
         place = np.arange(self.n) - np.repeat(self.first, self.count)
-        before = lambda x, k: np.where(place >= k, np.roll(x, k), U(0))
-        self.back_1, self.back_2 = before(self.key, 1), before(self.key, 2)
-        form_1, form_2, form_3 = before(form, 1), before(form, 2), before(form, 3)
-        hashed = [salted(form_1, 1), salted(self.back_1, 2), salted(form_2, 3), salted(mix(self.back_1) + self.back_2, 4), salted(form_3, 5)]
+
+        def before(x: np.ndarray, k: int) -> np.ndarray:
+            out = np.roll(x, k)
+            out[place < k] = 0
+            return out
+
+        back_1, back_2 = before(self.key, 1), before(self.key, 2)
+        hashed = (salted(before(self.form, 1), 1), salted(back_1, 2), salted(before(self.form, 2), 3), salted(mix(back_1) + back_2, 4), salted(before(self.form, 3), 5))
+        # Sixteen-bit features, for they sort by radix.
         self.features = np.stack([(h % U(BUCKETS)).astype(np.uint16) for h in hashed], axis=1)
-        self.copies_1 = (self.back_1 == self.key) & ~self.is_end
-        self.copies_2 = (self.back_2 == self.key) & ~self.is_end & ~self.copies_1
+        self.same_1 = (back_1 == self.key) & ~self.is_end
+        self.same_2 = (back_2 == self.key) & ~self.is_end
+        return self
 
 
 def class_probabilities(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     z = weights[features[:, 0]]
     for j in range(1, features.shape[1]):
-        z = z + weights[features[:, j]]
-    z -= z.max(axis=1, keepdims=True)
+        z += weights[features[:, j]]
+    # Far beyond what training reaches, and safe for exp in single precision.
+    np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
@@ -98,13 +108,12 @@ def segment_sums(x: np.ndarray, segment: np.ndarray) -> np.ndarray:
 
 def descend(weights: np.ndarray, seen: np.ndarray, events: Events, rate: float) -> None:
     """AdaGrad steps over the events; a word that could be a copy counts as one."""
-    label = np.where(events.copies_1, COPY_1, np.where(events.copies_2, COPY_2, events.form_class))
+    label = np.where(events.same_1, COPY_1, np.where(events.same_2, COPY_2, events.form_class))
     for lo in range(0, events.n, STEP_TOKENS):
         f, y = events.features[lo : lo + STEP_TOKENS], label[lo : lo + STEP_TOKENS]
         g = class_probabilities(weights, f)
         g[np.arange(len(y)), y] -= 1
         g /= len(y)
-        # Sixteen-bit features sort by radix.
         flat = f.ravel()
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
@@ -127,7 +136,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.15) -> np.ndarr
             own, seen, n = shared.value.copy(), np.full((BUCKETS, CLASSES), 1e-6, np.float32), 0
             for batch in batches:
                 for part in slices(batch):
-                    events = Events(part.column(1))
+                    events = Events(part.column(1)).contexts()
                     descend(own, seen, events, rate)
                     n += events.n
             if n:
@@ -157,8 +166,6 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.15) -> np.ndarr
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-END_KEY = U(1)
-
 
 def lm_scores(docs: DataFrame, holdout: int = 10, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -175,25 +182,21 @@ def lm_scores(docs: DataFrame, holdout: int = 10, id_col: str = "doc_id", text_c
     n = blocks.n
     bucket_of = lambda key: ((key >> U(32)) % U(n)).astype(np.int64)
 
-    def vocabulary(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def events_of(table: pa.Table) -> tuple[list[Events], np.ndarray]:
+        """The block's events, and which documents are held out."""
+        return [Events(part.column(1)) for part in slices(text_batch(table))], table.column("held_out").to_numpy()
+
+    def vocabulary(parts: list[Events], held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct words, their training count, their class) of a block."""
-        keys, counts, kinds = [], [], []
-        held = table.column("held_out").to_numpy()
-        at = 0
-        for part in slices(text_batch(table)):
-            events = Events(part.column(1))
-            learn = np.repeat(~held[at : at + part.num_rows], events.count)
-            at += part.num_rows
-            key, first, inverse = np.unique(events.key, return_index=True, return_inverse=True)
-            keys.append(key)
-            counts.append(np.bincount(inverse, weights=learn, minlength=len(key)))
-            kinds.append(events.form_class[first].astype(np.uint8))
-        keys, counts, kinds = np.concatenate(keys), np.concatenate(counts), np.concatenate(kinds)
-        key, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        return key, np.bincount(inverse, weights=counts, minlength=len(key)).astype(np.uint32), kinds[first]
+        key, kind = np.concatenate([e.key for e in parts]), np.concatenate([e.form_class for e in parts])
+        learn = np.repeat(~held, np.concatenate([e.count for e in parts]))
+        order = np.argsort(key)
+        key = key[order]
+        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return key[cut], np.add.reduceat(learn[order].astype(np.uint32), cut), kind[order[cut]]
 
     def ask(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        key, count, kind = vocabulary(table)
+        key, count, kind = vocabulary(*events_of(table))
         for b, columns, _ in split(bucket_of(key), key, count, kind):
             yield b, packed(*columns)
 
@@ -231,33 +234,34 @@ def lm_scores(docs: DataFrame, holdout: int = 10, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def finish(table: pa.Table, answers: dict) -> pa.Table:
-        key, _, _ = vocabulary(table)
+        parts, held = events_of(table)
+        key, _, _ = vocabulary(parts, held)
         count = np.zeros(len(key))
         for b, _, rows in split(bucket_of(key), key):
             count[rows] = answers[1][b][0]
         model = shared.value
         base_floor = np.log10(n_all + ADD * (v_all + 1))
         inside = tokens + ADD * (words + 1)
-        out, at = [], 0
-        for part in slices(text_batch(table)):
-            events = Events(part.column(1))
+        ids, out, at = table.column("doc_id").combine_chunks(), [], 0
+        while parts:
+            events = parts.pop(0).contexts()
             c = count[np.searchsorted(key, events.key)]
             p = np.zeros(events.n)
-            for lo in range(0, events.n, 1 << 16):
-                rows = slice(lo, lo + (1 << 16))
+            for lo in range(0, events.n, 1 << 15):
+                rows = slice(lo, lo + (1 << 15))
                 q = class_probabilities(model, events.features[rows])
                 kind = events.form_class[rows]
                 own = q[np.arange(len(kind)), kind].astype(np.float64)
                 own *= np.where(kind == END, 1.0, (c[rows] + ADD) / inside[kind])
                 # A copy of a word before adds to the word's probability.
-                own += np.where((events.back_1[rows] == events.key[rows]) & ~events.is_end[rows], q[:, COPY_1], 0.0)
-                own += np.where((events.back_2[rows] == events.key[rows]) & ~events.is_end[rows], q[:, COPY_2], 0.0)
+                own += np.where(events.same_1[rows], q[:, COPY_1], 0.0) + np.where(events.same_2[rows], q[:, COPY_2], 0.0)
                 p[rows] = own
             unigram = np.log10(c + ADD) - base_floor
             sums = [np.add.reduceat(x, events.first) for x in (unigram, np.log10(np.maximum(p, 1e-300)), (c > 0).astype(np.int64))]
-            held = table.column("held_out").slice(at, part.num_rows).combine_chunks()
-            at += part.num_rows
-            out.append(pa.RecordBatch.from_arrays([part.column(0), held, pa.array(events.count), pa.array(sums[2]), pa.array(np.full(part.num_rows, n_all)), pa.array(sums[0]), pa.array(sums[1])], schema=OUT_ARROW))
+            n_docs = len(events.count)
+            rows = slice(at, at + n_docs)
+            at += n_docs
+            out.append(pa.RecordBatch.from_arrays([ids[rows], pa.array(held[rows]), pa.array(events.count), pa.array(sums[2]), pa.array(np.full(n_docs, n_all)), pa.array(sums[0]), pa.array(sums[1])], schema=OUT_ARROW))
         return pa.Table.from_batches(out, schema=OUT_ARROW)
 
     return blocks.finish(answered, finish, OUT, OUT_ARROW)

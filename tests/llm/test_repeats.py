@@ -113,3 +113,14 @@ def test_repeats_of_empty_tables_null_ids_and_repeated_rows(spark):
         assert op(frame(spark, [])).collect() == []
         got = op(frame(spark, [(None, long), (4, long), (4, long), (5, "s")])).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, r.n_removed > 0) for r in got) == [(False, 4, True), (False, 4, True), (False, 5, False), (True, 0, False)]
+
+
+def test_even_ids_follow_spark(spark):
+    from pyspark.sql import functions as F
+
+    from scholarlake.llm.blocks import even_ids, partition_of
+
+    ids = np.arange(2000, dtype=np.int32)
+    got = spark.range(2000).select(F.expr("pmod(hash(cast(id as int)), 51)").alias("p")).collect()
+    assert partition_of(ids, 51).tolist() == [r.p for r in got]
+    assert sorted(partition_of(even_ids(211), 211).tolist()) == list(range(211))
