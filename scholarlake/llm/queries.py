@@ -91,4 +91,39 @@ ORACLES = {
         FROM t
         WINDOW w AS (PARTITION BY sha ORDER BY len DESC, doc_id)
     """,
+    "op2_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        u AS (SELECT doc_id, unnest(list_transform(range(0, length(h) // 2), lambda i: {'i': i, 'c': substr(h, 2 * i + 1, 2), 's': CASE WHEN 2 * i + 100 <= length(h) THEN md5(substr(h, 2 * i + 1, 100)) END})) AS x FROM d),
+        b AS (SELECT doc_id, x.i AS i, x.c AS c, x.s AS s FROM u),
+        f AS (SELECT s, min(doc_id) AS m FROM b WHERE s IS NOT NULL GROUP BY s),
+        hit AS (SELECT b.doc_id, i, c, coalesce(m < b.doc_id, false) AS starts FROM b LEFT JOIN f USING (s)),
+        gone AS (SELECT doc_id, i, c, max(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS g FROM hit),
+        edge AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM gone),
+        r AS (SELECT doc_id, count_if(g)::BIGINT AS n_removed, count_if(opens)::BIGINT AS n_spans, string_agg(c, '' ORDER BY i) FILTER (NOT g) AS k FROM edge GROUP BY doc_id)
+        SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(k, ''))) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)
+    """,
+    "op4_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, doc_id = m AS kept
+        FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
+    """,
+    "op8_debruijn_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        u AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) + 1), lambda i: {'i': i, 'c': ws[i], 's': CASE WHEN i + 49 <= len(ws) THEN md5(array_to_string(ws[i:i + 49], ' ')) END})) AS x FROM d),
+        b AS (SELECT doc_id, x.i AS i, x.c AS c, x.s AS s FROM u),
+        f AS (SELECT s, min(doc_id) AS m FROM b WHERE s IS NOT NULL GROUP BY s),
+        hit AS (SELECT b.doc_id, i, c, coalesce(m < b.doc_id, false) AS starts FROM b LEFT JOIN f USING (s)),
+        gone AS (SELECT doc_id, i, c, max(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS g FROM hit),
+        r AS (SELECT doc_id, count_if(g)::BIGINT AS n_removed, string_agg(c, ' ' ORDER BY i) FILTER (NOT g) AS k FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)
+    """,
 }

@@ -71,7 +71,9 @@ def repeats(docs: DataFrame, width: int, finish, schema: str, empty: pa.Schema)
     def known(parts: list[Part], answers: dict) -> tuple[np.ndarray, ...]:
         path, doc, key, check = block_paths(parts)
         first, source, look = gathered(bucket_of(key), path, answers.get(1, {}), (np.int64(np.iinfo(np.int64).max), U(0), False))
-        return path, first, source, look
+        # The block's own smallest document may be the only one with the path.
+        inner = doc < first
+        return path, np.where(inner, doc, first), np.where(inner, check, source), look
 
     def single_windows(part: Part, path: np.ndarray, first: np.ndarray, look: np.ndarray) -> tuple[np.ndarray, ...]:
         """(window hash, doc, check, first token) of the windows of branching paths that this part leads."""

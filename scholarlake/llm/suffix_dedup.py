@@ -193,6 +193,9 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     def known(parts: list[Part], answers: dict):
         path, doc, key, check = block_paths(parts)
         first, source, look = gathered(bucket_of(key), path, answers.get(2, {}), (np.int64(NEVER), U(0), False))
+        # The block's own smallest document may be the only one with the path.
+        inner = doc < first
+        first, source = np.where(inner, doc, first), np.where(inner, check, source)
         # One copy of a branching path, from the block that has its smallest document.
         return path, key, doc, first, source, look & (first == doc)
 

@@ -78,6 +78,10 @@ def corpus(seed, n=60, shared_len=(60, 200)):
             lo = rng.randrange(0, 20)
             words += s[lo : len(s) - rng.randrange(0, 10)] + [word() for _ in range(rng.randrange(0, 30))]
         rows.append((i * 7 % 61, rng.choice([" ", "  ", "\n"]).join(words)))
+    # Pairs that no third document shares, so that some lie within one block.
+    for i in range(200, 224, 2):
+        pair = " ".join(word() for _ in range(rng.randrange(60, 90)))
+        rows += [(i, pair), (i + 1, pair)]
     rows += [(100, None), (101, ""), (102, "the " * 400), (103, "the " * 300), (104, "a b " * 90 + "x"), (105, "a b " * 200), (106, rows[0][1]), (107, "é" * 200), (108, "é" * 150 + "z")]
     return rows
 
