@@ -27,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholarlake.llm.blocks import Blocks, packed, split
 from scholarlake.llm.components import components, merged
 from scholarlake.llm.tools import checkpointed, discard, signed, texts
 from scholarlake.llm.words import BASE, MASK, U, Words, distinct, mix, salted, slices, windows
 
 #: At similarity 0.8 a pair is missed by all bands with probability 1.3e-7.
 BANDS, BAND_ROWS = 40, 5
-#: Counters of shingle frequencies; ids that may be broadcast; pairs swept without pivots, at least.
-COUNTERS, BROADCAST_IDS, SWEEP_PAIRS = 1 << 18, 1 << 20, 2_000_000
+#: Ids that may be broadcast; pairs swept without pivots, at least.
+BROADCAST_IDS, SWEEP_PAIRS = 1 << 20, 2_000_000
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,63 +137,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Batches of fewer rows: sets are long."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
-
-
-def frequencies(sets: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle, counted in ``COUNTERS`` hashed counters (an order needs no more)."""
-    lanes = 16
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in small(batches):
-            values = np.asarray(batch.column(batch.schema.get_field_index("s")).flatten()).view(U)
-            total += np.bincount((salted(values, 61) % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        for lane in range(lanes):
-            mine = at[at % lanes == lane]
-            if len(mine):
-                yield pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([mine], pa.list_(pa.int64())), pa.array([total[mine]], pa.list_(pa.int64()))], names=["lane", "at", "n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            total += np.bincount(np.asarray(batch.column(1).flatten()), weights=np.asarray(batch.column(2).flatten()), minlength=COUNTERS).astype(np.int64)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([at], pa.list_(pa.int64())), pa.array([total[at]], pa.list_(pa.int64()))], names=["lane", "at", "n"])
-
-    schema = "lane int, at array<long>, n array<long>"
-    out = np.zeros(COUNTERS, np.int64)
-    for r in sets.mapInArrow(count, schema).repartition("lane").mapInArrow(add, schema).collect():
-        out[np.array(r.at)] += np.array(r.n)
-    return out
-
-
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, bucket, place): one row for each shingle of a set's prefix, with its place in the order."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+    """(rep, n, bucket, place): a row for each shingle of a set's prefix that another of the ``sets`` holds too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            ids, sizes, places, out = [], [], [], []
-            for doc_id, s in zip(batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("s"))):
-                s = np.asarray(s.values).view(U)
-                h = salted(s, 61)
-                order = np.lexsort((h, shared.value[(h % U(COUNTERS)).astype(np.int64)]))
-                first = s[order[: len(s) - (percent * len(s) + 99) // 100 + 1]]
-                ids.append(np.full(len(first), doc_id))
-                sizes.append(np.full(len(first), len(s)))
-                places.append(np.arange(len(first)))
-                out.append(first)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, sizes)] + [pa.array(signed(np.concatenate(out))), pa.array(np.concatenate(places))], names=["rep", "n", "bucket", "place"])
-
-    return sets.mapInArrow(run, "rep long, n long, bucket long, place long")
+    Shingles are ordered by the number of sets that hold them, looked up by
+    blocks of sets (see ``blocks``), then by value; ``place`` is that order's.
+    """
+    blocks = Blocks(sets)
+    bucket_of = lambda key: ((key >> U(32)) % U(blocks_n)).astype(np.int64)
+    blocks_n = blocks.n
+
+    def values(table: pa.Table) -> np.ndarray:
+        return np.asarray(table.column("s").combine_chunks().flatten()).view(U)
+
+    def ask(table: pa.Table) -> Iterator[tuple[int, bytes]]:
+        v = np.sort(values(table))
+        cut = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, int)
+        for b, columns, _ in split(bucket_of(v[cut]), v[cut], np.diff(cut, append=len(v)).astype(np.uint32)):
+            yield b, packed(*columns)
+
+    def answer(payloads: list[list[np.ndarray]]) -> Iterator[tuple]:
+        _, inverse = np.unique(np.concatenate([p[0] for p in payloads]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([p[1] for p in payloads])).astype(np.uint32)
+        at = 0
+        for p in payloads:
+            yield (total[inverse[at : at + len(p[0])]],)
+            at += len(p[0])
+
+    def finish(table: pa.Table, answers: dict) -> pa.Table:
+        v = values(table)
+        key = distinct(v)
+        held = np.zeros(len(key), np.int64)
+        for b, _, rows in split(bucket_of(key), key):
+            held[rows] = answers[1][b][0]
+        held = held[np.searchsorted(key, v)]
+        sizes = np.diff(np.asarray(table.column("s").combine_chunks().offsets))
+        ends = np.cumsum(sizes)
+        out = [([], [], [], [])]
+        for doc_id, n, end in zip(table.column("doc_id").to_pylist(), sizes.tolist(), ends.tolist()):
+            own, freq = v[end - n : end], held[end - n : end]
+            order = np.lexsort((own, freq))[: n - (percent * n + 99) // 100 + 1]
+            place = np.flatnonzero(freq[order] > 1)
+            out.append((np.full(len(place), doc_id), np.full(len(place), n), own[order[place]], place))
+        rep, n, bucket, place = (np.concatenate([np.asarray(o[i], np.int64 if i != 2 else U) for o in out]) for i in range(4))
+        return pa.table([rep, n, signed(bucket), place], schema=PREFIX_ARROW)
+
+    answered = blocks.answer(blocks.ask(ask, 1), answer, 1)
+    return blocks.finish(answered, finish, "rep long, n long, bucket long, place long", PREFIX_ARROW)
+
+
+PREFIX_ARROW = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("bucket", pa.int64()), ("place", pa.int64())])
 
 
 def unsettled(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
