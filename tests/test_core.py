@@ -351,3 +351,15 @@ def test_config(tmp_path):
     write(tmp_path / "p" / "prefs.js", 'user_pref("extensions.zotero.dataDir", "/d");')
     assert profile_prefs(tmp_path) == {"data_dir": "/d"}
     assert ocr_backend({"OCR_API_URL": "x"}) == "http" and ocr_backend({}) == "local" and ocr_backend({"OCR_BACKEND": "local", "OCR_API_URL": "x"}) == "local"
+
+
+def test_entry_without_the_llm_folders(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(os.path.join(root, "scholarlake"), tmp_path / "scholarlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'chunk_windows' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q) and set(o) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}).returncode == 0
