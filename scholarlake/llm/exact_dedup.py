@@ -134,9 +134,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical without white space; the longest original
     (code points) stays, then the smallest id. A null text is empty; empty
-    texts form one group. A null id is reported, and kept only where its whole
-    group has none (keep_id is then null). Rows that repeat an id and text are
-    the same document and get the same decision; other columns are not read.
+    texts form one group. Of texts of one length a null id comes last; where it
+    is the longest, it stays and keep_id is null. Rows that repeat an id and text
+    are the same document and get the same decision; other columns are not read.
     """
     docs = texts(docs, id_col=id_col, text_col=text_col)
 
@@ -182,5 +182,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` does not keep; all columns stay."""
     gone = exact_dedup(docs, id_col, text_col, **params).filter("not kept").select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("__sha")).distinct()
+    gone = gone.withColumnRenamed(id_col, "__id").withColumnRenamed("__sha", "__gone")
     key = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
-    return docs.withColumn("__sha", key).join(gone, [id_col, "__sha"], "left_anti").drop("__sha")
+    return docs.withColumn("__sha", key).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__gone")), "left_anti").drop("__sha")
