@@ -69,7 +69,6 @@ class Events:
 
         back_1, back_2 = before(self.key, 1), before(self.key, 2)
         hashed = (salted(before(self.form, 1), 1), salted(back_1, 2), salted(before(self.form, 2), 3), salted(mix(back_1) + back_2, 4), salted(before(self.form, 3), 5))
-        # Sixteen-bit features, for they sort by radix.
         self.features = np.stack([(h % U(BUCKETS)).astype(np.uint16) for h in hashed], axis=1)
         self.same_1 = (back_1 == self.key) & ~self.is_end
         self.same_2 = (back_2 == self.key) & ~self.is_end
@@ -91,21 +90,6 @@ def start_weights() -> np.ndarray:
     return np.zeros((BUCKETS, CLASSES), np.float32)
 
 
-def segment_sums(x: np.ndarray, segment: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows with equal ``segment``: neighbours are added pairwise until one row a run is left."""
-    while True:
-        new = np.append(True, segment[1:] != segment[:-1])
-        start = np.flatnonzero(new)
-        if len(start) == len(segment):
-            return x
-        place = np.arange(len(segment)) - np.repeat(start, np.diff(start, append=len(segment)))
-        even = np.flatnonzero(place & 1 == 0)
-        odd = np.flatnonzero(place & 1)
-        x_new = x[even]
-        x_new[np.searchsorted(even, odd) - 1] += x[odd]
-        x, segment = x_new, segment[even]
-
-
 def descend(weights: np.ndarray, seen: np.ndarray, events: Events, rate: float) -> None:
     """AdaGrad steps over the events; a word that could be a copy counts as one."""
     label = np.where(events.same_1, COPY_1, np.where(events.same_2, COPY_2, events.form_class))
@@ -113,15 +97,15 @@ def descend(weights: np.ndarray, seen: np.ndarray, events: Events, rate: float)
         f, y = events.features[lo : lo + STEP_TOKENS], label[lo : lo + STEP_TOKENS]
         g = class_probabilities(weights, f)
         g[np.arange(len(y)), y] -= 1
-        g /= len(y)
-        flat = f.ravel()
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        cut = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        rows = flat[cut]
-        total = segment_sums(g[order // f.shape[1]], flat)
-        seen[rows] += total**2
-        weights[rows] -= rate * total / np.sqrt(seen[rows])
+        by_class = np.ascontiguousarray(g.T, np.float64)
+        total = np.zeros((CLASSES, BUCKETS))
+        for j in range(f.shape[1]):
+            at = f[:, j].astype(np.intp)
+            for c in range(CLASSES):
+                total[c] += np.bincount(at, weights=by_class[c], minlength=BUCKETS)
+        step = (total / len(y)).astype(np.float32).T
+        seen += step**2
+        weights -= rate * step / np.sqrt(seen)
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.15) -> np.ndarray:
