@@ -18,17 +18,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlake.llm.tools import checkpointed, texts
+from scholarlake.llm.tools import checkpointed, discard, texts
 from scholarlake.llm.words import U, Words, raw_text, salted, slices
 
 #: Hashed word features beside the shape features.
 BUCKETS = 256
 SHAPE = 8
+#: Hashed words whose odds of the domains are counted.
+ODDS = 1 << 16
 RIDGE = 1e-3
 
 
-def doc_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(feature rows, tokens) of a run of texts; an empty text has zero features but the constant."""
+def word_buckets(words: Words) -> np.ndarray:
+    return (salted(words.hash, 14) % U(ODDS)).astype(np.int64)
+
+
+def doc_vectors(column: pa.Array, odds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(feature rows, tokens) of a run of texts; an empty text has zero features but the constant.
+
+    ``odds``: how much a word speaks for each domain; its mean and maximum over a text are features too.
+    """
     words = Words(column, lower=True)
     raw, offsets = raw_text(column)
     n = len(words.count)
@@ -52,6 +61,15 @@ def doc_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         bucket = (salted(words.hash, 4) % U(BUCKETS)).astype(np.int64)
         counts = np.bincount(doc * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
         x[:, SHAPE:] = np.sqrt(counts / many[:, None])
+    if odds is not None:
+        k = odds.shape[1]
+        more = np.zeros((n, 2 * k), np.float32)
+        if len(words.hash):
+            each = odds[word_buckets(words)]
+            full = np.flatnonzero(words.count)
+            more[full, :k] = 5 * np.add.reduceat(each, words.first[full], axis=0) / words.count[full][:, None]
+            more[full, k:] = np.maximum.reduceat(each, words.first[full], axis=0)
+        x = np.hstack([x, more])
     return x, words.count
 
 
@@ -61,35 +79,65 @@ def posteriors(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, n_rows: int = 6000, rounds: int = 300, l2: float = 1e-4) -> tuple[list[str], np.ndarray]:
-    """(domains in order, softmax weights) from at most ``n_rows`` labelled rows, chosen by a hash of the id."""
+def word_odds(rows: DataFrame, domains: list[str]) -> np.ndarray:
+    """Log odds of each domain given a word (hashed), from the documents of rows(domain, text) that hold it."""
+    k = len(domains)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ODDS * k, np.int32)
+        for batch in batches:
+            for part in slices(batch):
+                words = Words(part.column(1), lower=True)
+                y = np.searchsorted(domains, part.column(0).to_pylist())
+                cell = np.unique(words.doc_of() * ODDS + word_buckets(words)) if len(words.hash) else np.zeros(0, np.int64)
+                total += np.bincount((cell % ODDS) * k + y[cell // ODDS], minlength=ODDS * k).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["n"])
+
+    # A bounded table from each of a few tasks.
+    found = rows.coalesce(4).mapInArrow(count, "n binary").collect()
+    n = np.sum([np.frombuffer(r.n, np.int32) for r in found], axis=0).reshape(ODDS, k).astype(np.float64)
+    share = n.sum(axis=0) / max(1, n.sum())
+    odds = np.log((n + 4 * share) / (n.sum(axis=1, keepdims=True) + 4)) - np.log(np.maximum(share, 1e-9))
+    return np.where(n.sum(axis=1, keepdims=True) >= 4, odds, 0).astype(np.float32)
+
+
+def fit_domains(docs: DataFrame, labelled: DataFrame, n_rows: int = 8000, rounds: int = 500, l2: float = 1e-4) -> tuple[list[str], np.ndarray, np.ndarray | None]:
+    """(domains in order, softmax weights, word odds) from at most ``n_rows`` labelled rows, chosen by a hash of the id.
+
+    One half of them gives the odds of words, the other the weights.
+    """
     named = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_rows)
+    # At most n_rows ids.
+    sample = checkpointed(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text"))
+    domains = sorted(r.domain for r in sample.select("domain").distinct().collect())
+    if not domains:
+        return [], np.zeros((SHAPE + BUCKETS, 0)), None
+    half = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2))
+    odds = word_odds(sample.filter(half == 0).select("domain", "text"), domains)
+    shared = docs.sparkSession.sparkContext.broadcast(odds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                x, _ = doc_vectors(part.column(1))
+                x, _ = doc_vectors(part.column(2), shared.value)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["domain", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "domain", "x"])
 
-    # At most n_rows ids.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("domain", "text").mapInArrow(run, "domain string, x array<float>").toArrow()
+    rows = sample.filter(half == 1).mapInArrow(run, "doc_id long, domain string, x array<float>").toArrow().sort_by("doc_id")
+    discard(sample)
     names = rows.column("domain").to_pylist()
-    domains = sorted(set(names))
-    if not domains:
-        return [], np.zeros((SHAPE + BUCKETS, 0))
-    x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(len(names), -1).astype(np.float64)
-    order = np.lexsort(x.T[:12])
-    y = np.zeros((len(names), len(domains)))
+    if not names:
+        return domains, np.zeros((SHAPE + BUCKETS + 2 * len(domains), len(domains))), odds
+    x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(len(names), -1)
+    y = np.zeros((len(names), len(domains)), np.float32)
     y[np.arange(len(names)), np.searchsorted(domains, names)] = 1
-    x, y = x[order], y[order]
-    w = seen = np.zeros((x.shape[1], len(domains)))
-    step = 2 * len(x) / (x**2).sum()
+    w = seen = np.zeros((x.shape[1], len(domains)), np.float32)
+    step = np.float32(2 * len(x) / (x.astype(np.float64) ** 2).sum())
     for i in range(rounds):
-        new = seen - step * (x.T @ (posteriors(x, seen) - y) / len(x) + l2 * seen)
-        seen, w = new + i / (i + 3) * (new - w), new
-    return domains, w
+        new = seen - step * (x.T @ (posteriors(x, seen) - y) / np.float32(len(x)) + np.float32(l2) * seen)
+        seen, w = new + np.float32(i / (i + 3)) * (new - w), new
+    return domains, w.astype(np.float64), odds
 
 
 def rates(p: np.ndarray, history: list[np.ndarray], ridge: float = RIDGE) -> np.ndarray:
@@ -112,9 +160,14 @@ def looked_at(p: np.ndarray, history: list[np.ndarray], ridge: float = RIDGE) ->
 
 
 def fit_rates(weighed: DataFrame, targets: np.ndarray, n_tokens: float, ridge: float = RIDGE, rounds: int = 60, close: float = 2e-4) -> list[np.ndarray]:
-    """Residuals of the projected-gradient steps over ``weighed(n_tokens, p)``."""
+    """Residuals of the projected-gradient steps over ``weighed(n_tokens, p)``.
+
+    A domain's squared residual is divided by its share at rate 1, which makes
+    the problem's largest curvature 1 and its rare domains count.
+    """
     k = len(targets)
     history: list[np.ndarray] = []
+    scale = np.ones(k)
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], history=tuple(history)) -> Iterator[pa.RecordBatch]:
@@ -128,9 +181,11 @@ def fit_rates(weighed: DataFrame, targets: np.ndarray, n_tokens: float, ridge: f
 
         sums = {r.k: r.total for r in weighed.mapInArrow(run, "k long, total double").groupBy("k").agg(F.sum("total").alias("total")).collect()}
         got = np.array([sums.get(i, 0.0) for i in range(2 * k)])
-        if history and np.abs(got[k:] - targets).max() < close:
+        if not history:
+            scale = 1 / np.maximum(got[k:], 1e-3)
+        elif np.abs(got[k:] - targets).max() < close:
             break
-        history.append(got[:k] - targets)
+        history.append((got[:k] - targets) * scale)
     return history
 
 
@@ -152,11 +207,12 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
     before rate and copies; a column of ``docs`` so named is replaced.
     """
     plain = texts(docs, id_col=id_col, text_col=text_col)
-    domains, w = fit_domains(plain, labelled, **params)
+    domains, w, odds = fit_domains(plain, labelled, **params)
+    shared = docs.sparkSession.sparkContext.broadcast(odds)
     k = len(domains)
 
     def scored(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        x, n = doc_vectors(column)
+        x, n = doc_vectors(column, shared.value)
         return n, posteriors(x.astype(np.float64), w) if k else np.zeros((len(n), 0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
