@@ -22,29 +22,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarlake.llm.blocks import Blocks, packed, split, text_batch
-from scholarlake.llm.paths import Paths, Sums, answer_paths, gathered, least, spread
+from scholarlake.llm.paths import Paths, Sums, least, spread
 from scholarlake.llm.suffixes import prefix_groups, suffix_array
 from scholarlake.llm.tools import texts
 from scholarlake.llm.words import U, byte_values, distinct, raw_text, slices
 
-WIDTH, SEED = 50, 16
-NEVER = np.iinfo(np.int64).max
+WIDTH, SEED = 50, 24
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 #: Text that a bucket sorts at a time; more is dealt into runs by minimizer.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 
 
 def seeds_of(data: np.ndarray) -> np.ndarray:
-    """Hash of the ``SEED`` (16) bytes from every byte on."""
+    """Hash of the ``SEED`` (24) bytes from every byte on."""
     n = len(data) - SEED + 1
     if n <= 0:
         return np.zeros(0, U)
     words = np.ndarray(len(data) - 7, dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
     out = words[:n] * U(0x9E3779B97F4A7C15)
-    out ^= out >> U(29)
-    out += words[8 : 8 + n]
-    out *= U(0xBF58476D1CE4E5B9)
+    for k in range(8, SEED, 8):
+        out ^= out >> U(29)
+        out += words[k : k + n]
+        out *= U(0xBF58476D1CE4E5B9)
     out ^= out >> U(32)
     out *= U(0x94D049BB133111EB)
     out ^= out >> U(29)
@@ -66,25 +66,68 @@ class Part:
         p.start, p.n, p.key, p.doc = p.start[keep], p.n[keep], p.key[keep], p.doc[keep]
         self.owner = self.owner[keep]
         sums = Sums(byte_values(3)[self.data]) if len(p.start) else None
-        self.path, self.check = (sums.hash(p.start, p.end(), k) if sums else np.zeros(0, U) for k in (0, 1))
+        self.path = sums.hash(p.start, p.end(), 0) if sums else np.zeros(0, U)
+        self.check = sums.hash(p.start, p.end(), 1).astype(np.uint32) if sums else np.zeros(0, np.uint32)
 
 
 def parts_of(table: pa.Table, width: int) -> list[Part]:
     return [Part(batch, width) for batch in slices(text_batch(table))]
 
 
+#: Bits of a minimizer that tell it apart in its bucket; two that agree there only keep a path too many.
+BRIEF = U((1 << 40) - 1)
+
+
+def brief(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in the order of their low bits, steps between those): four bytes a key where it fits."""
+    order = np.argsort(key & BRIEF, kind="stable")
+    steps = np.diff(key[order] & BRIEF, prepend=U(0))
+    return order, steps.astype(np.uint32) if steps.max(initial=0) < 1 << 32 else steps
+
+
 def answer_seeds(payloads: list[list[np.ndarray]]) -> Iterator[tuple | None]:
-    """For each block's (distinct minimizers, several documents of the block have it): a bit for each that several documents have."""
-    keys = np.concatenate([p[0] for p in payloads])
-    names, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-    many = count > 1
+    """For each block's (steps between distinct minimizers, several documents of the block have it): a bit for each that several documents have."""
+    keys = np.concatenate([np.cumsum(p[0].astype(U)) for p in payloads])
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    first = np.append(True, sorted_keys[1:] != sorted_keys[:-1])
+    group = np.cumsum(first) - 1
     within = np.concatenate([np.unpackbits(p[1])[: len(p[0])] for p in payloads]).astype(bool)
-    many[inverse[within]] = True
+    many = (np.bincount(group) > 1) | (np.bincount(group, weights=within[order]) > 0)
+    bits = np.empty(len(keys), bool)
+    bits[order] = many[group]
     at = 0
     for p in payloads:
-        bits = many[inverse[at : at + len(p[0])]]
+        own = bits[at : at + len(p[0])]
         at += len(p[0])
-        yield (np.packbits(bits),) if bits.any() else None
+        yield (np.packbits(own),) if own.any() else None
+
+
+def answer_copies(payloads: list[list[np.ndarray]]) -> Iterator[tuple | None]:
+    """For each block's (path, low bits of its minimizer, smallest doc, check): bits of paths that a smaller document has, bits of paths that it leads and that branch, checks of the former."""
+    path, key, doc, check = (np.concatenate([p[i] for p in payloads]) for i in range(4))
+    order = np.lexsort((doc, path))
+    new = np.append(True, path[order][1:] != path[order][:-1])
+    group = np.cumsum(new) - 1
+    lead = order[new]
+    # Minimizers whose paths are led by different documents branch.
+    by_key = np.argsort(key[lead], kind="stable")
+    k, d = key[lead][by_key], doc[lead][by_key]
+    cut = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    mixed = np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut)
+    branches = np.empty(len(lead), bool)
+    branches[by_key] = np.repeat(mixed, np.diff(cut, append=len(k)))
+    of = np.empty(len(path), np.int64)
+    of[order] = group
+    covered = doc[lead][of] < doc
+    led = branches[of] & ~covered
+    source = check[lead][of]
+    at = 0
+    for p in payloads:
+        rows = slice(at, at + len(p[0]))
+        at += len(p[0])
+        c, l = covered[rows], led[rows]
+        yield (np.packbits(c), np.packbits(l), source[rows][c]) if c.any() or l.any() else None
 
 
 def sort_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +188,7 @@ def answer_strings(width: int):
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans.
 
-    Bytes covered by a string of ``width`` bytes (at least 24) that also starts
+    Bytes covered by a string of ``width`` bytes (at least 32) that also starts
     in a document of smaller id go, judged on the input; ``spans`` are the
     removed byte ranges, ``kept`` the rest. A null or shorter text loses
     nothing. Rows that repeat an id count as one document; a null id counts as
@@ -168,18 +211,29 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
         many = np.minimum.reduceat(owner, cut) != np.maximum.reduceat(owner, cut) if len(key) else np.zeros(0, bool)
         key = key[cut]
         for b, (k, m), _ in split(bucket_of(key), key, many):
-            yield b, packed(k, np.packbits(m))
+            order, steps = brief(k)
+            yield b, packed(steps, np.packbits(m[order]))
 
     def repeated(table: pa.Table, answers: dict) -> list[Part]:
         """The block's parts with the paths whose minimizer several documents have."""
         parts = parts_of(table, width)
-        key = distinct(np.concatenate([p.paths.key for p in parts]))
+        keys = np.concatenate([p.paths.key for p in parts])
+        by_key = np.argsort(keys)
+        sorted_keys = keys[by_key]
+        first = np.append(True, sorted_keys[1:] != sorted_keys[:-1])[: len(keys)]
+        key = sorted_keys[first]
         keep = np.zeros(len(key), bool)
         for b, (k,), rows in split(bucket_of(key), key):
             if b in answers.get(1, {}):
-                keep[rows] = np.unpackbits(answers[1][b][0])[: len(k)].astype(bool)
+                order, _ = brief(k)
+                keep[rows[order]] = np.unpackbits(answers[1][b][0])[: len(k)].astype(bool)
+        mask = np.empty(len(keys), bool)
+        mask[by_key] = keep[np.cumsum(first) - 1] if len(keys) else mask
+        at = 0
         for p in parts:
-            p.only(keep[np.searchsorted(key, p.paths.key)] if len(key) else np.zeros(0, bool))
+            n = len(p.paths.key)
+            p.only(mask[at : at + n])
+            at += n
         return parts
 
     def block_paths(parts: list[Part]) -> tuple[np.ndarray, ...]:
@@ -187,17 +241,19 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
 
     def ask_paths(table: pa.Table, answers: dict) -> Iterator[tuple[int, bytes]]:
         path, doc, key, check = block_paths(repeated(table, answers))
-        for b, columns, _ in split(bucket_of(key), path, key, doc, check):
-            yield b, packed(*columns)
+        for b, (p, k, d, c), _ in split(bucket_of(key), path, key, doc, check):
+            yield b, packed(p, k.astype(np.uint32), d, c)
 
     def known(parts: list[Part], answers: dict):
         path, doc, key, check = block_paths(parts)
-        first, source, look = gathered(bucket_of(key), path, answers.get(2, {}), (np.int64(NEVER), U(0), False))
-        # The block's own smallest document may be the only one with the path.
-        inner = doc < first
-        first, source = np.where(inner, doc, first), np.where(inner, check, source)
-        # One copy of a branching path, from the block that has its smallest document.
-        return path, key, doc, first, source, look & (first == doc)
+        covered, led, source = np.zeros(len(path), bool), np.zeros(len(path), bool), check.copy()
+        for b, _, rows in split(bucket_of(key), path):
+            if b in answers.get(2, {}):
+                c, l, checks = answers[2][b]
+                covered[rows], led[rows] = (np.unpackbits(x)[: len(rows)].astype(bool) for x in (c, l))
+                source[rows[covered[rows]]] = checks
+        # A path that another block's document leads is covered in all of this block; else beyond its own first document.
+        return path, key, doc, np.where(covered, np.int64(low_id), doc), source, led
 
     def strings(parts: list[Part], path: np.ndarray, led: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(size of each led path in path order, their bytes one after another)."""
@@ -279,6 +335,6 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
         return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(part.first)), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(sha), pa.array(kept, pa.binary()), pa.array(spans, OUT_ARROW.field("spans").type)], schema=OUT_ARROW)
 
     seeds = blocks.answer(blocks.ask(ask_seeds, 1), answer_seeds, 1)
-    paths = blocks.answer(blocks.ask(ask_paths, 2, seeds), answer_paths, 2)
+    paths = blocks.answer(blocks.ask(ask_paths, 2, seeds), answer_copies, 2)
     suffixes = blocks.answer(blocks.ask(ask_strings, 3, paths), answer_strings(width), 3)
     return blocks.finish(suffixes, end, OUT, OUT_ARROW)
