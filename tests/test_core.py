@@ -363,3 +363,35 @@ def test_entry_without_the_llm_folders(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'chunk_windows' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q) and set(o) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}).returncode == 0
+
+
+def test_prepare_from_the_catalog(spark, tmp_path):
+    from scholarlake.plans.prepare import item_records
+
+    data = tmp_path / "data"
+    write(data / "storage" / "A1" / "a.txt", "alpha words of a paper")
+    raw = spark.createDataFrame(
+        [(i, "C", json.dumps(r)) for i, r in enumerate([
+            record("I1", "book", title="First / Work", creators=[{"lastName": "Ada"}], date="2019-05"),
+            record("I2", "article", title="Second", date=""),
+            record("A1", "attachment", parentItem="I1", contentType="text/plain", path="storage:a.txt"),
+            record("A2", "attachment", parentItem="I2", contentType="text/html", url="http://ok"),
+        ])],
+        "ord long, collection string, json string",
+    )
+    attached = catalog.located(rest.attachments(raw), str(data), None)
+    files = scan_files(spark, [str(data)])
+    records = item_records(rest.items(raw), attached, files)
+    store = Store(spark, str(tmp_path / "store"))
+    engines = Engines(HashEmbedder(), fetch=lambda url: (200, "<p>web text</p>"))
+    got = run(store, "C", records, engines)
+    assert (got["total"], got["converted"], got["empty"], got["chunks_indexed"]) == (2, 2, 0, 2)
+    rows = {r.item_key: r for r in store.read("manifest", "C").collect()}
+    assert rows["I1"].dir == "Ada_2019_First_Work" and rows["I1"].route == "text" and rows["I2"].route == "web" and rows["I2"].source_mtime is None
+    assert run(store, "C", records, engines)["skipped"] == 2
+    limited = item_records(rest.items(raw), attached, files, limit=1)
+    assert run(store, "C", limited, engines, rebuild=True, partial=True)["converted"] == 1
+    assert store.read("manifest", "C").count() == 2 and store.item_keys("C").count() == 2
+    listed = api.collections(spark.createDataFrame([("k", "C", None, 2, 0, 0)], "key string, name string, parent string, num_items long, num_collections long, api_ord long"), store.read("manifest")).collect()
+    assert [(r.name, r.ok, r.is_prepared) for r in listed] == [("C", 2, True)]
+    assert api.find_similar(store, "I1").first().item_key == "I2"
