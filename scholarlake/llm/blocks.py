@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from scholarlake.llm.words import U
 
 #: Beyond so many blocks a literal of their numbers would weigh on the plan; plain hashes are even enough then.
 LITERAL_IDS = 20_000
+#: Step number of a row that carries a block's earlier answers.
+CARRIED = 0
 ASKED = "bucket int, block int, step int, payload binary"
 ASKED_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("step", pa.int32()), ("payload", pa.binary())])
 
@@ -98,7 +101,7 @@ class Blocks:
 
         def later(table: pa.Table, found: pa.Table) -> pa.Table:
             made = rows(table, run(table, by_step(found, back)) if table.num_rows else ())
-            return pa.concat_tables([made, found.select(ASKED_ARROW.names).cast(ASKED_ARROW)])
+            return pa.concat_tables([made, carried(found)])
 
         return self.texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later, ASKED)
 
@@ -129,6 +132,17 @@ class Blocks:
         return self.texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(one, schema)
 
 
+def carried(found: pa.Table) -> pa.Table:
+    """A block's answers so far as one row, which travels by the block's own number."""
+    if not found.num_rows:
+        return ASKED_ARROW.empty_table()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, ASKED_ARROW) as writer:
+        writer.write_table(found.select(ASKED_ARROW.names).cast(ASKED_ARROW))
+    block = found.column("block")[0].as_py()
+    return pa.table([[block], [block], [CARRIED], [sink.getvalue().to_pybytes()]], schema=ASKED_ARROW)
+
+
 def asked_rows(table: pa.Table, made, step: int, ids: np.ndarray) -> pa.Table:
     made = list(made)
     block = table.column("block")[0].as_py() if table.num_rows else 0
@@ -138,6 +152,9 @@ def asked_rows(table: pa.Table, made, step: int, ids: np.ndarray) -> pa.Table:
 def by_step(found: pa.Table, back: dict[int, int]) -> dict[int, dict[int, list[np.ndarray]]]:
     """{step: {bucket: arrays}} of a block's answers."""
     out: dict[int, dict[int, list[np.ndarray]]] = {}
+    for payload in found.column("payload").filter(pa.compute.equal(found.column("step"), CARRIED)):
+        out |= by_step(pa.ipc.open_stream(payload.as_py()).read_all(), back)
+    found = found.filter(pa.compute.not_equal(found.column("step"), CARRIED))
     for bucket, step, payload in zip(found.column("bucket").to_pylist(), found.column("step").to_pylist(), found.column("payload")):
         out.setdefault(step, {})[back[bucket]] = unpacked(payload.as_py())
     return out
