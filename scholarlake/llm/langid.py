@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarlake.llm.tools import crc_mod, texts
@@ -163,17 +163,65 @@ def train(column: pa.Array, labels: np.ndarray, k: int, epochs: int = 6, rate: f
     return weights, trans
 
 
+def drawn(known: DataFrame, lang_col: str, n_rows: int) -> list:
+    """(doc_id, lang, octets) of at most ``n_rows`` texts (or one a language, if there are more languages), in the order of a hash of the id.
+
+    Half of the rows are dealt evenly over the languages, the rest come in the shares that languages have.
+    """
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = schema.empty_table()
+        for batch in batches:
+            held = pa.concat_tables([held, pa.Table.from_batches([batch]).cast(schema)]).group_by(["lang", "h", "doc_id"]).aggregate([("n", "max")]).rename_columns(schema.names)
+            held = held.sort_by([("lang", "ascending"), ("h", "ascending"), ("doc_id", "ascending")])
+            code = held.column("lang").combine_chunks().dictionary_encode().indices.to_numpy()
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, int)
+            place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+            held = held.take(pa.array(np.flatnonzero(place < n_rows)))
+        yield from held.combine_chunks().to_batches()
+
+    rows = known.select(F.col(lang_col).alias("lang"), F.xxhash64("doc_id").alias("h"), "doc_id", F.octet_length("text").cast("long").alias("n"))
+    some = rows.mapInArrow(best, "lang string, h long, doc_id long, n long").groupBy("lang", "h", "doc_id").agg(F.max("n").alias("n"))
+    turns = some.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).persist()
+    try:
+        k = turns.filter("turn = 1").count()
+        quota = max(1, n_rows // (2 * max(1, k)))
+        return turns.orderBy(F.least("turn", F.lit(quota + 1)), "h", "doc_id", "lang").limit(max(n_rows, k)).collect()
+    finally:
+        turns.unpersist()
+
+
+def level(sizes: np.ndarray, budget: int) -> int:
+    """The largest size at which all may be cut so that their sum is at most ``budget``; 1 at least."""
+    at, left = np.sort(sizes), budget
+    for i, size in enumerate(at.tolist()):
+        if size * (len(at) - i) > left:
+            return max(1, left // (len(at) - i))
+        left -= size
+    return max(1, int(at[-1]) if len(at) else 1)
+
+
 def fit(docs: DataFrame, lang_col: str, holdout: tuple[int, int], n_rows: int = 3000, n_bytes: int = 6 << 20) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, weights, transitions) from at most ``n_rows`` labelled rows and about ``n_bytes`` of text, by a hash of the id."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col("doc_id").isNotNull()).filter(crc_mod("doc_id", holdout[0]) != holdout[1])
-    sizes = known.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "n").limit(n_rows).collect()
-    total = np.cumsum([r.n for r in sizes])
-    chosen = sorted({r.doc_id for r, t in zip(sizes, total) if t <= n_bytes} or {r.doc_id for r in sizes[:1]})
+    """(languages, weights, transitions) from at most ``n_rows`` labelled texts, half of them dealt evenly over the languages, and ``n_bytes``.
+
+    Where the texts are longer than ``n_bytes``, the longest are cut to one
+    length, an excerpt from a place by a hash of the id. So no text keeps
+    another out: each gives at least min(its size, n_bytes / n_rows).
+    """
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") > 0)).filter(crc_mod("doc_id", holdout[0]) != holdout[1])
+    chosen = drawn(known, lang_col, n_rows)
     if not chosen:
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0))
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
-    # At most n_rows ids.
-    rows = known.join(F.broadcast(ids), "doc_id").select("doc_id", F.col(lang_col).alias("lang"), "text").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    cut = level(np.array([r.n for r in chosen]), n_bytes)
+    ids = docs.sparkSession.createDataFrame([(r.doc_id, r.lang) for r in chosen], "doc_id long, lang string")
+    # As many characters as fill the cut at the text's mean bytes a character.
+    octets, chars = F.octet_length("text"), F.char_length("text")
+    take = F.when(octets <= cut, chars).otherwise(F.greatest(F.lit(1), F.floor(chars * F.lit(float(cut)) / octets))).cast("int")
+    start = F.pmod(F.xxhash64("doc_id", F.lit(7)), (chars - take + 1).cast("long")).cast("int") + 1
+    # At most one row for each chosen text.
+    found = known.select("doc_id", F.col(lang_col).alias("lang"), "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", F.substring("text", start, take).alias("text")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = found.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     langs = sorted(set(rows.column("lang").to_pylist()))
     y = np.searchsorted(langs, rows.column("lang").to_pylist())
     # Mixed order: neighbours by id may share a source.

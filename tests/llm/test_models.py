@@ -5,9 +5,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from scholarlake.llm.langid import language
+from scholarlake.llm.langid import fit, language, level
 from scholarlake.llm.lm import lm_scores
 from scholarlake.llm.mixing import label_domains, mix
 from scholarlake.llm.toxicity import drop_toxic, toxicity
@@ -105,6 +106,27 @@ def test_language_without_labels_or_rows(spark):
     assert language(frame(spark, [])).collect() == []
 
 
+def test_language_learns_past_a_long_text_and_from_rare_languages(spark):
+    rows, make = lang_corpus()
+    free = [i for i in range(20_000, 20_400) if crc(i, 4) != 2]
+    long_rows = [(i, " ".join(make("fr", 20_000)), "fr") for i in free[:40]]
+    rare = [(i, " ".join(f"zwo{c}mij" for c in "abcdefgh"), "nl") for i in free[40:43]]
+    docs = frame(spark, [*rows, *long_rows, *rare, *long_rows[:1]])
+    langs, weights, _ = fit(docs.select("doc_id", "text", "lang"), "lang", (4, 2), n_rows=100, n_bytes=40_000)
+    assert langs == ["de", "en", "fr", "nl"] and weights.shape[1] == 4
+    probes = [(90_000, " ".join(make("en", 50)), None), (90_001, " ".join(make("de", 50)), None), (90_002, "zwoamij zwohmij zwocmij", None)]
+    got = {r.doc_id: r.lang_pred for r in language(docs.union(frame(spark, probes)), n_rows=100, n_bytes=40_000).collect()}
+    assert [got[i] for i, _, _ in probes] == ["en", "de", "nl"]
+    # More languages than rows: each is learned.
+    many = [(i, f"{a}x {a}y", a * 2) for i, a in zip(free, "abcdefgh")]
+    assert len(fit(frame(spark, many).select("doc_id", "text", "lang"), "lang", (4, 2), n_rows=3)[0]) == 8
+
+
+def test_level_fills_the_budget():
+    assert level(np.array([10, 1000, 20]), 100) == 70 and level(np.array([5, 5]), 100) == 5
+    assert level(np.array([8 << 20, 100, 100]), 300) == 100 and level(np.array([9, 9, 9]), 1) == 1
+
+
 def test_lm_scores(spark):
     rng = random.Random(3)
     rows = []
