@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from scholarlake.llm.langid import fit, language, level
-from scholarlake.llm.lm import lm_scores
+from scholarlake.llm.lm import ADD, CLASSES, DEPTH, Tree, code_of, lm_scores
 from scholarlake.llm.mixing import label_domains, mix
 from scholarlake.llm.toxicity import drop_toxic, toxicity
 
@@ -156,6 +156,33 @@ def test_lm_is_a_distribution(spark):
     assert all(r.score <= 0 for r in got.values())
 
 
+def test_lm_tells_words_of_a_class_apart_by_context(spark):
+    rng = random.Random(8)
+    # Equal last bytes are one class; each word occurs as often as the other.
+    rows = [(i, " ".join(f"n{rng.randrange(50)} " + ("red xaing" if k % 2 else "blue ybing") for k in range(20)), None) for i in range(400)]
+    held = [i for i in range(5000, 5100) if crc(i, 10) == 0][:4]
+    probes = list(zip(held, ["n1 red xaing", "n1 red ybing", "n1 blue ybing", "n1 blue xaing"], [None] * 4))
+    got = {r.doc_id: r.score for r in lm_scores(frame(spark, rows + probes)).collect()}
+    a, b, c, d = (got[i] for i in held)
+    assert a > b + 0.3 and c > d + 0.3
+
+
+def test_tree_is_a_distribution():
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    kind, count, code = rng.integers(3, 6, 3000).astype(np.uint8), rng.integers(1, 50, 3000), code_of(keys)
+    leaf = kind.astype(np.int32) << DEPTH | code
+    tokens, words = (np.bincount(leaf, weights=w, minlength=CLASSES << DEPTH) for w in (count, np.ones(3000)))
+    tree, features = Tree(tokens, words), np.tile(rng.integers(0, 1 << 32, (3, 1)).astype(np.uint32), 3000)
+    share = (count + ADD) / tree.leaf[leaf]
+    for table in (np.zeros(1 << 14, np.float32), rng.normal(size=1 << 14).astype(np.float32)):
+        p = tree.path(table, features, kind, code) * share
+        assert np.allclose(np.bincount(kind, weights=p)[3:6], 1, atol=1e-5)
+    # Untrained, it is the smoothed count's share of the class.
+    p = tree.path(np.zeros(1 << 14, np.float32), features, kind, code) * share
+    assert np.allclose(p, (count + ADD) / np.bincount(kind, weights=count + ADD)[kind], rtol=1e-4)
+
+
 def test_mix_reaches_targets(spark):
     rng = random.Random(6)
     rows, labels = [], []
