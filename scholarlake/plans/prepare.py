@@ -83,6 +83,7 @@ def run(store: Store, collection: str, records: DataFrame, engines: Engines, reb
     rows = chunk_rows(done, engines.embedder, engines.model).cache()
     n_chunks = rows.count()
     kept = store.read("chunks", collection).join(gone, "item_key", "left_anti")
+    store.check_vectors(store.read("chunks").filter(F.col("collection") != collection).select("vector", "model").union(kept.select("vector", "model")), rows)
     store.replace("chunks", collection, kept.unionByName(rows))
     removed = store.spark.createDataFrame([], "item_key string") if partial else old.select("item_key").join(records.select("item_key"), "item_key", "left_anti")
     store.upsert("content", collection, done.select("collection", "item_key", "dir", "markdown"), removed)

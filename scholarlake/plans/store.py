@@ -69,13 +69,17 @@ class Store:
         keys = gone.select("item_key").union(rows.select("item_key")).distinct()
         return self.replace(table, collection, self.read(table, collection).join(keys, "item_key", "left_anti").unionByName(rows, allowMissingColumns=True))
 
-    def append_chunks(self, collection: str, rows: DataFrame) -> int:
-        """Add vector rows; dimension and model must be those of the index."""
-        seen = self.read("chunks").select(F.size("vector").alias("d"), "model").limit(1).collect()
+    def check_vectors(self, stay: DataFrame, rows: DataFrame) -> None:
+        """Dimension and model of ``rows`` must be those of the chunks that stay in the index."""
+        seen = stay.select(F.size("vector").alias("d"), "model").limit(1).collect()
         if seen:
             other = rows.filter((F.size("vector") != seen[0].d) | (F.col("model") != seen[0].model)).select(F.size("vector").alias("d"), "model").limit(1).collect()
             if other:
                 raise ValueError(f"the index holds {seen[0].d} dimensions of model {seen[0].model!r}, not {other[0].d} of {other[0].model!r}")
+
+    def append_chunks(self, collection: str, rows: DataFrame) -> int:
+        """Add vector rows; dimension and model must be those of the index."""
+        self.check_vectors(self.read("chunks"), rows)
         return self.replace("chunks", collection, self.read("chunks", collection).unionByName(rows))
 
     def delete_items(self, collection: str, keys: list[str]) -> int:

@@ -287,6 +287,16 @@ def test_prepare_is_incremental(spark, tmp_path):
     assert store.delete_items("adhoc:t", list(after)) == 1 and store.item_keys("adhoc:t").isEmpty() and not store.exists(store.folder("chunks", "adhoc:t"))
 
 
+def test_prepare_refuses_another_model(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    write(tmp_path / "src" / "one.txt", "alpha beta")
+    go = lambda name, model: run(store, name, file_records(scan_files(spark, [str(tmp_path / "src")])), Engines(HashEmbedder(), model=model))
+    go("adhoc:a", "hash")
+    with pytest.raises(ValueError):
+        go("adhoc:b", "other")
+    assert store.read("chunks").select("model").distinct().count() == 1
+
+
 def test_store_dimension_guard(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     row = lambda v, m: spark.createDataFrame([(v, "t", "", "k", "", "", "", "c d'e", "", 0, 0, m)], __import__("scholarlake.schemas", fromlist=["CHUNKS"]).CHUNKS)
