@@ -7,7 +7,8 @@ starts at the odds of the smoothed counts below it, and hashed features of
 (context, decision) correct it; words of one leaf share its probability by
 their counts. Classes are the end of a text, two copies (the word before,
 the word before that), and word forms by a hash of their last letters, so that
-a word's class needs no table. Training runs over all training documents:
+a word's class needs no table. A copy has no probability where there is no
+word to copy. Training runs over all training documents:
 every partition takes AdaGrad steps over its texts from common weights, and
 the weights are averaged over partitions after each round, those of classes by
 the number of tokens, those of decisions over the partitions that met them; every round takes its own share of the documents. Counts of all words
@@ -27,23 +28,25 @@ from scholarlake.llm.blocks import Blocks, packed, split, text_batch, unpacked
 from scholarlake.llm.tools import checkpointed, crc_mod, texts
 from scholarlake.llm.words import BASE_INV, U, Words, mix, powers, salted, slices
 
-CLASSES, FORMS = 32, 29
+CLASSES, FORMS = 16, 13
 END, COPY_1, COPY_2 = 0, 1, 2
 END_KEY = U(1)
 BUCKETS = 1 << 14
 #: Kinds of features of a context.
 KINDS = 5
 STEP_TOKENS = 16_384
+#: Rows whose probabilities are worked out at a time, so that they stay in a core's cache.
+ROWS = 4096
 ROUNDS = 2
 #: Weight rows that travel together when partitions are averaged.
 CHUNKS = 64
 ADD = 0.1
 #: Levels of decisions below a class.
-DEPTH = 10
-#: Kinds of features of a decision: the word before, the two words before, the form of the word but one before.
-WORD_KINDS = (1, 3, 2)
+DEPTH = 11
+#: Kinds of features of a decision: the word before, the form of the word but one before.
+WORD_KINDS = (1, 2)
 #: Words of a step: a share of the decision weights, so that a step over all of them costs a word alike.
-STEP_SHARE = 32
+STEP_SHARE = 64
 #: Bits of the number of decision weights, least and most; in between it is that of the training tokens.
 WORD_BITS = (14, 20)
 
@@ -84,18 +87,26 @@ class Events:
         self.word_features = np.stack([(hashed[j] >> U(32)).astype(np.uint32) for j in WORD_KINDS])
         self.same_1 = (back_1 == self.key) & ~self.is_end
         self.same_2 = (back_2 == self.key) & ~self.is_end
+        #: Words before a token, two at most.
+        self.before = np.minimum(place, 2).astype(np.uint8)
         return self
 
 
-def class_probabilities(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = weights[features[:, 0]]
-    for j in range(1, features.shape[1]):
-        z += weights[features[:, j]]
-    # Far beyond what training reaches, and safe for exp in single precision.
-    np.clip(z, -60, 60, out=z)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def class_probabilities(weights: np.ndarray, features: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Probabilities of the classes from hashed features and the number of words ``before`` (0, 1, 2 or more)."""
+    out = np.empty((len(features), CLASSES), np.float32)
+    for lo in range(0, len(features), ROWS):
+        f, b, z = features[lo : lo + ROWS], before[lo : lo + ROWS], out[lo : lo + ROWS]
+        np.take(weights, f[:, 0], axis=0, out=z, mode="clip")
+        for j in range(1, f.shape[1]):
+            z += weights.take(f[:, j], axis=0, mode="clip")
+        # Far beyond what training reaches, and safe for exp in single precision.
+        np.clip(z, -60, 60, out=z)
+        np.exp(z, out=z)
+        z[b < 1, COPY_1] = 0
+        z[b < 2, COPY_2] = 0
+        z /= z.sum(axis=1, keepdims=True)
+    return out
 
 
 def start_weights() -> np.ndarray:
@@ -107,7 +118,7 @@ def descend(weights: np.ndarray, seen: np.ndarray, events: Events, rate: float)
     label = np.where(events.same_1, COPY_1, np.where(events.same_2, COPY_2, events.form_class))
     for lo in range(0, events.n, STEP_TOKENS):
         f, y = events.features[lo : lo + STEP_TOKENS], label[lo : lo + STEP_TOKENS]
-        g = class_probabilities(weights, f)
+        g = class_probabilities(weights, f, events.before[lo : lo + STEP_TOKENS])
         g[np.arange(len(y)), y] -= 1
         by_class = np.ascontiguousarray(g.T, np.float64)
         total = np.zeros((CLASSES, BUCKETS))
@@ -120,6 +131,32 @@ def descend(weights: np.ndarray, seen: np.ndarray, events: Events, rate: float)
         weights -= rate * step / np.sqrt(seen)
 
 
+def token_probabilities(model: tuple, events: Events, c: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The model's probability of every token, from training counts ``c`` and the classes' tokens and distinct words.
+
+    Over the known words, one unknown word a class and the end they sum to 1.
+    """
+    weights, table, tree = model
+    inside = tokens + ADD * (words + 1)
+    p = np.zeros(events.n)
+    for lo in range(0, events.n, 1 << 15):
+        rows = slice(lo, lo + (1 << 15))
+        q = class_probabilities(weights, events.features[rows], events.before[rows])
+        kind = events.form_class[rows]
+        own = q[np.arange(len(kind)), kind].astype(np.float64)
+        # An unknown word counts once a class, context-free; a known one by its path, then its share of the leaf.
+        own *= np.where(kind == END, 1.0, ADD / inside[kind])
+        known = np.flatnonzero((kind != END) & (c[rows] > 0))
+        if len(known):
+            k, code = kind[known], code_of(events.key[rows][known])
+            path = tree.path(table, events.word_features[:, known + lo], k, code)
+            own[known] *= (inside[k] / ADD - 1) * path * (c[rows][known] + ADD) / tree.leaf[k.astype(np.int32) << DEPTH | code]
+        # A copy of a word before adds to the word's probability.
+        own += np.where(events.same_1[rows], q[:, COPY_1], 0.0) + np.where(events.same_2[rows], q[:, COPY_2], 0.0)
+        p[rows] = own
+    return p
+
+
 def code_of(key: np.ndarray) -> np.ndarray:
     """The path of each word below its class."""
     return (salted(key, 9) >> U(64 - DEPTH)).astype(np.int32)
@@ -188,7 +225,7 @@ class Tree:
             table -= rate * step / np.sqrt(seen)
 
 
-def train(docs: DataFrame, tree: Tree, n_tokens: int, rounds: int = ROUNDS, rate: float = 0.15, word_rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, tree: Tree, n_tokens: int, rounds: int = ROUNDS, rate: float = 0.25, word_rate: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
     """(class weights, decision weights) from all of ``docs``: round r takes the documents whose hash modulo ``rounds`` is r."""
     weights = start_weights()
     table = np.zeros(1 << min(max(n_tokens.bit_length(), WORD_BITS[0]), WORD_BITS[1]), np.float32)
@@ -266,17 +303,17 @@ def lm_scores(docs: DataFrame, holdout: int = 10, id_col: str = "doc_id", text_c
         """The block's events, and which documents are held out."""
         return [Events(part.column(1)) for part in slices(text_batch(table))], table.column("held_out").to_numpy()
 
-    def vocabulary(parts: list[Events], held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct words, their training count, their class) of a block."""
+    def vocabulary(parts: list[Events], held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct words, their training count, their class, tokens of each, the tokens in the words' order) of a block."""
         key, kind = np.concatenate([e.key for e in parts]), np.concatenate([e.form_class for e in parts])
         learn = np.repeat(~held, np.concatenate([e.count for e in parts]))
         order = np.argsort(key)
         key = key[order]
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        return key[cut], np.add.reduceat(learn[order].astype(np.uint32), cut), kind[order[cut]]
+        return key[cut], np.add.reduceat(learn[order].astype(np.uint32), cut), kind[order[cut]], np.diff(cut, append=len(key)), order
 
     def ask(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        key, count, kind = vocabulary(*events_of(table))
+        key, count, kind, _, _ = vocabulary(*events_of(table))
         for b, columns, _ in split(bucket_of(key), key, count, kind):
             yield b, packed(*columns)
 
@@ -320,33 +357,19 @@ def lm_scores(docs: DataFrame, holdout: int = 10, id_col: str = "doc_id", text_c
 
     def finish(table: pa.Table, answers: dict) -> pa.Table:
         parts, held = events_of(table)
-        key, _, _ = vocabulary(parts, held)
+        key, _, _, times, order = vocabulary(parts, held)
         count = np.zeros(len(key))
         for b, _, rows in split(bucket_of(key), key):
             count[rows] = answers[1][b][0]
-        model, decisions, tree = shared.value
+        counts = np.empty(len(order))
+        counts[order] = np.repeat(count, times)
         base_floor = np.log10(n_all + ADD * (v_all + 1))
-        inside = tokens + ADD * (words + 1)
-        ids, out, at = table.column("doc_id").combine_chunks(), [], 0
+        ids, out, at, first = table.column("doc_id").combine_chunks(), [], 0, 0
         while parts:
             events = parts.pop(0).contexts()
-            c = count[np.searchsorted(key, events.key)]
-            p = np.zeros(events.n)
-            for lo in range(0, events.n, 1 << 15):
-                rows = slice(lo, lo + (1 << 15))
-                q = class_probabilities(model, events.features[rows])
-                kind = events.form_class[rows]
-                own = q[np.arange(len(kind)), kind].astype(np.float64)
-                # An unknown word counts once a class, context-free; a known one by its path, then its share of the leaf.
-                own *= np.where(kind == END, 1.0, ADD / inside[kind])
-                known = np.flatnonzero((kind != END) & (c[rows] > 0))
-                if len(known):
-                    k, code = kind[known], code_of(events.key[rows][known])
-                    path = tree.path(decisions, events.word_features[:, known + lo], k, code)
-                    own[known] *= (inside[k] / ADD - 1) * path * (c[rows][known] + ADD) / tree.leaf[k.astype(np.int32) << DEPTH | code]
-                # A copy of a word before adds to the word's probability.
-                own += np.where(events.same_1[rows], q[:, COPY_1], 0.0) + np.where(events.same_2[rows], q[:, COPY_2], 0.0)
-                p[rows] = own
+            c = counts[first : first + events.n]
+            first += events.n
+            p = token_probabilities(shared.value, events, c, tokens, words)
             unigram = np.log10(c + ADD) - base_floor
             sums = [np.add.reduceat(x, events.first) for x in (unigram, np.log10(np.maximum(p, 1e-300)), (c > 0).astype(np.int64))]
             n_docs = len(events.count)
