@@ -180,8 +180,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` does not keep; all columns stay."""
-    gone = exact_dedup(docs, id_col, text_col, **params).filter("not kept").select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("__sha")).distinct()
-    gone = gone.withColumnRenamed(id_col, "__id").withColumnRenamed("__sha", "__gone")
-    key = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
-    return docs.withColumn("__sha", key).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__gone")), "left_anti").drop("__sha")
+    """``docs`` without the rows that ``exact_dedup`` does not keep; all columns stay, whatever their names.
+
+    Rows that repeat the id and text of a kept document are that document and
+    stay; a null id is an id like others.
+    """
+    gone = exact_dedup(docs, id_col, text_col, **params).filter("not kept").select(F.col("doc_id").alias("id"), "text_sha256").distinct()
+    key = F.sha2(F.regexp_replace(F.coalesce(F.col(f"row.{text_col}"), F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
+    # All columns travel in one struct, so that no name of theirs can clash with the join's.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = rows.join(gone, F.col(f"row.{id_col}").eqNullSafe(F.col("id")) & (key == F.col("text_sha256")), "left_anti")
+    return left.select("row.*")

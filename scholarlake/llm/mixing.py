@@ -4,9 +4,12 @@ A softmax classifier, trained on a bounded sample of the labelled table,
 predicts for every document the posterior of its domain. Nonnegative rates of
 the documents are then fitted by distributed projected-gradient least squares,
 so that the expected tokens of the domains (rate * tokens * posterior) match
-the targets, staying near rate 1 where the targets leave a choice. A rate
-depends only on a document's posterior and the few residuals seen so far, so a
-pass over the data carries no state but those and sums one number per domain.
+the targets, staying near rate 1 where the targets leave a choice. Gradients
+are summed before they are projected: a rate is 1 less the posterior times the
+sum of all steps, cut at 0, so a pass over the data carries one number per
+domain. A step is the residual times the inverse Gram matrix of the posteriors
+of documents with a positive rate, halved where it went too far; so a handful
+of passes meets the targets.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ BUCKETS = 256
 SHAPE = 8
 #: Hashed words whose odds of the domains are counted.
 ODDS = 1 << 16
-RIDGE = 1e-3
+#: Weight of the distance to rate 1 against the targets.
+RIDGE = 1e-5
 
 
 def word_buckets(words: Words) -> np.ndarray:
@@ -140,53 +144,59 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, n_rows: int = 8000, rounds
     return domains, w.astype(np.float64), odds
 
 
-def rates(p: np.ndarray, history: list[np.ndarray], ridge: float = RIDGE) -> np.ndarray:
-    """Rates after the steps whose residuals (domain shares minus targets) are in ``history``."""
-    r = seen = np.ones(len(p))
-    step = 1 / (1 + ridge)
-    for i, residual in enumerate(history):
-        new = np.maximum(0, seen - step * (p @ residual + ridge * (seen - 1)))
-        seen, r = np.maximum(0, new + i / (i + 3) * (new - r)), new
-    return r
+def rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Rates of documents with posteriors ``p`` after the summed ``steps``."""
+    return np.maximum(0, 1 - p @ steps)
 
 
-def looked_at(p: np.ndarray, history: list[np.ndarray], ridge: float = RIDGE) -> np.ndarray:
-    """Where the next gradient is taken: the rates moved on by their momentum."""
-    if not history:
-        return np.ones(len(p))
-    i = len(history) - 1
-    r = rates(p, history, ridge)
-    return np.maximum(0, r + i / (i + 3) * (r - rates(p, history[:-1], ridge)))
+def fit_rates(weighed: DataFrame, targets: np.ndarray, n_tokens: float, ridge: float = RIDGE, rounds: int = 60, close: float = 1e-7) -> tuple[np.ndarray, float]:
+    """(summed steps, largest miss of a target) of the projected gradient over ``weighed(n_tokens, p)``.
 
-
-def fit_rates(weighed: DataFrame, targets: np.ndarray, n_tokens: float, ridge: float = RIDGE, rounds: int = 60, close: float = 2e-4) -> list[np.ndarray]:
-    """Residuals of the projected-gradient steps over ``weighed(n_tokens, p)``.
-
-    A domain's squared residual is divided by its share at rate 1, which makes
-    the problem's largest curvature 1 and its rare domains count.
+    Minimises the squared miss plus ``ridge`` times the squared distance of the
+    rates to 1 by its dual, which is convex and piecewise quadratic: a step is
+    Newton's, taken back by half until the dual falls. ``rounds`` bounds the
+    passes; what is left then shows in the miss.
     """
     k = len(targets)
-    history: list[np.ndarray] = []
-    scale = np.ones(k)
-    for _ in range(rounds):
+    width = 1 + k + k * k
 
-        def run(batches: Iterator[pa.RecordBatch], history=tuple(history)) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2 * k)
+    def measured(steps: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(dual value, expected share of each domain, Gram matrix of the documents with a positive rate)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width)
             for batch in batches:
                 n = batch.column(0).to_numpy(zero_copy_only=False) / n_tokens
                 p = np.asarray(batch.column(1).flatten()).reshape(-1, k)
-                total[:k] += (n * looked_at(p, list(history), ridge)) @ p
-                total[k:] += (n * rates(p, list(history), ridge)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * k)), pa.array(total)], names=["k", "total"])
-
-        sums = {r.k: r.total for r in weighed.mapInArrow(run, "k long, total double").groupBy("k").agg(F.sum("total").alias("total")).collect()}
-        got = np.array([sums.get(i, 0.0) for i in range(2 * k)])
-        if not history:
-            scale = 1 / np.maximum(got[k:], 1e-3)
-        elif np.abs(got[k:] - targets).max() < close:
+                r = rates(p, steps)
+                total[0] += n @ (r * r) / 2
+                total[1 : 1 + k] += (n * r) @ p
+                total[1 + k :] += ((n * (r > 0))[:, None] * p).T.dot(p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total)], names=["k", "total"])
+
+        out = np.zeros(width)
+        for r in weighed.mapInArrow(run, "k long, total double").groupBy("k").agg(F.sum("total").alias("total")).collect():
+            out[r.k] = r.total
+        return out[0] + steps @ targets + ridge * (steps @ steps) / 2, out[1 : 1 + k], out[1 + k :].reshape(k, k)
+
+    steps = np.zeros(k)
+    value, share, gram = measured(steps)
+    move = None
+    for _ in range(rounds):
+        if move is None:
+            slope = share - targets - ridge * steps
+            if np.abs(slope).max() < close:
+                break
+            # Domains that no document with a positive rate may belong to keep their steps bounded.
+            move = np.linalg.solve(gram + max(ridge, 1e-9 * np.trace(gram)) * np.eye(k), slope)
+        tried = measured(steps + move)
+        if tried[0] <= value + 1e-15:
+            steps, (value, share, gram), move = steps + move, tried, None
+        elif np.abs(move).max() < 1e-9:
             break
-        history.append((got[:k] - targets) * scale)
-    return history
+        else:
+            move = move / 2
+    return steps, float(np.abs(share - targets).max())
 
 
 def target_shares(domains: list[str], weights: dict[str, float]) -> np.ndarray:
@@ -196,15 +206,18 @@ def target_shares(domains: list[str], weights: dict[str, float]) -> np.ndarray:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, ridge: float = RIDGE, **params) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, posterior (domain -> probability), rate, copies.
+    """One row per row of ``docs``: doc_id, n_tokens, posterior (domain -> probability), rate, copies, target_miss.
 
     ``labelled``: (doc_id, domain). The expected token share of domain d
     becomes ``weights[d]`` of ``budget`` times all tokens. ``copies`` is the
     rate rounded up or down by a hash of the id, so that it is right on
-    average. Empty and null texts have no tokens and rate 1; without labels
-    there are no domains and every rate is the budget. A targeted domain that
-    no labelled row has is ignored. ``keep`` returns all columns of ``docs``
-    before rate and copies; a column of ``docs`` so named is replaced.
+    average. ``target_miss``, the same in all rows, is how far the worst domain
+    stays from its target: near 0 unless no rates meet the targets. Empty and
+    null texts have no tokens and rate 1; without labels there are no domains,
+    every rate is the budget and the miss is null. A targeted domain that no
+    labelled row has is ignored. Repeated rows count each; a null id is a row
+    like others. ``keep`` returns all columns of ``docs`` before the results;
+    a column of ``docs`` that is named like one of the results is replaced.
     """
     plain = texts(docs, id_col=id_col, text_col=text_col)
     domains, w, odds = fit_domains(plain, labelled, **params)
@@ -221,14 +234,15 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
                 n, p = scored(part.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array(p.ravel()))], names=["n_tokens", "p"])
 
-    history: list[np.ndarray] = []
+    steps, miss = np.zeros(k), None
     if k:
         weighed = checkpointed(plain.select("text").mapInArrow(measure, "n_tokens long, p array<double>"))
         total = weighed.agg(F.sum("n_tokens")).first()[0] or 0
         if total:
-            history = fit_rates(weighed, target_shares(domains, weights) * budget, float(total), ridge)
+            steps, miss = fit_rates(weighed, target_shares(domains, weights) * budget, float(total), ridge)
+        discard(weighed)
 
-    base = docs.drop("rate", "copies", "n_tokens", "posterior") if keep else plain
+    base = docs.drop("rate", "copies", "n_tokens", "posterior", "target_miss") if keep else plain
     at = base.columns.index(text_col if keep else "text")
     name = text_col if keep else "text"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if keep or f.name == "doc_id")
@@ -238,7 +252,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
         for batch in batches:
             for part in slices(batch, name):
                 n, p = scored(part.column(at))
-                r = rates(p, history, ridge) if history else np.full(len(n), float(budget) if not k else 1.0)
+                r = rates(p, steps) if k else np.full(len(n), float(budget))
                 r = np.where(n == 0, 1.0, r)
                 ids = part.column(id_at).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 copies = np.floor(r + (salted(ids.view(U), 77) >> U(11)) / float(1 << 53))
@@ -246,9 +260,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
                 posterior = pa.MapArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), entries.field(0), entries.field(1))
                 kept = [part.column(i) for i in range(part.num_columns)] if keep else [part.column(id_at)]
                 names = list(part.schema.names) if keep else ["doc_id"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(n.astype(np.int64)), posterior, pa.array(r), pa.array(copies.astype(np.int64))], names=[*names, "n_tokens", "posterior", "rate", "copies"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(n.astype(np.int64)), posterior, pa.array(r), pa.array(copies.astype(np.int64)), pa.array([miss] * len(n), pa.float64())], names=[*names, "n_tokens", "posterior", "rate", "copies", "target_miss"])
 
-    return base.mapInArrow(apply, f"{fields}, n_tokens long, posterior map<string,double>, rate double, copies long")
+    return base.mapInArrow(apply, f"{fields}, n_tokens long, posterior map<string,double>, rate double, copies long, target_miss double")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

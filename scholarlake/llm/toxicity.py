@@ -2,12 +2,14 @@
 
 Voters are single words (a seed lexicon and words that the labelled rows
 associate with toxicity), word beginnings (patterns that catch inflected and
-compounded forms) and shape patterns. A generative label model, fitted by
-expectation maximisation on votes alone from accuracies measured on labelled
-rows, estimates each voter's hit rates in both classes and the correlations
-of voters within a class; correlated voters share their weight. Its posterior
-labels train a logistic classifier, which scores every document by the
-features that its text holds.
+compounded forms) and shape patterns. A generative label model estimates each
+voter's hit rates in both classes and the correlations of voters within the
+classes from the votes of all documents, by expectation maximisation over the
+table of distinct vote patterns; labels only choose the voters and tell it
+where to start. Correlated voters of a text share what they say. The model's
+posteriors train a logistic classifier, which scores every document by the
+features of its text; only a labelled row on which every voter abstains is
+learned by its label.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlake.llm.tools import checkpointed, crc_mod, signed, texts
+from scholarlake.llm.tools import checkpointed, crc_mod, discard, signed, texts
 from scholarlake.llm.words import U, Words, raw_text, salted, slices
 
 #: Seed lexicon.
@@ -30,6 +32,8 @@ PREFIXES = (4, 5, 6)
 SHAPES = ("mostly upper case", "many exclamation marks", "few different words")
 N_FEATURES = 512
 N_VOTERS = 96
+#: Share of a voter's votes that must be right on labelled rows.
+PRECISION = 0.9
 
 
 def word_features(words: Words) -> list[np.ndarray]:
@@ -117,36 +121,91 @@ def held(rows: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "y int, at array<int>")
 
 
-def label_model(votes: np.ndarray, y: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of toxicity for every row, weight of every voter).
+class LabelModel:
+    """Hit rates of voters in both classes (``a``: toxic, ``b``: clean), their correlations, and the rates of silence.
 
-    ``votes``: 1 where a voter says toxic, 0 where it abstains; ``y``: 1, 0 or
-    -1 (no label). Rows with a label count by it, others by their posterior.
-    An abstention is no evidence of its own, only that of all voters at once.
+    A text is silent or not, by its class; if not, what each vote adds is its
+    rate among such texts. A single abstention is no evidence. Voters of one text that are correlated share what they
+    say: each counts 1 / (1 + its correlations with the others that voted).
     """
-    v = votes.astype(np.float64)
-    known = y >= 0
-    silent = v.sum(1) == 0
-    q = np.where(known, y, np.where(silent, 0.2 * prior, 0.9)).astype(np.float64)
-    use = known if (y == 1).any() else np.ones(len(y), bool)
-    weight = np.ones(v.shape[1])
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, silent: tuple[float, float], prior: float, correlation: np.ndarray, least: float = 0.1):
+        self.a, self.b, self.prior = a, b, prior
+        self.quiet = float(np.log(silent[0]) - np.log(silent[1]))
+        self.loud = float(np.log(1 - silent[0]) - np.log(1 - silent[1]))
+        self.each = np.log(a / b) - self.loud
+        self.shared = np.where(correlation > least, correlation, 0)
+        np.fill_diagonal(self.shared, 1)
+        self.start = np.log(prior / (1 - prior))
+
+    @classmethod
+    def of(cls, positive: np.ndarray, votes: np.ndarray, silent: np.ndarray, n: np.ndarray, prior: float, both: np.ndarray) -> LabelModel:
+        """From (expected) toxic documents with each vote, all with each vote, silent ones and all by class, and joint votes."""
+        rate = lambda x, k: np.clip((x + 0.05) / (k + 0.1), 1e-5, 1 - 1e-5)
+        a, b = rate(positive, n[0]), rate(votes - positive, n[1])
+        total = max(n.sum(), 1)
+        return cls(a, b, (float(rate(silent[0], n[0])), float(rate(silent[1], n[1]))), prior, correlations(both / total, a, b, n[0] / total))
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of toxicity of the rows of a 0/1 table of votes."""
+        odds = self.start + (votes * self.each / np.maximum(votes @ self.shared, 1)).sum(axis=1)
+        odds = odds + np.where(votes.any(axis=1), self.loud, self.quiet)
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def correlations(both: np.ndarray, a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Of voters within the classes: what their joint rates ``both`` hold beyond the class means."""
+    within = both - share * np.outer(a, a) - (1 - share) * np.outer(b, b)
+    spread = np.sqrt(np.maximum(np.diag(within), 1e-9))
+    out = np.clip(within / np.outer(spread, spread), -1, 1)
+    np.fill_diagonal(out, 1)
+    return out
+
+
+def label_model(patterns: DataFrame, start: LabelModel, rounds: int = 8, close: float = 1e-3) -> LabelModel:
+    """Expectation maximisation over patterns(votes, n): a round sums one number per voter.
+
+    Joint votes do not depend on the classes, so they are summed once.
+    """
+    k = len(start.a)
+
+    def summed(width: int, add) -> np.ndarray:
+        """Totals over all patterns of ``add(table of votes, documents with each)``, a few thousand patterns at a time."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 4096):
+                    part = batch.slice(lo, 4096)
+                    size = np.diff(np.asarray(part.column(0).offsets))
+                    votes = np.zeros((part.num_rows, k))
+                    votes[np.repeat(np.arange(part.num_rows), size), np.asarray(part.column(0).flatten())] = 1
+                    total += add(votes, part.column(1).to_numpy().astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total)], names=["i", "x"])
+
+        out = np.zeros(width)
+        for r in patterns.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            out[r.i] = r.x
+        return out
+
+    found = summed(k * k + 2, lambda v, n: np.concatenate([(v.T @ (v * n[:, None])).ravel(), [n.sum(), n[~v.any(axis=1)].sum()]]))
+    both, total, silent = found[: k * k].reshape(k, k), found[-2], found[-1]
+    model = start
     for _ in range(rounds):
-        one, zero = q[use], 1 - q[use]
-        a = np.clip((one @ v[use] + 0.05) / (one.sum() + 0.1), 1e-5, 1 - 1e-5)
-        b = np.clip((zero @ v[use] + 0.05) / (zero.sum() + 0.1), 1e-5, 1 - 1e-5)
-        # Correlation of voters within the classes: residuals after the class means.
-        residual = v[use] - np.outer(one, a) - np.outer(zero, b)
-        spread = np.sqrt((residual**2).mean(0)) + 1e-9
-        correlation = (residual.T @ residual) / len(residual) / np.outer(spread, spread)
-        np.fill_diagonal(correlation, 0)
-        weight = 1 / (1 + np.maximum(0, correlation - 0.1).sum(1))
-        quiet = np.log((one @ silent[use] + 0.05) / (one.sum() + 0.1)) - np.log((zero @ silent[use] + 0.05) / (zero.sum() + 0.1))
-        odds = np.log(prior / (1 - prior)) + v @ (weight * np.log(a / b)) + silent * quiet
-        model = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        q = np.where(known, y, model)
-        use = np.ones(len(y), bool)
-    # What the classifier learns from: the model's word and the label's, where there is one.
-    return np.where(known, 0.5 * (model + y), model), weight
+
+        def expected(votes: np.ndarray, n: np.ndarray, model=model) -> np.ndarray:
+            q = n * model.posterior(votes)
+            return np.concatenate([q @ votes, [q.sum(), q[~votes.any(axis=1)].sum()]])
+
+        sums = summed(k + 2, expected)
+        toxic, quiet = sums[k], sums[k + 1]
+        prior = float(np.clip(toxic / max(total, 1), 0.001, 0.5))
+        new = LabelModel.of(sums[:k], np.diag(both), np.array([quiet, silent - quiet]), np.array([toxic, total - toxic]), prior, both)
+        moved = np.abs(np.append(new.a - model.a, new.prior - model.prior)).max()
+        model = new
+        if moved < close:
+            break
+    return model
 
 
 def logistic(x: np.ndarray, q: np.ndarray, weights: np.ndarray, l2: float = 1e-5, rounds: int = 800) -> np.ndarray:
@@ -165,49 +224,74 @@ def logistic(x: np.ndarray, q: np.ndarray, weights: np.ndarray, l2: float = 1e-5
     return w.astype(np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", holdout: int = 5, n_positive: int = 2500, n_negative: int = 4000, n_unlabelled: int = 2500) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", holdout: int = 5, n_positive: int = 2500, n_negative: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """(sorted feature hashes, coefficients and intercept).
 
-    Learns from at most ``n_positive`` + ``n_negative`` labelled rows and
-    ``n_unlabelled`` votes of documents without looking at labels, all chosen
-    by a hash of the id outside the held-out remainder.
+    Voters are chosen, and the classifier is fitted, on at most ``n_positive``
+    + ``n_negative`` labelled rows, chosen by a hash of the id; the label model
+    learns from the votes of all documents. The held-out remainder has no part
+    in any of it.
     """
+    docs = docs.filter("doc_id is not null").filter(crc_mod("doc_id", holdout) != 0)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     labels = labels.filter(crc_mod("doc_id", holdout) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
-    by_hash = lambda df, n, salt: df.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(n)
+    by_hash = lambda df, n: df.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(n)
     share = labels.agg(F.avg("y")).first()[0]
     prior = float(np.clip(share if share is not None else 0.1, 0.01, 0.5))
-    free = docs.filter("doc_id is not null").filter(crc_mod("doc_id", holdout) != 0).select("doc_id", F.lit(-1).alias("y"))
-    chosen = by_hash(labels.filter("y = 1"), n_positive, 1).union(by_hash(labels.filter("y = 0"), n_negative, 1)).union(by_hash(free, n_unlabelled, 2))
-    chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y"))
-    # At most n_positive + n_negative + n_unlabelled ids.
+    chosen = by_hash(labels.filter("y = 1"), n_positive).union(by_hash(labels.filter("y = 0"), n_negative))
+    # At most n_positive + n_negative ids.
     rows = checkpointed(docs.join(F.broadcast(chosen), "doc_id").select("y", "text"))
     counts = dict(map(tuple, rows.groupBy("y").count().collect()))
     n_pos, n_neg = counts.get(1, 0), counts.get(0, 0)
     seeds = np.concatenate([seed_hashes(), shape_hashes()])
-    vocabulary = seeds
+    vocabulary = np.unique(seeds)
+    value: dict[int, int] = {}
     if n_pos:
         least = max(4.0, 0.004 * n_pos)
         rate = (F.col("pos") / n_pos) / ((F.col("neg") + 0.5) / (n_neg + 1))
-        best = counted(rows.filter("y >= 0")).filter(F.col("pos") >= least).filter(rate >= 8)
-        best = best.withColumn("rate", rate).orderBy(F.desc(F.col("pos") * F.log("rate")), "feature").limit(N_FEATURES).collect()
+        often = checkpointed(counted(rows).filter(F.col("pos") >= least).withColumn("rate", rate))
+        # By chance alone (a Poisson tail), fewer than one in twenty of all features would get so far together.
+        sure = F.col("pos") * (F.log("rate") - 1) + F.col("pos") / F.col("rate") >= float(np.log(20 * max(1, often.count())))
+        best = often.filter("rate >= 8").withColumn("sure", sure).orderBy(F.desc(F.col("pos") * F.log("rate")), "feature").limit(N_FEATURES).collect()
+        discard(often)
         vocabulary = np.unique(np.concatenate([seeds, np.array([r.feature for r in best], np.int64).view(U)]))
-        value = {r.feature: r.pos for r in best}
-    else:
-        vocabulary, value = np.unique(seeds), {}
+        value = {r.feature: r.pos for r in best if r.sure}
+    may_vote = np.isin(vocabulary, np.concatenate([seeds, np.array(list(value), np.int64).view(U)]))
+    ranked = sorted(np.flatnonzero(may_vote).tolist(), key=lambda j: (vocabulary[j] not in seeds, -value.get(int(vocabulary[j].view(np.int64)), 0), j))
     found = held(rows, vocabulary).collect()
     x = np.zeros((len(found), len(vocabulary)), np.float32)
     for i, r in enumerate(found):
         x[i, r.at] = 1
     y = np.array([r.y for r in found], int)
+    discard(rows)
+    if n_pos:
+        # A voter must mostly be right alone, the lexicon and the shapes too: one that is as often wrong would make itself right.
+        rates = [(x[y == c].sum(0) + 0.5) / ((y == c).sum() + 1) for c in (0, 1)]
+        ranked = [j for j in ranked if prior * rates[1][j] >= PRECISION / (1 - PRECISION) * (1 - prior) * rates[0][j]] or ranked
+    at = np.sort(np.array(ranked[:N_VOTERS]))
+    voters, v = vocabulary[at], x[:, at].astype(np.float64)
+    if n_pos:
+        # Rates by label, at the classes' shares.
+        n = np.array([prior, 1 - prior]) * min(n_pos / prior, n_neg / (1 - prior) if n_neg else np.inf)
+        weight = np.where(y == 1, n[0] / n_pos, n[1] / max(n_neg, 1))
+        hits = [weight[y == c] @ v[y == c] for c in (0, 1)]
+        quiet = weight * ~v.any(axis=1)
+        start = LabelModel.of(hits[1], hits[0] + hits[1], np.array([quiet[y == 1].sum(), quiet[y == 0].sum()]), n, prior, v.T @ (v * weight[:, None]))
+    else:
+        # Without a toxic label words vote alone: each speaks for toxicity, silence against it.
+        lexicon = np.isin(voters, seed_hashes())
+        start = LabelModel(np.where(lexicon, 0.2, 0.02), np.where(lexicon, 0.01, 0.02), (0.2, 0.9), prior, np.eye(len(voters)))
+    patterns = checkpointed(held(docs.select(F.lit(0).alias("y"), "text"), voters).groupBy(F.col("at").alias("votes")).agg(F.count("*").alias("n")))
+    model = label_model(patterns, start)
+    discard(patterns)
     if not len(found):
-        return vocabulary, np.append(np.where(np.isin(vocabulary, seed_hashes()), 3.0, 0.0), np.log(prior / (1 - prior)))
-    ranked = sorted(range(len(vocabulary)), key=lambda j: (vocabulary[j] not in seeds, -value.get(int(vocabulary[j].view(np.int64)), 0), j))
-    voters = np.array(ranked[:N_VOTERS])
-    q, _ = label_model(x[:, voters], y, prior)
+        each = np.zeros(len(vocabulary))
+        each[at] = model.each + model.loud
+        return vocabulary, np.append(each, model.start + model.quiet)
     # Labelled rows were drawn by class; weigh them back to the classes' shares.
-    weights = np.where(y == 1, prior / max(n_pos, 1), np.where(y == 0, (1 - prior) / max(n_neg, 1), 1 / len(y)))
-    return vocabulary, logistic(x, q, weights)
+    weights = np.where(y == 1, prior / max(n_pos, 1), (1 - prior) / max(n_neg, 1))
+    # Where every voter abstains the model has nothing to say, and the row's own label stands.
+    return vocabulary, logistic(x, np.where(v.any(axis=1), model.posterior(v), y), weights)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, holdout: int = 5, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:

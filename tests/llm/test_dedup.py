@@ -134,3 +134,11 @@ def test_drop_near_copies(spark):
     left = drop_near_copies(docs)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == {r[0] for r in near_brute(near_corpus(n=60), 5, 80) if r[3]}
+
+
+def test_drop_copies_keeps_columns_that_clash(spark):
+    rows = [(1, "a b", 10, "x", 5), (2, "ab", 11, "y", 6), (3, None, 12, "z", 7), (None, "c", 13, "w", 8), (4, "c", 14, "v", 9), (1, "a b", 15, "u", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __sha long, id string, row long")
+    left = drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["__sha"], r["id"], r["row"]) for r in left.collect()) == [(10, "x", 5), (12, "z", 7), (14, "v", 9), (15, "u", 4)]
