@@ -6,10 +6,12 @@ Karp-Rabin hash. Only (document, item) pairs whose shared seeds could cover
 enough of the item are tiled: the longest match of unmarked tokens is marked
 in both texts, again and again, until none of ``min_match`` tokens is left, so
 that a reordered passage counts by its parts. A document is contaminated if
-the tiles cover at least ``coverage`` of some item's tokens.
+the tiles cover at least ``coverage`` of some item's tokens. An item of fewer
+than ``min_match`` tokens has no seed: it counts where it occurs whole.
 
-The benchmark is worked on in blocks of bounded size, each against all
-documents.
+The benchmark is joined in blocks of bounded size, one after the other in the
+same pass over the documents; the best item so far travels with each row, so
+the rows are the same for any number of blocks.
 """
 
 from __future__ import annotations
@@ -20,17 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlake.llm.tools import texts
+from scholarlake.llm.tools import checkpointed, texts
 from scholarlake.llm.words import Words, slices, windows
 
 MIN_MATCH = 5
 COVERAGE = 0.8
-#: Bytes of benchmark text that are broadcast at a time.
-BLOCK_BYTES = 16 << 20
-RESULT = "doc_id long, contaminated boolean, item_id long, coverage double, n_tiles long, tile_words long"
+#: Bytes of benchmark text that are broadcast at a time, and blocks that one pass over the documents joins.
+BLOCK_BYTES, PASS_BLOCKS = 16 << 20, 4
+#: (Document, item, place) rows that a join of seeds holds at a time; one document may take more.
+JOIN_ROWS = 1 << 20
+BEST = "item_id long, coverage double, n_tiles long, tile_words long"
 
 
 def tiles(pattern: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
@@ -76,7 +81,7 @@ def tiles(pattern: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) ->
 
 
 class Items:
-    """Seeds of a block of items: sorted hashes, and for each the item and the place."""
+    """Seeds of a block of items: sorted hashes, and for each the item and the place; short items by their whole hash."""
 
     def __init__(self, ids: list[int], column: pa.Array, min_match: int):
         words = Words(column, lower=True, letters=True)
@@ -88,10 +93,25 @@ class Items:
         seeds, doc = seeds[where], words.doc_of()[where]
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.item, self.place = seeds[order], doc[order], (where - words.first[doc])[order]
+        #: {tokens: (sorted hashes, their items)}; of items with the same tokens the one of smallest id.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, min_match):
+            some = np.flatnonzero(words.count == n)
+            if len(some):
+                some = some[np.argsort(self.ids[some], kind="stable")]
+                whole, first = np.unique(windows(words.hash, words.first, n)[0][words.first[some]], return_index=True)
+                self.short[n] = whole, some[first]
 
     def check(self, column: pa.Array, coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
         """(text index, item index, coverage, tiles, tiled words) of pairs that reach ``coverage``."""
         words = Words(column, lower=True, letters=True)
+        doc_of = words.doc_of()
+        for n, (whole, item) in self.short.items():
+            found, inside = windows(words.hash, words.first, n)
+            at = np.minimum(np.searchsorted(whole, found), len(whole) - 1)
+            hit = np.flatnonzero((whole[at] == found) & inside)
+            for d, i in np.unique(np.stack([doc_of[hit], item[at[hit]]]), axis=1).T.tolist():
+                yield d, i, 1.0, 1, n
         found, inside = windows(words.hash, words.first, self.min_match)
         if not len(found) or not len(self.seeds):
             return
@@ -99,9 +119,19 @@ class Items:
         hit = np.flatnonzero((self.seeds[np.minimum(lo, len(self.seeds) - 1)] == found) & inside)
         if not len(hit):
             return
-        lo, hi = lo[hit], np.searchsorted(self.seeds, found[hit], side="right")
-        n = hi - lo
-        doc = np.repeat(words.doc_of()[hit], n)
+        # A seed joins once a text, however often the text repeats it.
+        doc, lo = np.unique(np.stack([doc_of[hit], lo[hit]]), axis=1)
+        n = np.searchsorted(self.seeds, self.seeds[lo], side="right") - lo
+        # As many texts at a time as a bounded join holds.
+        turn = np.cumsum(n) // JOIN_ROWS
+        cut = np.flatnonzero((np.diff(turn) > 0) & (np.diff(doc) > 0)) + 1
+        cut = cut[np.append(True, np.diff(turn[cut]) > 0)] if len(cut) else cut
+        for d, seed, k in zip(np.split(doc, cut), np.split(lo, cut), np.split(n, cut)):
+            yield from self.tiled(words, d, seed, k, coverage)
+
+    def tiled(self, words: Words, doc: np.ndarray, lo: np.ndarray, n: np.ndarray, coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
+        """Pairs of texts and items that share seeds (the ``n`` places from ``lo``), tiled where these can cover enough."""
+        doc = np.repeat(doc, n)
         posting = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         # Distinct places of an item whose seed is in the text bound what tiles can cover.
         key = np.unique(np.stack([doc, self.item[posting], self.place[posting]]), axis=1)
@@ -117,13 +147,13 @@ class Items:
                     yield int(d), int(item), total / int(self.size[item]), len(made), total
 
 
-def blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[int], list[str]]]:
-    """The benchmark's (ids, texts) in blocks of about ``limit`` bytes, dealt by a hash of the id."""
+def blocks(benchmark: DataFrame, limit: int) -> Iterator[Broadcast]:
+    """The benchmark's (ids, texts) in broadcast blocks of about ``limit`` bytes, dealt by a hash of the id."""
     total = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, math.ceil(2 * total / limit))
     for i in range(n):
         rows = benchmark.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == i).collect()
-        yield [r.doc_id for r in rows], [r.text for r in rows]
+        yield benchmark.sparkSession.sparkContext.broadcast(([r.doc_id for r in rows], [r.text for r in rows]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -131,76 +161,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
 
     ``item_id`` is the item of highest coverage (then smallest id) among those
     reached, null if none; coverage is then 0. Items of fewer than
-    ``min_match`` tokens, null items and null ids of items match nothing; null
-    texts are empty. Only the named columns are read. Repeated rows are
-    reported each (with more than one block of items, rows that repeat an id
-    and a text hash are reported once).
+    ``min_match`` tokens are reached where they occur whole; items without a
+    token, null items and null ids of items match nothing. Null texts are
+    empty. Only the named columns are read. Every row is reported, repeated
+    ones too.
     """
     docs = texts(docs, id_col=id_col, text_col=text_col)
     items = texts(benchmark, id_col=item_col, text_col="text").filter("doc_id is not null")
-    parts = []
-    for ids, found in blocks(items, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast((ids, found))
+    found = docs.withColumns({c: F.lit(None if c == "item_id" else 0).cast(kind) for c, kind in (x.split(" ") for x in BEST.split(", "))})
+    parts = list(blocks(items, block_bytes))
+    for turn, held in enumerate(parts):
+        last = turn == len(parts) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, found = held.value
-            block = Items(ids, pa.array(found, pa.string()), min_match)
+        def run(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
+            block = Items(held.value[0], pa.array(held.value[1], pa.string()), min_match)
             for batch in batches:
                 for part in slices(batch):
-                    best: dict[int, tuple] = {}
+                    best = {d: (-share, i, n, total) for d, (i, share, n, total) in enumerate(zip(*(part.column(c).to_pylist() for c in range(2, 6)))) if i is not None}
                     for d, item, share, n, total in block.check(part.column(1), coverage):
                         new = (-share, int(block.ids[item]), n, total)
                         best[d] = min(best.get(d, new), new)
                     hits = [best.get(d) for d in range(part.num_rows)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column(0),
-                            pa.array([h is not None for h in hits]),
-                            pa.array([h and h[1] for h in hits], pa.int64()),
-                            pa.array([-h[0] if h else 0.0 for h in hits], pa.float64()),
-                            pa.array([h[2] if h else 0 for h in hits], pa.int64()),
-                            pa.array([h[3] if h else 0 for h in hits], pa.int64()),
-                        ],
-                        names=["doc_id", "contaminated", "item_id", "coverage", "n_tiles", "tile_words"],
-                    )
-
-        parts.append(run)
-    if len(parts) == 1:
-        return docs.mapInArrow(parts[0], RESULT)
-    # More blocks: the best of all blocks for each document.
-    every = None
-    for run in parts:
-        some = docs.withColumn("key", F.xxhash64("text")).select("doc_id", "text", "key")
-        one = with_key(some, run)
-        every = one if every is None else every.union(one)
-    best = F.min(F.struct((-F.col("coverage")).alias("c"), "item_id", "contaminated", "n_tiles", "tile_words"))
-    every = every.withColumn("item_id", F.coalesce("item_id", F.lit((1 << 63) - 1)))
-    return every.groupBy("doc_id", "key").agg(best.alias("b")).select("doc_id", "b.contaminated", F.when(F.col("b.contaminated"), F.col("b.item_id")).alias("item_id"), (-F.col("b.c")).alias("coverage"), "b.n_tiles", "b.tile_words")
-
-
-def with_key(docs: DataFrame, run) -> DataFrame:
-    """``run``'s result with the text hash beside each row."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                out = list(run(iter([part])))
-                done = pa.Table.from_batches(out).append_column("key", part.column(2)).combine_chunks()
-                yield from done.to_batches()
-
-    return docs.mapInArrow(keyed, f"{RESULT}, key long")
+                    made = [
+                        pa.array([h and h[1] for h in hits], pa.int64()),
+                        pa.array([-h[0] if h else 0.0 for h in hits], pa.float64()),
+                        pa.array([h[2] if h else 0 for h in hits], pa.int64()),
+                        pa.array([h[3] if h else 0 for h in hits], pa.int64()),
+                    ]
+                    kept = ["doc_id"] if last else ["doc_id", "text"]
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *made], names=[*kept, "item_id", "coverage", "n_tiles", "tile_words"])
+
+        found = found.mapInArrow(run, f"doc_id long, {'' if last else 'text string, '}{BEST}")
+        if not last and turn % PASS_BLOCKS == PASS_BLOCKS - 1:
+            found = checkpointed(found)
+    return found.select("doc_id", F.col("item_id").isNotNull().alias("contaminated"), "item_id", "coverage", "n_tiles", "tile_words")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without contaminated documents; all columns stay, no shuffle."""
+    """``docs`` without contaminated documents; all columns stay, no shuffle. A null id or text is a row like others."""
     at, schema = docs.columns.index(text_col), docs.schema
     items = texts(benchmark, id_col=item_col, text_col="text").filter("doc_id is not null")
-    for ids, found in blocks(items, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast((ids, found))
+    for turn, held in enumerate(blocks(items, block_bytes)):
+        if turn and turn % PASS_BLOCKS == 0:
+            docs = checkpointed(docs)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, found = held.value
-            block = Items(ids, pa.array(found, pa.string()), min_match)
+            block = Items(held.value[0], pa.array(held.value[1], pa.string()), min_match)
             for batch in batches:
                 for part in slices(batch, text_col):
                     keep = np.ones(part.num_rows, bool)

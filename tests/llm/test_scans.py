@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
 from scholarlake.llm.decontaminate import contamination, drop_contaminated, tiles
 from scholarlake.llm.secrets import KINDS, secrets
 
@@ -116,3 +118,44 @@ def test_contamination(spark):
     assert contamination(frame(spark, []), bench).collect() == []
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in contamination(frame(spark, rows), none).collect())
+
+
+def test_contamination_keeps_repeated_rows_and_finds_short_items(spark):
+    item = " ".join(f"t{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item), (2, item + " more"), (3, "rare pair"), (4, "x " * 30), (5, ""), (6, "Rare, pair!")], "item_id long, text string")
+    rows = [(1, f"a {item} b"), (1, f"a {item} b"), (None, item), (2, "a Rare PAIR here"), (3, "rare other pair"), (4, "x " * 400), (5, None), (5, None)]
+    want = sorted([(1, 1), (1, 1), (None, 1), (2, 3), (3, None), (4, 4), (5, None), (5, None)], key=str)
+    for limit in (1 << 24, 300, 60):
+        got = contamination(frame(spark, rows), bench, block_bytes=limit).collect()
+        assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == want
+        assert drop_contaminated(frame(spark, rows), bench, block_bytes=limit).count() == 3
+
+
+def test_contamination_equals_tiling_all_pairs(spark, monkeypatch):
+    """Every document against every item by the textbook's tiling, with few rows of the seed join at a time too."""
+    from scholarlake.llm import decontaminate
+
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(7)}"
+    items = [(k, " ".join(word() for _ in range(rng.randrange(3, 14)))) for k in range(12)]
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(0, 40)))) for i in range(40)]
+    want = {}
+    for i, t in rows:
+        reached = []
+        for k, p in items:
+            p, words = p.split(), t.split()
+            if len(p) < 3 + 2:
+                covered = len(p) if any(words[j : j + len(p)] == p for j in range(len(words))) else 0
+            else:
+                covered = sum(x[2] for x in tiles_brute(p, words, 5))
+            if covered >= 0.6 * len(p):
+                reached.append((-covered / len(p), k))
+        want[i] = min(reached)[1] if reached else None
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: r.item_id for r in contamination(frame(spark, rows), bench, coverage=0.6).collect()} == want
+    block = decontaminate.Items([k for k, _ in items], pa.array([p for _, p in items]), 5)
+    found = []
+    for held in (1 << 20, 3):
+        monkeypatch.setattr(decontaminate, "JOIN_ROWS", held)
+        found.append(sorted(block.check(pa.array([t for _, t in rows]), 0.6)))
+    assert found[0] == found[1] and {d for d, *_ in found[0]} == {i for i, k in want.items() if k is not None}
