@@ -13,8 +13,8 @@ first each class meets the bucket's hub. What is left are buckets that hold
 several components. Their classes are joined on prefixes: of a set's shingles
 in one global order, rare ones first, two sets at the threshold share one among
 their first size - ceil(threshold * size) + 1. So classes that can have no link
-meet nobody, however large their bucket. Shingles that still join several
-components are swept, by random pivots first if there are many pairs, until no
+meet nobody, however large their bucket. Shingles that join several components
+are swept, by random pivots first if there are many pairs, until no
 untested pair across components is left; no link between components is lost.
 """
 
@@ -34,8 +34,8 @@ from scholarlake.llm.words import BASE, MASK, U, Words, distinct, mix, salted, s
 
 #: At similarity 0.8 a pair is missed by all bands with probability 1.3e-7.
 BANDS, BAND_ROWS = 40, 5
-#: Ids that may be broadcast; pairs swept without pivots, at least.
-BROADCAST_IDS, SWEEP_PAIRS = 1 << 20, 2_000_000
+#: Ids that may be broadcast; pairs a document that are swept without pivots.
+BROADCAST_IDS, SWEEP_PAIRS = 1 << 20, 64
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +138,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, bucket, place): a row for each shingle of a set's prefix that another of the ``sets`` holds too.
+    """(bucket, rep, n, place, root): a row for each shingle of a set's prefix that sets of another component hold too.
 
-    Shingles are ordered by the number of sets that hold them, looked up by
-    blocks of sets (see ``blocks``), then by value; ``place`` is that order's.
+    ``sets`` has doc_id, s and root, the component so far. Shingles are ordered
+    by the number of sets that hold them, looked up by blocks of sets (see
+    ``blocks``), then by value; ``place`` is that order's. A shingle that only
+    one component holds can link nothing new and makes no row.
     """
     blocks = Blocks(sets)
     bucket_of = lambda key: ((key >> U(32)) % U(blocks_n)).astype(np.int64)
@@ -151,46 +153,58 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         return np.asarray(table.column("s").combine_chunks().flatten()).view(U)
 
     def ask(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        v = np.sort(values(table))
+        v = values(table)
+        root = np.repeat(table.column("root").to_numpy(), np.diff(np.asarray(table.column("s").combine_chunks().offsets)))
+        order = np.argsort(v)
+        v, root = v[order], root[order]
         cut = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, int)
-        for b, columns, _ in split(bucket_of(v[cut]), v[cut], np.diff(cut, append=len(v)).astype(np.uint32)):
+        ends = (np.minimum.reduceat(root, cut), np.maximum.reduceat(root, cut)) if len(v) else (root, root)
+        for b, columns, _ in split(bucket_of(v[cut]), v[cut], np.diff(cut, append=len(v)).astype(np.uint32), *ends):
             yield b, packed(*columns)
 
     def answer(payloads: list[list[np.ndarray]]) -> Iterator[tuple]:
-        _, inverse = np.unique(np.concatenate([p[0] for p in payloads]), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([p[1] for p in payloads])).astype(np.uint32)
+        key, count, lo, hi = (np.concatenate(p) for p in zip(*payloads))
+        order = np.argsort(key)
+        cut = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        which = np.empty(len(key), np.int64)
+        which[order] = np.repeat(np.arange(len(cut)), np.diff(cut, append=len(key)))
+        total = np.add.reduceat(count[order], cut, dtype=np.int64)
+        mixed = np.minimum.reduceat(lo[order], cut) != np.maximum.reduceat(hi[order], cut)
         at = 0
         for p in payloads:
-            yield (total[inverse[at : at + len(p[0])]],)
+            mine = which[at : at + len(p[0])]
+            yield total[mine], mixed[mine]
             at += len(p[0])
 
     def finish(table: pa.Table, answers: dict) -> pa.Table:
         v = values(table)
         key = distinct(v)
-        held = np.zeros(len(key), np.int64)
+        held, mixed = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
         for b, _, rows in split(bucket_of(key), key):
-            held[rows] = answers[1][b][0]
-        held = held[np.searchsorted(key, v)]
+            held[rows], mixed[rows] = answers[1][b]
+        at = np.searchsorted(key, v)
+        held, mixed = held[at], mixed[at]
         sizes = np.diff(np.asarray(table.column("s").combine_chunks().offsets))
         ends = np.cumsum(sizes)
-        out = [([], [], [], [])]
-        for doc_id, n, end in zip(table.column("doc_id").to_pylist(), sizes.tolist(), ends.tolist()):
+        out = [([], [], [], [], [])]
+        for doc_id, root, n, end in zip(table.column("doc_id").to_pylist(), table.column("root").to_pylist(), sizes.tolist(), ends.tolist()):
             own, freq = v[end - n : end], held[end - n : end]
             order = np.lexsort((own, freq))[: n - (percent * n + 99) // 100 + 1]
-            place = np.flatnonzero(freq[order] > 1)
-            out.append((np.full(len(place), doc_id), np.full(len(place), n), own[order[place]], place))
-        rep, n, bucket, place = (np.concatenate([np.asarray(o[i], np.int64 if i != 2 else U) for o in out]) for i in range(4))
-        return pa.table([rep, n, signed(bucket), place], schema=PREFIX_ARROW)
+            place = np.flatnonzero(mixed[end - n : end][order])
+            out.append((own[order[place]], *(np.full(len(place), x) for x in (doc_id, n)), place, np.full(len(place), root)))
+        bucket, rep, n, place, root = (np.concatenate([np.asarray(o[i], np.int64 if i else U) for o in out]) for i in range(5))
+        return pa.table([signed(bucket), rep, n, place, root], schema=PREFIX_ARROW)
 
     answered = blocks.answer(blocks.ask(ask, 1), answer, 1)
-    return blocks.finish(answered, finish, "rep long, n long, bucket long, place long", PREFIX_ARROW)
+    return blocks.finish(answered, finish, "bucket long, rep long, n long, place long, root long", PREFIX_ARROW)
 
 
-PREFIX_ARROW = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("bucket", pa.int64()), ("place", pa.int64())])
+PREFIX_ARROW = pa.schema([(c, pa.int64()) for c in ("bucket", "rep", "n", "place", "root")])
 
 
 def unsettled(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows of ``cells(bucket, rep, n, place)`` in buckets that hold several components, with their component."""
+    """Rows of ``cells(bucket, rep, n, place)`` in buckets that hold several components, with their component ``root``."""
+    cells = cells.select("bucket", "rep", "n", "place")
     if roots is None:
         placed = cells.withColumn("root", F.col("rep"))
     else:
@@ -202,15 +216,15 @@ def unsettled(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
     return out
 
 
-def sweep(cells: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: int, limit: int) -> DataFrame | None:
-    """Components after all pairs across components that share a bucket are tested.
+def sweep(left: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: int, limit: int) -> DataFrame | None:
+    """Components after all pairs across components that share a bucket of ``left`` are tested.
 
     Where these are more than ``limit``, random pivots of the buckets are
-    tested first, ever more of them, for links found shrink what is left.
+    tested first, ever more of them, for links found shrink what is left. Each
+    turn reads only the rows that the turn before left unsettled.
     """
     spread = 8
     while True:
-        left = unsettled(cells, roots)
         same = left.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
         total, biggest = same.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.max("n")).first()
         if not total:
@@ -232,10 +246,13 @@ def sweep(cells: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: i
         more = checkpointed(confirmed(cross, sets, percent))
         if not more.isEmpty():
             roots = merged(roots, more)
-        discard(left, cross, more)
+        discard(cross, more)
         if every:
+            discard(left)
             return roots
-        spread *= 16
+        rest = unsettled(left, roots)
+        discard(left)
+        left, spread = rest, spread * 16
 
 
 def rank(column: str):
@@ -270,10 +287,10 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     roots = None if links.isEmpty() else components(links)
     left = unsettled(cells.filter("m > 2").select("bucket", "rep", "n", F.lit(0).alias("place")), roots)
     if not left.isEmpty():
-        some = checkpointed(sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        some = checkpointed(sets.join(left.select(F.col("rep").alias("doc_id"), "root").distinct(), "doc_id"))
         rare = checkpointed(prefixes(some, percent))
-        roots = sweep(rare, roots, some, percent, max(SWEEP_PAIRS, 8 * members.count()))
-        discard(some, rare)
+        roots = sweep(rare, roots, some.select("doc_id", "s"), percent, SWEEP_PAIRS * max(members.count(), 1 << 16))
+        discard(some)
     discard(left, cells, sets, pairs, links)
 
     if roots is None:
