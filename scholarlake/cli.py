@@ -1,20 +1,59 @@
-"""Command line: ``prepare`` files into the store, ``search`` it."""
+"""Command line: ``prepare`` files, or ``sync`` a collection of the catalog, into the store; ``search`` it.
+
+Engines come from the environment or a ``.env`` file: EMBED_API_URL,
+EMBED_MODEL, EMBED_DIM and EMBED_API_KEY for an embedding service (without one,
+hashed words stand in), OCR_API_URL, OCR_MODEL and OCR_API_KEY for OCR,
+CATALOG_URL, CATALOG_DATA_DIR and CATALOG_LINKED_BASE for the catalog.
+"""
 
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from scholarlake import api
-from scholarlake.functions.text import untagged_slug
-from scholarlake.plans.prepare import Engines, file_records, run
+from scholarlake.operators import catalog
+from scholarlake.config import load_env, ocr_backend
+from scholarlake.functions.text import slug
+from scholarlake.plans.prepare import Engines, file_records, item_records, run
 from scholarlake.plans.store import Store
-from scholarlake.sources.engines import HashEmbedder
-from scholarlake.sources.files import scan_files
+from scholarlake.sources import catalog as rest
+from scholarlake.sources.engines import Embedder, HashEmbedder, HttpEmbedder, HttpOcr, OcrEngine
+from scholarlake.sources.files import fingerprints, scan_files
+
+
+def engines(env: dict[str, str], use_ocr: bool = True) -> tuple[Embedder, str, OcrEngine | None]:
+    """(embedder, its model's name, OCR engine or none) as the environment names them."""
+    if env.get("EMBED_API_URL"):
+        model = env.get("EMBED_MODEL", "")
+        embedder: Embedder = HttpEmbedder(env["EMBED_API_URL"], model, int(env.get("EMBED_DIM", "1024")), env.get("EMBED_API_KEY"))
+    else:
+        embedder, model = HashEmbedder(), "hash"
+    ocr = HttpOcr(env["OCR_API_URL"], env.get("OCR_MODEL", ""), env.get("OCR_API_KEY")) if use_ocr and env.get("OCR_API_URL") and ocr_backend(env) == "http" else None
+    return embedder, model, ocr
+
+
+def collection_records(spark: SparkSession, env: dict[str, str], name: str, limit: int | None, fetch: rest.Fetch | None = None):
+    """(name, records) of the catalog's collection that ``name`` means, with those below it."""
+    rest.register_catalog(spark, fetch)
+    source = spark.read.format("catalog").option("base_url", env.get("CATALOG_URL", ""))
+    tops = rest.collections(source.option("path", "collections").load())
+    found = catalog.resolve(tops, name).first()
+    if found is None:
+        raise SystemExit(f"no collection is called {name}")
+    keys = sorted(r.key for r in catalog.descendants(tops, found.key).collect())
+    raw = source.option("collections", ",".join(keys)).load().cache()
+    attached = catalog.located(rest.attachments(raw), env.get("CATALOG_DATA_DIR", ""), env.get("CATALOG_LINKED_BASE"))
+    # One path an attachment: the catalog's own size.
+    files = fingerprints(spark, [r.local for r in attached.filter("local is not null").select("local").distinct().collect()]).filter("mtime is not null")
+    once = catalog.once(rest.items(raw), "item_key", "ord", "collection", "ord", "title", "creators", "year", "version").drop("collections")
+    return found.name, item_records(once, attached, files, limit)
 
 
-def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def main(args: list[str] | None = None, spark: SparkSession | None = None, env: dict[str, str] | None = None, fetch: rest.Fetch | None = None) -> int:
     parser = argparse.ArgumentParser(prog="scholarlake")
     parser.add_argument("--root", default="scholarlake-store")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -25,19 +64,31 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--no-ocr", action="store_true")
     p.add_argument("--rebuild", action="store_true")
     p.add_argument("--flat", action="store_true", help="do not enter folders")
+    c = commands.add_parser("sync")
+    c.add_argument("collection", help="key, name or part of the name")
+    c.add_argument("--limit", type=int)
+    c.add_argument("--no-ocr", action="store_true")
+    c.add_argument("--rebuild", action="store_true")
     s = commands.add_parser("search")
     s.add_argument("text")
     s.add_argument("--collection")
     s.add_argument("--top-k", type=int, default=8)
     a = parser.parse_args(args)
     spark = spark or SparkSession.builder.appName("scholarlake").getOrCreate()
-    store, embedder = Store(spark, a.root), HashEmbedder()
-    if a.command == "prepare":
-        records = file_records(scan_files(spark, a.paths, not a.flat))
-        if a.limit is not None:
-            records = records.orderBy("path").limit(a.limit)
-        collection = f"adhoc:{untagged_slug(a.name)}"
-        print(run(store, collection, records, Engines(embedder, model="hash"), rebuild=a.rebuild, partial=a.limit is not None, progress=lambda what, detail: print(f"{what}: {detail}")))
+    load_env(".env")
+    env = dict(os.environ) if env is None else env
+    store = Store(spark, a.root)
+    embedder, model, ocr = engines(env, not getattr(a, "no_ocr", False))
+    if a.command in ("prepare", "sync"):
+        if a.command == "prepare":
+            records = file_records(scan_files(spark, a.paths, not a.flat))
+            if a.limit is not None:
+                records = records.orderBy("path").limit(a.limit)
+            name = spark.range(1).select(F.concat(F.lit("adhoc:"), slug(F.lit(a.name), 80)).alias("name")).first().name
+        else:
+            title, records = collection_records(spark, env, a.collection, a.limit, fetch)
+            name = spark.range(1).select(slug(F.lit(title)).alias("name")).first().name
+        print(run(store, name, records, Engines(embedder, ocr=ocr, model=model), rebuild=a.rebuild, partial=a.limit is not None, progress=lambda what, detail: print(f"{what}: {detail}")))
     else:
         for r in api.semantic_search(store, embedder, a.text, a.top_k, a.collection).collect():
             print(f"{r.title} [p.{r.page or '-'}] {r.collection}\n  {r.text[:200]}")

@@ -108,11 +108,3 @@ def year_of(date: Column) -> Column:
 
 def status_of(chars: Column) -> Column:
     return F.when(chars > 0, "ok").otherwise("empty")
-
-
-def untagged_slug(name: str, width: int = 80) -> str:
-    """The slug of one name, on the driver."""
-    import re
-
-    spaced = re.sub(UNSAFE, " ", unicodedata.normalize("NFKC", name)).strip()
-    return re.sub(r"\s+", "_", spaced)[:width].strip("_") or UNTITLED

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarlake.checkpoints import removed, written
 from scholarlake.functions.text import empty_to_null
 
 # Attachment types.
@@ -12,53 +13,61 @@ PDF_TYPES = ("application/pdf",)
 SNAPSHOT_TYPES = ("text/html", "application/xhtml+xml")
 
 
+def chains(nodes: DataFrame, start: list[Column], step, over: Column) -> DataFrame:
+    """``nodes(key, up, ...)`` followed upwards by doubling: every turn a row takes over what its ``up`` has found.
+
+    ``start``: columns that each row begins with; ``step(own, above)``: their
+    values after a turn; rows with ``over`` are done. The turns are the
+    logarithm of the longest chain: when a turn ends none, what is left runs in
+    a circle, for a chain of any length has all lengths below it.
+    """
+    at = written(nodes.select("key", "up", *start))
+    names = [c for c in at.columns if c not in ("key", "up")]
+    left = at.filter(~over).count()
+    while left:
+        above = at.select(F.col("key").alias("up"), F.col("up").alias("up_2"), *[F.col(c).alias(f"{c}_2") for c in names])
+        joined = at.join(above, "up", "left")
+        rows = joined.select("key", F.when(over, F.col("up")).otherwise(F.col("up_2")).alias("up"), *[F.when(over, F.col(c)).otherwise(step(c)).alias(c) for c in names])
+        new = written(rows)
+        removed(at)
+        at, before, left = new, left, new.filter(~over).count()
+        if left == before:
+            break
+    return at
+
+
 def tree(collections: DataFrame) -> DataFrame:
     """Every collection below its root: depth, path of keys, and place in a depth-first listing.
 
-    A collection whose parent is not there is a root; cycles are cut where a
-    path would meet itself, and collections only reachable from a cycle have
-    no row.
+    A collection whose parent is not there is a root; collections of a cycle,
+    or only reachable from one, have no row. Paths are joined by doubling, so
+    neither the depth nor the number of collections is limited.
     """
-    spark = collections.sparkSession
-    found = spark.sql(
-        """
-        WITH RECURSIVE c AS (SELECT key, name, parent, api_ord, num_items FROM {c}),
-        roots AS (SELECT c.* FROM c LEFT ANTI JOIN c AS p ON c.parent = p.key),
-        t(key, name, num_items, depth, path, place) AS (
-            SELECT key, name, num_items, 0, array(key), array(api_ord) FROM roots
-            UNION ALL
-            SELECT c.key, c.name, c.num_items, t.depth + 1, array_append(t.path, c.key), array_append(t.place, c.api_ord)
-            FROM t JOIN c ON c.parent = t.key WHERE NOT array_contains(t.path, c.key)
-        )
-        SELECT * FROM t
-        """,
-        c=collections,
-    )
-    return found.withColumn("depth", F.col("depth").cast("long"))
+    there = collections.select(F.col("key").alias("parent"), F.col("key").alias("up")).distinct()
+    nodes = collections.join(there, "parent", "left")
+    start = [F.array("key").alias("path"), F.array("api_ord").alias("place"), "name", "num_items"]
+    step = lambda c: F.concat(F.col(f"{c}_2"), F.col(c)) if c in ("path", "place") else F.col(c)
+    found = chains(nodes, start, step, F.col("up").isNull()).filter("up is null")
+    return found.select("key", "name", "num_items", (F.size("path") - 1).cast("long").alias("depth"), "path", "place")
 
 
 def listing(collections: DataFrame) -> DataFrame:
-    """(ord, line): depth-first, two spaces a level."""
+    """(ord, line): depth-first, two spaces a level; numbered by ranges of places, so no task holds all."""
     t = tree(collections)
     line = F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.col("name"))
-    return t.select(F.row_number().over(Window.orderBy("place")).cast("long").alias("ord"), line.alias("line"))
+    rows = written(t.select("place", line.alias("line")).orderBy("place").select("line", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row")))
+    # One row a partition.
+    before = rows.groupBy("part").count().select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
+    return rows.join(F.broadcast(before), "part").select((F.col("before") + F.col("row") + 1).alias("ord"), "line")
 
 
 def descendants(collections: DataFrame, key: str) -> DataFrame:
     """Keys of a collection and all below it, however deep; cycle-safe."""
-    return collections.sparkSession.sql(
-        """
-        WITH RECURSIVE c AS (SELECT key, parent FROM {c}),
-        t(key, path) AS (
-            SELECT :key, array(:key)
-            UNION ALL
-            SELECT c.key, array_append(t.path, c.key) FROM t JOIN c ON c.parent = t.key WHERE NOT array_contains(t.path, c.key)
-        )
-        SELECT DISTINCT key FROM t
-        """,
-        args={"key": key},
-        c=collections,
-    )
+    nodes = collections.select("key", F.col("parent").alias("up"))
+    there = F.coalesce(F.col("up") == F.lit(key), F.lit(False))
+    found = chains(nodes, [there.alias("below")], lambda c: F.coalesce(F.col(f"{c}_2"), F.lit(False)) | F.coalesce(F.col("up_2") == F.lit(key), F.lit(False)), F.col("below") | F.col("up").isNull())
+    self_row = collections.sparkSession.range(1).select(F.lit(key).alias("key"))
+    return found.filter("below").select("key").union(self_row).distinct()
 
 
 def resolve(collections: DataFrame, name: str) -> DataFrame:
@@ -88,13 +97,18 @@ def recent(rows: DataFrame, n: int, *more: Column) -> DataFrame:
     return rows.orderBy(F.desc("modified"), "ord", *more).limit(n)
 
 
-def annotations(rows: DataFrame, item_key: str, color: str | None = None, kind: str | None = None, n: int = 50) -> DataFrame:
-    rows = rows.filter(F.col("item_key") == item_key)
+def annotations(rows: DataFrame, item_key: str | None, color: str | None = None, kind: str | None = None, n: int = 50) -> DataFrame:
+    """The last ``n`` annotations of an item, or of every item."""
+    if item_key is not None:
+        rows = rows.filter(F.col("item_key") == item_key)
     if color:
         rows = rows.filter(F.lower("color") == color.lower())
     if kind:
         rows = rows.filter(F.col("type") == kind)
-    return recent(rows, n)
+    if item_key is not None:
+        return recent(rows, n)
+    last = Window.partitionBy("item_key").orderBy(F.desc("modified"), "ord")
+    return rows.withColumn("rn", F.row_number().over(last)).filter(F.col("rn") <= n).drop("rn")
 
 
 def grouped(children: DataFrame, parent: str, ordinal: str, *columns: str) -> DataFrame:

@@ -70,15 +70,11 @@ def ocr_lines(raw: DataFrame) -> DataFrame:
     part = lambda i: F.regexp_extract("line", OCR_LINE, i)
     tagged = lines.withColumn("kind", empty_to_null(part(1)))
     box = F.struct(*[F.try_to_number(part(i + 2), F.lit("S999999")).cast("int").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
-    # The lines of a page fold in order: a page is bounded, so it is one array.
-    row = F.struct("pos", "kind", F.when(F.col("kind").isNotNull(), box).alias("box"), F.when(F.col("kind").isNotNull(), py_strip(part(6))).otherwise(F.col("line")).alias("text"))
-    pages = tagged.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    starts = pages.select("doc_id", "page", "rows", F.posexplode("rows").alias("i", "r")).filter("r.kind is not null")
-    follow = F.filter(F.slice("rows", F.col("i") + 2, F.size("rows")), lambda x: F.lit(True))
-    stop = F.array_position(F.transform(follow, lambda x: x["kind"].isNotNull()), True)
-    own = F.when(stop > 0, F.slice(follow, F.lit(1), (stop - 1).cast("int"))).otherwise(follow)
-    text = F.array_join(F.concat(F.array("r.text"), F.transform(F.filter(own, lambda x: x["text"] != ""), lambda x: x["text"])), " ")
-    return starts.select("doc_id", "page", F.col("r.pos").cast("long").alias("pos"), "r.kind", "r.box", text.alias("text"))
+    tagged = tagged.withColumn("box", F.when(F.col("kind").isNotNull(), box)).withColumn("text", F.when(F.col("kind").isNotNull(), py_strip(part(6))).otherwise(F.col("line")))
+    head = F.max(F.when(F.col("kind").isNotNull(), F.col("pos"))).over(Window.partitionBy("doc_id", "page").orderBy("pos"))
+    kept = tagged.filter("kind is not null or text != ''").withColumn("head", head).filter("head is not null")
+    rows = kept.groupBy("doc_id", "page", "head").agg(F.max("kind").alias("kind"), F.max("box").alias("box"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("r"))
+    return rows.select("doc_id", "page", F.col("head").cast("long").alias("pos"), "kind", "box", F.array_join(F.transform("r", lambda x: x["text"]), " ").alias("text"))
 
 
 def folded(lines: DataFrame, starts: Column, key: str = "doc_id", order: str = "pos", text: str = "text") -> DataFrame:

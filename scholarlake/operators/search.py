@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from scholarlake.checkpoints import written
 from scholarlake.functions.vectors import cosine, doubles, normalised
 from scholarlake.sources.engines import Embedder
 
 DIGITS = 6
-#: Queries that one pass over the vectors holds.
-QUERY_BLOCK = 1024
+#: Bytes of queries that one pass over the vectors holds, and similarities that a task holds at a time.
+QUERY_BYTES, CELLS = 16 << 20, 1 << 21
 
 
 def top_k(chunks: DataFrame, query: list[float], k: int = 8, collection: str | None = None, key: str = "chunk_id", vector: str = "vector") -> DataFrame:
@@ -26,56 +27,79 @@ def top_k(chunks: DataFrame, query: list[float], k: int = 8, collection: str | N
     return scored.filter("sim is not null and not isnan(sim)").orderBy(F.desc("sim"), key).limit(k)
 
 
+def best_of(sim: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` largest finite entries of each row, best first; ties by key."""
+    if sim.shape[1] > k:
+        least = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
+        row, column = np.nonzero(sim >= least[:, None])
+    else:
+        row, column = (x.ravel() for x in np.indices(sim.shape))
+    there = np.isfinite(sim[row, column])
+    row, column = row[there], column[there]
+    order = np.lexsort((keys[column], -sim[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, np.arange(len(sim)))
+    some = np.arange(len(row)) - first[row] < k
+    return row[some], column[some]
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 8, key: str = "key", query_key: str = "query_key", scope: str | None = None, but_self: bool = False) -> DataFrame:
     """(query_key, key, sim, rank) of vectors(key, vector[, scope]) for queries(query_key, vector[, scope]).
 
-    The stated query set meets all rows, a block of queries at a time: each
-    task multiplies its vectors with the block and hands on its own best k, so
-    no pair is ever a row of the plan but those. ``scope``: only rows with the
-    query's value; ``but_self``: without the row of the query's key.
+    The stated query set meets all rows, a broadcast block of bounded size at a
+    time: each task multiplies its vectors with the block and hands on its own
+    best k, so no pair is ever a row of the plan but those. With more blocks
+    than one each is a pass of its own, whose best k are written before the
+    next. ``scope``: only rows with the query's value; ``but_self``: without
+    the row of the query's key. Vectors without a direction meet nothing.
     """
-    columns = [query_key, "vector", *([scope] if scope else [])]
-    n = queries.count()
-    parts = max(1, -(-n // QUERY_BLOCK))
+    spark = vectors.sparkSession
+    n, width = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    parts = max(1, -(-n * 8 * (width or 1) // QUERY_BYTES))
     key_type = dict(vectors.dtypes)[key]
     q_type, q_arrow = dict(queries.dtypes)[query_key], to_arrow_type(queries.schema[query_key].dataType)
+    ranked = Window.partitionBy(query_key).orderBy(F.desc("sim"), key)
+    every = vectors.select(key, "vector", *([scope] if scope else [])).filter("vector is not null")
+    of = F.pmod(F.xxhash64(query_key), F.lit(parts))
     out = None
     for i in range(parts):
-        block = queries.select(*columns).filter(F.pmod(F.xxhash64(query_key), F.lit(parts)) == i).collect()
-        if not block:
+        # At most about QUERY_BYTES on the driver.
+        block = queries.filter("vector is not null").select(query_key, "vector", *([scope] if scope else [])).filter(of == i).toArrow().combine_chunks()
+        if not block.num_rows:
             continue
-        q_keys = [r[0] for r in block]
-        q = np.array([r[1] for r in block], np.float64)
-        norms = np.linalg.norm(q, axis=1)
-        q = np.where(norms[:, None] > 0, q / np.where(norms > 0, norms, 1)[:, None], np.nan)
-        q_scope = np.array([r[2] for r in block]) if scope else None
+        q = np.asarray(block.column(1).combine_chunks().flatten(), np.float64).reshape(block.num_rows, -1)
+        size = np.linalg.norm(q, axis=1)[:, None]
+        held = spark.sparkContext.broadcast((block.column(0).to_pylist(), np.divide(q, size, out=np.full_like(q, np.nan), where=size > 0), np.array(block.column(2).to_pylist()) if scope else None))
 
-        def run(batches: Iterator[pa.RecordBatch], q=q, q_keys=q_keys, q_scope=q_scope) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, unit, scopes = held.value
+            names = np.array(names)
             for batch in batches:
                 keys = np.array(batch.column(0).to_pylist())
                 v = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(keys), -1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sim = np.round(q @ (v / np.linalg.norm(v, axis=1)[:, None]).T, DIGITS)
-                ok = np.isfinite(sim)
-                if q_scope is not None:
-                    ok &= q_scope[:, None] == np.array(batch.column(2).to_pylist())[None, :]
-                if but_self:
-                    ok &= np.array(q_keys)[:, None] != keys[None, :]
-                rows = ([], [], [])
-                for i in range(len(q_keys)):
-                    at = np.flatnonzero(ok[i])
-                    best = at[np.lexsort((keys[at], -sim[i, at]))[:k]]
-                    rows[0].extend([q_keys[i]] * len(best))
-                    rows[1].extend(keys[best].tolist())
-                    rows[2].extend(sim[i, best].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], q_arrow), pa.array(rows[1], batch.schema.field(0).type), pa.array(rows[2], pa.float64())], names=[query_key, key, "sim"])
-
-        some = vectors.select(key, "vector", *([scope] if scope else [])).filter("vector is not null").mapInArrow(run, f"{query_key} {q_type}, {key} {key_type}, sim double")
+                size = np.linalg.norm(v, axis=1)[:, None]
+                v = np.divide(v, size, out=np.full_like(v, np.nan), where=size > 0).T
+                step = max(1, CELLS // max(1, len(keys)))
+                for lo in range(0, len(names), step):
+                    rows = slice(lo, lo + step)
+                    sim = np.round(unit[rows] @ v, DIGITS)
+                    off = ~np.isfinite(sim)
+                    if scopes is not None:
+                        off |= scopes[rows, None] != np.array(batch.column(2).to_pylist())[None, :]
+                    if but_self:
+                        off |= names[rows, None] == keys[None, :]
+                    sim[off] = -np.inf
+                    row, column = best_of(sim, keys, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[rows][row].tolist(), q_arrow), pa.array(keys[column].tolist(), batch.schema.field(0).type), pa.array(sim[row, column])], names=[query_key, key, "sim"])
+
+        some = every.mapInArrow(run, f"{query_key} {q_type}, {key} {key_type}, sim double")
+        some = some.withColumn("rank", F.row_number().over(ranked).cast("long")).filter(F.col("rank") <= k)
+        if parts > 1:
+            some = written(some)
         out = some if out is None else out.union(some)
     if out is None:
-        return vectors.sparkSession.createDataFrame([], f"{query_key} {q_type}, {key} {key_type}, sim double, rank long")
-    ranked = Window.partitionBy(query_key).orderBy(F.desc("sim"), key)
-    return out.withColumn("rank", F.row_number().over(ranked).cast("long")).filter(F.col("rank") <= k)
+        return spark.createDataFrame([], f"{query_key} {q_type}, {key} {key_type}, sim double, rank long")
+    return out
 
 
 def centroids(vectors: DataFrame, item: str, order: list[str], first: int = 3) -> DataFrame:

@@ -2,7 +2,10 @@
 
 A write replaces whole collections: new rows go to a staging folder first, so
 that a plan may read what it replaces, and a collection whose rows are all gone
-loses its folder (a dynamic overwrite alone would keep it).
+loses its folder (a dynamic overwrite alone would keep it). The old rows are
+set aside until the new ones are in place; a reader puts them back where a
+writer died in between. Appended rows are a folder of their own within the
+collection's.
 """
 
 from __future__ import annotations
@@ -39,30 +42,61 @@ class Store:
 
     def read(self, table: str, collection: str | None = None) -> DataFrame:
         """All rows, or those of one collection (only its folder is read)."""
+        self.recover(table)
         path = self.folder(table, collection)
         if not self.exists(path):
             return self.spark.createDataFrame([], TABLES[table])
         reader = self.spark.read.schema(TABLES[table])
         return reader.option("recursiveFileLookup", "true").parquet(path)
 
+    def staged(self, table: str, rows: DataFrame) -> tuple[str, int]:
+        """(folder, number of rows) of rows written aside."""
+        path = f"{self.root}/.staging/{uuid.uuid4().hex}"
+        rows.select(*[F.col(c).cast(t) for c, t in (x.split(" ", 1) for x in TABLES[table].split(", "))]).write.parquet(path)
+        return path, self.spark.read.schema(TABLES[table]).parquet(path).count()
+
+    def aside(self, table: str, collection: str) -> str:
+        return f"{self.root}/{table}/.was/c={quote(collection, safe='')}"
+
+    def moved(self, source: str, target: str) -> bool:
+        """Whether a folder was renamed; a missing one is not."""
+        fs, at = self.fs(source)
+        to = self.fs(target)[1]
+        fs.mkdirs(to.getParent())
+        return bool(fs.exists(at) and fs.rename(at, to))
+
+    def removed(self, path: str) -> None:
+        fs, at = self.fs(path)
+        fs.delete(at, True)
+
+    def recover(self, table: str) -> None:
+        """Put back what a writer that died had set aside; remove what is replaced."""
+        fs, at = self.fs(f"{self.root}/{table}/.was")
+        if not fs.exists(at):
+            return
+        for found in fs.listStatus(at):
+            name = found.getPath().getName()
+            old, target = f"{self.root}/{table}/.was/{name}", f"{self.root}/{table}/{name}"
+            if not self.exists(target):
+                self.moved(old, target)
+            self.removed(old)
+
     def replace(self, table: str, collection: str, rows: DataFrame) -> int:
         """Put ``rows`` in the place of a collection; the number of rows."""
-        staged = f"{self.root}/.staging/{uuid.uuid4().hex}"
-        rows.select(*[F.col(c).cast(t) for c, t in (x.split(" ", 1) for x in TABLES[table].split(", "))]).write.parquet(staged)
-        n = self.spark.read.schema(TABLES[table]).parquet(staged).count()
-        self.drop(table, collection)
-        if n:
-            fs, target = self.fs(self.folder(table, collection))
-            fs.mkdirs(target.getParent())
-            fs.rename(self.fs(staged)[1], target)
-        else:
-            fs, at = self.fs(staged)
-            fs.delete(at, True)
+        path, n = self.staged(table, rows)
+        self.recover(table)
+        target, old = self.folder(table, collection), self.aside(table, collection)
+        self.moved(target, old)
+        if n and not self.moved(path, target):
+            self.recover(table)
+            raise OSError(f"cannot put {collection} of {table} in place")
+        self.removed(old)
+        self.removed(path)
         return n
 
     def drop(self, table: str, collection: str) -> None:
-        fs, at = self.fs(self.folder(table, collection))
-        fs.delete(at, True)
+        self.recover(table)
+        self.removed(self.folder(table, collection))
 
     def upsert(self, table: str, collection: str, rows: DataFrame, gone: DataFrame) -> int:
         """Replace the rows of the keys in ``gone`` and ``rows`` by ``rows``."""
@@ -78,9 +112,13 @@ class Store:
                 raise ValueError(f"the index holds {seen[0].d} dimensions of model {seen[0].model!r}, not {other[0].d} of {other[0].model!r}")
 
     def append_chunks(self, collection: str, rows: DataFrame) -> int:
-        """Add vector rows; dimension and model must be those of the index."""
+        """Add vector rows; dimension and model must be those of the index. The number of rows that the collection then has."""
         self.check_vectors(self.read("chunks"), rows)
-        return self.replace("chunks", collection, self.read("chunks", collection).unionByName(rows))
+        path, n = self.staged("chunks", rows.withColumn("collection", F.lit(collection)))
+        if n and not self.moved(path, f"{self.folder('chunks', collection)}/{uuid.uuid4().hex}"):
+            raise OSError(f"cannot add to {collection}")
+        self.removed(path)
+        return self.read("chunks", collection).count()
 
     def delete_items(self, collection: str, keys: list[str]) -> int:
         """Delete the chunks of some items; the number of keys asked for."""

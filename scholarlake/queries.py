@@ -13,10 +13,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholarlake import api
+from scholarlake.checkpoints import shared_folder
 from scholarlake.functions import text as T
-from scholarlake.functions.vectors import norm
+from scholarlake.functions.vectors import checked, norm
 from scholarlake.operators import catalog, chunks, convert, search
 from scholarlake.plans.delta import planned, stale
+from scholarlake.plans.store import Store
+from scholarlake.sources import catalog as rest
 from scholarlake.sources.engines import HashEmbedder, StubOcr, embedded, extracted, recognised
 from scholarlake.streaming import jobs
 
@@ -324,10 +328,10 @@ def classify_sampled(spark, sf_dir):
 def items(spark, sf_dir) -> DataFrame:
     name = lambda last: F.struct(F.lit(last).alias("lastName"), F.lit(None).cast("string").alias("firstName"), F.col("lang").alias("name"))
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.substring("text", 1, 80).alias("title"), F.col("n_chars").cast("string").alias("date"), F.array(name("Ada"), name("Bo")).alias("creators"), F.array("source", "lang").alias("tags"), F.col("doc_id").alias("ord"))
+    return docs.select("doc_id", F.col("text").alias("title"), F.col("n_chars").cast("string").alias("date"), F.array(name("Ada"), name("Bo")).alias("creators"), F.array("source", "lang").alias("tags"), F.col("doc_id").alias("ord"))
 
 
-@query("SELECT doc_id, substr(text, 1, 80) AS title FROM documents WHERE contains(lower(substr(text, 1, 80)), 'the') AND n_chars::VARCHAR LIKE '1%' AND contains(lower('Ada' || lang || ' Bo' || lang), 'aen b') AND list_contains([source, lang], 'en') ORDER BY doc_id LIMIT 20")
+@query("SELECT doc_id, text AS title FROM documents WHERE contains(lower(text), 'the') AND n_chars::VARCHAR LIKE '1%' AND contains(lower('Ada' || lang || ' Bo' || lang), 'aen b') AND list_contains([source, lang], 'en') ORDER BY doc_id LIMIT 20")
 def item_search(spark, sf_dir):
     return catalog.search_items(items(spark, sf_dir), title="The", year="1", creator="AEN B", tag="en", limit=20).select("doc_id", "title")
 
@@ -338,12 +342,13 @@ def resolve_name(spark, sf_dir):
     return catalog.resolve(rows, "Nation").select(F.col("key").cast("long").alias("key"), "name")
 
 
-@query("""SELECT conv_id, turn, role, substr(text, 1, 300) AS preview FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations) AND lower(role) = 'user' ORDER BY turn DESC LIMIT 50""")
+@query("""WITH r AS (SELECT conv_id, turn, role, substr(text, 1, 300) AS preview, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE lower(role) = 'user')
+SELECT conv_id, turn, role, preview FROM r WHERE rn <= 3""")
 def annotations_recent(spark, sf_dir):
+    """The last three of every item."""
     rows = table(spark, sf_dir, "conversations")
-    first = rows.agg(F.min("conv_id")).first()[0]
     notes = rows.select(F.col("conv_id").alias("item_key"), F.upper("role").alias("color"), F.lpad(F.col("turn").cast("string"), 12, "0").alias("modified"), F.col("turn").alias("ord"), "role", "text", "turn", F.lit("note").alias("type"))
-    return catalog.annotations(notes, first, color="user", kind="note").select(F.col("item_key").alias("conv_id"), "turn", "role", F.substring("text", 1, 300).alias("preview"))
+    return catalog.annotations(notes, None, color="user", kind="note", n=3).select(F.col("item_key").alias("conv_id"), "turn", "role", F.substring("text", 1, 300).alias("preview"))
 
 
 @query("SELECT conv_id, count(*) AS n, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS children FROM conversations GROUP BY conv_id")
@@ -387,9 +392,9 @@ def jobs_active(spark, sf_dir):
 NOTE = "chr(10) || chr(10) || '…（已截断，全文 ' || length(text) || ' 字符）'"
 
 
-@query(f"SELECT doc_id, md5(CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || {NOTE} ELSE text END) AS hash FROM documents")
+@query(f"SELECT doc_id, md5(CASE WHEN length(text) > 200000 THEN substr(text, 1, 200000) || {NOTE} ELSE text END) AS hash, md5(CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || {NOTE} ELSE text END) AS hash_2000 FROM documents")
 def read_item(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", md5(T.truncated(F.col("text"), 2000)).alias("hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", md5(T.truncated(F.col("text"))).alias("hash"), md5(T.truncated(F.col("text"), 2000)).alias("hash_2000"))
 
 
 @query("SELECT 'region' AS kind, r_regionkey::BIGINT AS key, r_name AS name, NULL::BIGINT AS parent FROM region UNION ALL SELECT 'nation', n_nationkey, n_name, n_regionkey FROM nation")
@@ -426,7 +431,7 @@ def stream_ingest(spark, sf_dir):
     """Documents through a stream into batches of counts, summed."""
     from scholarlake.streaming.ingest import ingest
 
-    folder = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{folder}/out"
     schema = table(spark, sf_dir, "documents").schema.simpleString()[7:-1].replace(":", " ")
 
@@ -438,11 +443,168 @@ def stream_ingest(spark, sf_dir):
     return rows.groupBy("source").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    import tempfile
+# The catalog's records, made from documents: every third is an attachment, every fourth a note, every fifth an annotation.
+KIND_OF = "CASE WHEN doc_id % 5 = 4 THEN 'annotation' WHEN doc_id % 4 = 3 THEN 'note' WHEN doc_id % 3 = 2 THEN 'attachment' WHEN doc_id % 2 = 0 THEN 'book' ELSE 'article' END"
 
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scholarlake-"))
-    return sc.getCheckpointDir()
+
+def raw_records(spark, sf_dir) -> DataFrame:
+    """Documents as raw records of the catalog."""
+    k = F.col("doc_id")
+    key = k.cast("string")
+    kind = F.expr(KIND_OF)
+    up = (k - k % 3 + 2).cast("string")
+    data = F.struct(
+        key.alias("key"), kind.alias("itemType"), F.when(k % 7 > 0, F.col("source")).alias("title"), F.when(k % 7 == 0, F.col("lang")).alias("name"), F.concat(F.col("n_chars").cast("string"), F.lit("-05")).alias("date"),
+        F.when(k % 2 == 0, "").otherwise(F.col("lang")).alias("publicationTitle"), F.col("source").alias("publisher"), F.array(F.struct(F.col("lang").alias("lastName"), F.lit(None).cast("string").alias("name")), F.struct(F.lit(None).cast("string").alias("lastName"), F.col("source").alias("name"))).alias("creators"),
+        F.array(F.struct(F.col("lang").alias("tag"))).alias("tags"), up.alias("parentItem"), F.concat(F.lit("storage:"), key).alias("path"), F.lit("text/html").alias("contentType"), F.col("text").alias("note"), F.col("text").alias("annotationText"),
+        F.when(k % 2 == 0, "#FFD400").otherwise("#ff6666").alias("annotationColor"), F.lpad(key, 12, "0").alias("dateModified"),
+    )
+    return table(spark, sf_dir, "documents").select(k.alias("ord"), F.col("source").alias("collection"), F.to_json(F.struct(data.alias("data"), F.col("n_chars").alias("version"))).alias("json"))
+
+
+@query(f"""WITH r AS (SELECT *, {KIND_OF} AS kind FROM documents) SELECT doc_id::VARCHAR AS item_key, kind AS item_type, CASE WHEN doc_id % 7 > 0 THEN source ELSE lang END AS title, n_chars AS version, substr(n_chars || '-05', 1, 4) AS year,
+CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS publication, lang AS tag, lang || ' 等(2)' AS creator, source AS collection FROM r WHERE kind IN ('book', 'article')""")
+def catalog_items(spark, sf_dir):
+    rows = rest.items(raw_records(spark, sf_dir))
+    return rows.select("item_key", "item_type", "title", "version", "year", "publication", F.element_at("tags", 1).alias("tag"), T.creator_summary(F.col("creators")).alias("creator"), "collection")
+
+
+@query(f"WITH r AS (SELECT *, {KIND_OF} AS kind FROM documents) SELECT (doc_id - doc_id % 3 + 2)::VARCHAR AS parent, doc_id::VARCHAR AS key, '/data/storage/' || doc_id || '/' || doc_id AS local, doc_id::VARCHAR AS filename FROM r WHERE kind = 'attachment'")
+def catalog_attachments(spark, sf_dir):
+    return catalog.located(rest.attachments(raw_records(spark, sf_dir)), "/data", None).select("parent", "key", "local", "filename")
+
+
+@query(f"WITH r AS (SELECT *, {KIND_OF} AS kind FROM documents) SELECT (doc_id - doc_id % 3 + 2)::VARCHAR AS item_key, doc_id::VARCHAR AS key, md5(text) AS hash, lang AS tag FROM r WHERE kind = 'note'")
+def catalog_notes(spark, sf_dir):
+    return rest.notes(raw_records(spark, sf_dir)).select("item_key", "key", md5(F.col("html")).alias("hash"), F.element_at("tags", 1).alias("tag"))
+
+
+@query(f"""WITH r AS (SELECT *, doc_id - doc_id % 3 + 2 AS up, {KIND_OF} AS kind FROM documents)
+SELECT a.up::VARCHAR AS item_key, n.up::VARCHAR AS attachment, md5(n.text) AS hash, CASE WHEN n.doc_id % 2 = 0 THEN '#FFD400' ELSE '#ff6666' END AS color FROM r n JOIN r a ON a.doc_id = n.up AND a.kind = 'attachment' WHERE n.kind = 'annotation'""")
+def catalog_annotations(spark, sf_dir):
+    raw = raw_records(spark, sf_dir)
+    return rest.annotations(raw, rest.attachments(raw)).select("item_key", "attachment", md5(F.col("text")).alias("hash"), "color")
+
+
+PAGED = 230
+
+
+@query("WITH c AS (SELECT n_nationkey AS c, n_name FROM nation), r AS (SELECT c, i, CASE WHEN i % 3 = 0 THEN 'book' ELSE 'note' END AS kind FROM c, range(0, 230 + c) t(i)) SELECT c::VARCHAR AS collection, count(*) AS n, sum(i)::BIGINT AS places FROM r WHERE kind = 'book' GROUP BY c")
+def catalog_pages(spark, sf_dir):
+    """Pages of records by collection through the registered source; the type goes to the service."""
+
+    def fetch(path: str, params: dict) -> list[dict]:
+        c, start, n = int(path.split("/")[1]), int(params["start"]), int(params["limit"])
+        every = ({"data": {"key": f"{c}-{i}", "itemType": "note" if i % 3 else "book", "place": i}} for i in range(PAGED + c))
+        found = [r for r in every if params.get("itemType") in (None, r["data"]["itemType"])]
+        return found[start : start + n]
+
+    rest.register_catalog(spark, fetch, "pagedcatalog")
+    # The catalog's collections, one partition each.
+    keys = [str(r.n_nationkey) for r in table(spark, sf_dir, "nation").select("n_nationkey").distinct().collect()]
+    raw = spark.read.format("pagedcatalog").option("collections", ",".join(sorted(keys))).load().filter("item_type = 'book'")
+    return raw.groupBy("collection").agg(F.count("*").alias("n"), F.sum(F.get_json_object("json", "$.data.place").cast("long")).alias("places"))
+
+
+@query("""WITH m AS (SELECT source, count(*) AS total, count_if(quality = 1)::BIGINT AS ok FROM documents JOIN labels USING (doc_id) GROUP BY source), c AS (SELECT DISTINCT source FROM documents)
+SELECT c.source AS name, 1::BIGINT AS depth, coalesce(total, 0) AS total, coalesce(ok, 0) AS ok, total IS NOT NULL AS is_prepared FROM c LEFT JOIN m USING (source)
+UNION ALL SELECT 'root', 0, 0, 0, false""")
+def collections_prepared(spark, sf_dir):
+    """Collections below one root with the state of each, joined by slug."""
+    docs = table(spark, sf_dir, "documents")
+    names = docs.groupBy("source").agg(F.min("doc_id").alias("api_ord"), F.count("*").alias("num_items"))
+    one = spark.range(1).select(F.lit("root").alias("key"), F.lit("root").alias("name"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("num_items"), F.lit(-1).cast("long").alias("api_ord"))
+    rows = one.unionByName(names.select(F.concat(F.lit("k"), "source").alias("key"), F.col("source").alias("name"), F.lit("root").alias("parent"), "num_items", "api_ord"))
+    entries = docs.join(table(spark, sf_dir, "labels"), "doc_id").select(T.slug(F.col("source")).alias("collection"), F.when(F.col("quality") == 1, "ok").otherwise("empty").alias("status"))
+    return api.collections(rows, entries).select("name", "depth", "total", "ok", "is_prepared")
+
+
+@query(f"{TREE}, p AS (SELECT key, depth, list_transform(string_split(path, '/'), lambda x: x::BIGINT) AS place FROM t) SELECT row_number() OVER (ORDER BY place) AS ord, repeat('  ', depth::INTEGER) || source AS line FROM p JOIN documents ON doc_id = key")
+def collection_listing(spark, sf_dir):
+    return catalog.listing(nested(spark, sf_dir))
+
+
+@query(f"WITH {NUMBERED} SELECT doc_id, (pos // 7)::INTEGER AS page, md5(string_agg(body, chr(10) || chr(10) ORDER BY pos % 3, pos)) AS hash FROM s WHERE body <> '' AND pos % 5 <> 2 GROUP BY doc_id, pos // 7")
+def page_blocks(spark, sf_dir):
+    """Lines as text blocks of pages, by height then place."""
+    pos = F.col("pos")
+    blocks = lines_of(spark, sf_dir).select("doc_id", F.floor(pos / 7).cast("int").alias("page"), (pos % 3).cast("double").alias("y0"), pos.cast("double").alias("x0"), "text", F.when(pos % 5 == 2, 1).otherwise(0).alias("type"))
+    return convert.ordered_blocks(blocks).select("doc_id", "page", md5(F.col("text")).alias("hash"))
+
+
+@query(f"""WITH h AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings WHERE label = 0), e AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM h WHERE rn <= 3),
+c AS (SELECT list(x ORDER BY i) AS embedding FROM (SELECT i, avg(x) AS x FROM e GROUP BY i)), s AS (SELECT v.label, v.vec_id, {SIM.replace('q.embedding', 'c.embedding')} AS sim FROM embeddings v, c WHERE v.label <> 0)
+SELECT label::VARCHAR AS item_key, max(sim) AS sim, arg_max(vec_id, (sim, -vec_id))::VARCHAR AS page FROM s GROUP BY label ORDER BY 2 DESC, 1 LIMIT 5""")
+def similar_to_item(spark, sf_dir):
+    """Items (labels) nearest to the first."""
+    rows = vectors(spark, sf_dir).select(F.col("collection").cast("string").alias("item_key"), "vector", F.col("key").alias("page_ord"), F.lit(0).cast("long").alias("window_ord"), F.col("key").cast("string").alias("page"), *[F.lit("").alias(c) for c in ("title", "creator", "year", "collection", "text")])
+    return search.similar_items(rows, "0", 5).select("item_key", "sim", "page")
+
+
+@query(f"""WITH p AS (SELECT d.doc_id AS item_key, CASE WHEN coalesce(l.quality = 1 AND d.doc_id % 7 <> 0 AND (d.doc_id % 5 = 0 OR d.doc_id % 11 <> 0) AND d.doc_id % 2 = 0, false) THEN 'skip' ELSE 'convert' END AS action FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT item_key, action, 'convert' AS rebuilt FROM p""")
+def delta_with_content(spark, sf_dir):
+    """The plan where only even documents still have their content, and a rebuild of all."""
+    current, old = manifests(spark, sf_dir)
+    content = current.filter("item_key % 2 = 0").select("item_key")
+    again = planned(current, old, content, rebuild=True).select("item_key", F.col("action").alias("rebuilt"))
+    return planned(current, old, content).select("item_key", "action").join(again, "item_key")
+
+
+@query("SELECT vec_id AS key, len(embedding)::BIGINT AS dim FROM embeddings")
+def vector_dimension(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    size = rows.select(F.size("vector").alias("n")).limit(1).collect()
+    return rows.select("key", F.size(checked(F.col("vector"), size[0].n if size else 0)).cast("long").alias("dim"))
+
+
+def stored(spark, sf_dir) -> Store:
+    """A store with documents of each language as a collection: manifest, content, packs."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents")
+    key = F.col("doc_id").cast("string")
+    entries = docs.select(F.col("lang").alias("collection"), key.alias("item_key"), F.concat(F.lit("d"), key).alias("dir"), F.concat(F.col("source"), F.lit(" "), key).alias("title"), F.lit("").alias("creator"), F.lit(None).cast("string").alias("year"), F.lit("text").alias("route"), F.lit(0).cast("long").alias("pages"), F.col("n_chars").alias("chars"), F.lit("ok").alias("status"), F.array().cast("array<string>").alias("notes"), F.col("n_chars").alias("version"), F.lit(None).cast("long").alias("source_mtime"), md5(F.col("text")).alias("content_hash"), F.col("doc_id").alias("ord"), F.col("text").alias("markdown"), F.col("source").alias("meta"))
+    # Languages are few.
+    for lang in sorted(r.lang for r in docs.select("lang").distinct().collect()):
+        for name in ("manifest", "content", "packs"):
+            store.replace(name, lang, entries.filter(F.col("collection") == lang))
+    return store
+
+
+@query("SELECT lang AS collection, doc_id::VARCHAR AS item_key, source || ' ' || doc_id AS title, n_chars AS chars, md5(text) AS hash, source AS meta FROM documents")
+def store_round_trip(spark, sf_dir):
+    """Manifest, content and packs written by collection and read back together."""
+    store = stored(spark, sf_dir)
+    text = store.read("content").select("collection", "item_key", md5(F.col("markdown")).alias("hash"))
+    packs = store.read("packs").select("collection", "item_key", "meta")
+    return store.read("manifest").join(text, ["collection", "item_key"]).join(packs, ["collection", "item_key"]).select("collection", "item_key", "title", "chars", "hash", "meta")
+
+
+@query(f"WITH f AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents WHERE contains(source || ' ' || doc_id, '1')) SELECT lang AS collection, doc_id::VARCHAR AS item_key, md5(CASE WHEN length(text) > 200000 THEN substr(text, 1, 200000) || {NOTE} ELSE text END) AS hash FROM f WHERE rn = 1")
+def store_read_item(spark, sf_dir):
+    """The first item of each collection whose title holds the needle."""
+    store = stored(spark, sf_dir)
+    out = None
+    for lang in sorted(r.collection for r in store.read("manifest").select("collection").distinct().collect()):
+        one = api.read_item(store, lang, "1").select(F.lit(lang).alias("collection"), "item_key", md5(F.col("text")).alias("hash"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT label::VARCHAR AS collection, count(*) AS n FROM embeddings WHERE label % 3 <> 1 AND NOT (label % 3 = 2 AND (vec_id // 3) % 4 = 0) GROUP BY label""")
+def store_append_delete(spark, sf_dir):
+    """Chunks written and appended by halves; every third collection then loses some items, every third all; counted."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    rows = vectors(spark, sf_dir)
+    made = rows.select("vector", F.col("collection").cast("string").alias("collection"), F.floor(F.col("key") / 3).cast("string").alias("item_key"), *[F.lit("").alias(c) for c in ("text", "page", "title", "creator", "year", "source_file")], F.col("key").alias("page_ord"), F.lit(0).cast("long").alias("window_ord"), F.lit("m").alias("model"))
+    # Labels are few.
+    for label in sorted(r.collection for r in rows.select("collection").distinct().collect()):
+        own = made.filter(F.col("collection") == str(label))
+        store.append_chunks(str(label), own.filter("page_ord % 2 = 0"))
+        store.append_chunks(str(label), own.filter("page_ord % 2 = 1"))
+        if label % 3 == 1:
+            store.reset(str(label))
+        elif label % 3 == 2:
+            gone = store.item_keys(str(label)).filter("cast(item_key as long) % 4 = 0").collect()
+            store.delete_items(str(label), [r.item_key for r in gone])
+    return store.read("chunks").groupBy("collection").agg(F.count("*").alias("n"))

@@ -44,9 +44,9 @@ def paged(fetch: Fetch, path: str, params: dict[str, str], page: int = PAGE) ->
 
 
 class OneCollection(InputPartition):
-    def __init__(self, key: str | None):
+    def __init__(self, key: str | None, place: int):
         super().__init__(key)
-        self.key = key
+        self.key, self.place = key, place
 
 
 class CatalogReader(DataSourceReader):
@@ -64,12 +64,13 @@ class CatalogReader(DataSourceReader):
 
     def partitions(self):
         keys = [k for k in self.options.get("collections", "").split(",") if k]
-        return [OneCollection(k) for k in keys] or [OneCollection(None)]
+        return [OneCollection(k, i) for i, k in enumerate(keys)] or [OneCollection(None, 0)]
 
     def read(self, partition):
         path = f"collections/{partition.key}/items" if partition.key else self.options.get("path", "items")
         for i, record in enumerate(paged(self.fetch, path, self.params, int(self.options.get("page", PAGE)))):
-            yield (i, partition.key, json.dumps(record), (record.get("data") or {}).get("itemType"))
+            # Collections in the order in which they are named, records in the service's.
+            yield ((partition.place << 40) + i, partition.key, json.dumps(record), (record.get("data") or {}).get("itemType"))
 
 
 def register_catalog(spark: SparkSession, fetch: Fetch | None = None, name: str = "catalog") -> None:

@@ -27,14 +27,16 @@ def scan_files(spark: SparkSession, paths: list[str], recursive: bool = True) ->
     """One row per file by absolute path, sorted by it.
 
     Folders are walked on the driver, as Spark's own listing leaves out names
-    that start with `_`, which a scan takes. A missing path is an error.
+    that start with `_`, which a scan takes. A file that is named itself is
+    taken whatever its name, by its extension only; `~` is the home folder. A
+    missing path is an error.
     """
     found: set[str] = set()
-    for top in map(Path, paths):
+    for top in (Path(p).expanduser() for p in paths):
         if not top.exists():
             raise FileNotFoundError(top)
         if top.is_file():
-            found.update([os.path.abspath(top)] if wanted(top) else [])
+            found.update([os.path.abspath(top)] if top.suffix.lower() in EXTENSIONS else [])
             continue
         for folder, dirs, names in os.walk(top):
             dirs[:] = sorted(d for d in dirs if d not in SKIPPED_DIRS) if recursive else []

@@ -6,6 +6,7 @@ import queue
 import threading
 import time
 import uuid
+from collections import deque
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -48,7 +49,10 @@ class Jobs:
 
     def __init__(self, spark: SparkSession, run: Callable[[str, dict, Callable[[str, dict], None]], dict], free_mb: Callable[[], float] | None = None, least_mb: float = FREE_MB, poll: float = MEMORY_POLL):
         self.spark, self.run, self.free_mb, self.least_mb, self.poll = spark, run, free_mb, least_mb, poll
-        self.rows: list[tuple] = []
+        #: Changes of state by job (a handful each), and the last log lines of each.
+        self.states: dict[str, list[tuple]] = {}
+        self.logs: dict[str, deque[tuple]] = {}
+        self.told = 0
         self.results: dict[str, dict] = {}
         self.lock, self.waiting = threading.Lock(), queue.Queue()
         self.over: dict[str, threading.Event] = {}
@@ -57,7 +61,12 @@ class Jobs:
 
     def tell(self, job_id: str, kind: str, params: dict, status: str | None, msg: str = "") -> None:
         with self.lock:
-            self.rows.append((job_id, kind, {k: str(v) for k, v in params.items()}, status, datetime.now(timezone.utc), msg, len(self.rows)))
+            row = (job_id, kind, {k: str(v) for k, v in params.items()}, status, datetime.now(timezone.utc), msg, self.told)
+            self.told += 1
+            if status is None:
+                self.logs.setdefault(job_id, deque(maxlen=KEPT)).append(row)
+            else:
+                self.states.setdefault(job_id, []).append(row)
 
     def submit(self, kind: str, params: dict) -> str:
         job_id = uuid.uuid4().hex[:12]
@@ -117,7 +126,7 @@ class Jobs:
             self.tell(job_id, kind, params, "done")
 
     def events(self) -> DataFrame:
-        """The event table, with at most the last log lines of each job."""
+        """The event table: all changes of state, and the last log lines of each job."""
         with self.lock:
-            rows = list(self.rows)
-        return ring(self.spark.createDataFrame(rows, JOB_EVENTS), KEPT).drop("rn")
+            rows = [r for kept in (*self.states.values(), *self.logs.values()) for r in kept]
+        return self.spark.createDataFrame(sorted(rows, key=lambda r: r[-1]), JOB_EVENTS)

@@ -106,7 +106,6 @@ def test_slugs(spark):
         want.append(s or "untitled")
     got = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", T.slug(F.col("t")).alias("s")).orderBy("i").collect()
     assert [r.s for r in got] == want
-    assert T.untagged_slug("A / B") == "A_B" and T.untagged_slug("//") == "untitled"
 
 
 def test_ocr_lines_and_pages(spark):
@@ -405,3 +404,107 @@ def test_prepare_from_the_catalog(spark, tmp_path):
     listed = api.collections(spark.createDataFrame([("k", "C", None, 2, 0, 0)], "key string, name string, parent string, num_items long, num_collections long, api_ord long"), store.read("manifest")).collect()
     assert [(r.name, r.ok, r.is_prepared) for r in listed] == [("C", 2, True)]
     assert api.find_similar(store, "I1").first().item_key == "I2"
+
+
+def test_trees_have_no_depth_limit(spark):
+    n = 300
+    rows = [(f"k{i}", f"N{i}", f"k{i - 1}" if i else None, 0, i) for i in range(n)] + [("x", "X", "z", 0, n), ("y", "Y", "x", 0, n + 1), ("z", "Z", "y", 0, n + 2), ("w", "W", "x", 0, n + 3)]
+    df = spark.createDataFrame(rows, "key string, name string, parent string, num_items long, api_ord long")
+    t = {r.key: r for r in catalog.tree(df).collect()}
+    assert len(t) == n and all(t[f"k{i}"].depth == i and t[f"k{i}"].path == [f"k{j}" for j in range(i + 1)] for i in (0, 1, 150, 299))
+    assert {r.key for r in catalog.descendants(df, "k100").collect()} == {f"k{i}" for i in range(100, n)}
+    assert {r.key for r in catalog.descendants(df, "x").collect()} == {"x", "y", "z", "w"} and {r.key for r in catalog.descendants(df, "nobody").collect()} == {"nobody"}
+    assert [r.line for r in catalog.listing(df).orderBy("ord").collect()] == ["  " * i + f"N{i}" for i in range(n)]
+    assert catalog.tree(df.limit(0)).collect() == []
+
+
+def test_ocr_lines_of_a_long_page(spark):
+    lines = [f"text [0, 0, {i % 900}, 9]line {i}" if i % 3 == 0 else f"more {i}" for i in range(20_000)]
+    raw = spark.createDataFrame([(1, 0, "\n".join(lines))], "doc_id long, page int, raw string")
+    rows = convert.ocr_lines(raw).collect()
+    assert len(rows) == 6667 and {r.pos: r.text for r in rows}[300] == "line 300 more 301 more 302"
+
+
+def test_knn_in_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(120, 8)).round(1)
+    v[7] = 0
+    rows = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)], "key long, vector array<double>, scope long").repartition(3)
+    queries_ = rows.filter("key % 4 = 0").withColumnRenamed("key", "query_key")
+    want = sorted(map(tuple, search.knn(rows, queries_, 5, scope="scope", but_self=True).collect()))
+    monkeypatch.setattr(search, "QUERY_BYTES", 500)
+    assert sorted(map(tuple, search.knn(rows, queries_, 5, scope="scope", but_self=True).collect())) == want
+    unit = v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+    for q in (0, 4):
+        sims = sorted((-round(float(unit[q] @ unit[k]), 6), k) for k in range(120) if k % 3 == q % 3 and k != q and k != 7)[:5]
+        assert [k for _, k in sims] == [k for qk, k, *_ in sorted(want, key=lambda r: (r[0], r[3])) if qk == q]
+    assert search.knn(rows, queries_.limit(0), 5).collect() == []
+
+
+def test_store_survives_a_writer_that_dies(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    row = lambda k: spark.createDataFrame([("c", k, "d", "text")], "collection string, item_key string, dir string, markdown string")
+    store.replace("content", "c", row("old"))
+    real = Store.moved
+
+    def dies(self, source, target):
+        if "/.staging/" in source:
+            raise KeyboardInterrupt
+        return real(self, source, target)
+
+    monkeypatch.setattr(Store, "moved", dies)
+    with pytest.raises(KeyboardInterrupt):
+        store.replace("content", "c", row("new"))
+    monkeypatch.setattr(Store, "moved", real)
+    assert [r.item_key for r in Store(spark, str(tmp_path / "s")).read("content", "c").collect()] == ["old"]
+    store.replace("content", "c", row("new"))
+    assert [r.item_key for r in store.read("content").collect()] == ["new"]
+    # One that died after its rows were in place.
+    assert real(store, store.staged("content", row("older"))[0], store.aside("content", "c"))
+    assert [r.item_key for r in store.read("content").collect()] == ["new"] and not store.exists(store.aside("content", "c"))
+
+
+def test_named_files_are_taken_by_extension(spark, tmp_path, monkeypatch):
+    for name in (".hidden.md", "content.md", "a.bin"):
+        (tmp_path / name).write_text("x")
+    paths = [str(tmp_path / n) for n in (".hidden.md", "content.md", "a.bin")]
+    assert sorted(r.name for r in scan_files(spark, paths).collect()) == [".hidden.md", "content.md"]
+    assert scan_files(spark, [str(tmp_path)]).collect() == []
+    monkeypatch.setenv("HOME", str(tmp_path))
+    assert scan_files(spark, ["~/content.md"]).count() == 1
+
+
+def test_job_log_is_bounded_in_memory(spark):
+    def work(kind, params, progress):
+        for i in range(500):
+            progress("step", {"i": i})
+        return {}
+
+    queue = Jobs(spark, work)
+    job = queue.submit("x", {})
+    assert queue.wait(job, 30) and len(queue.logs[job]) == 200
+    rows = queue.events().filter(F.col("job_id") == job)
+    assert rows.filter("msg != ''").count() == 200 and latest(rows).first().status == "done"
+
+
+def test_sync_and_engines(spark, tmp_path, capsys):
+    from scholarlake.cli import engines
+
+    def fetch(path, params):
+        if path == "collections":
+            every = [{"data": {"key": "C1", "name": "Graphs", "parentCollection": False}, "meta": {}}, {"data": {"key": "C2", "name": "Below", "parentCollection": "C1"}, "meta": {}}]
+        else:
+            key = path.split("/")[1]
+            every = [{"data": {"key": f"I{key}", "itemType": "book", "title": f"About {key}"}, "version": 1}, {"data": {"key": f"A{key}", "itemType": "attachment", "parentItem": f"I{key}", "path": str(folder / f"{key}.md"), "contentType": "text/markdown"}}]
+        return every[int(params["start"]) : int(params["start"]) + int(params["limit"])]
+
+    folder = tmp_path / "f"
+    folder.mkdir()
+    for key in ("C1", "C2"):
+        (folder / f"{key}.md").write_text(f"Words on {key}")
+    assert main(["--root", str(tmp_path / "s"), "sync", "graph"], spark, {"CATALOG_DATA_DIR": "/data"}, fetch) == 0
+    store = Store(spark, str(tmp_path / "s"))
+    assert sorted((r.item_key, r.status, r.title) for r in store.read("manifest", "Graphs").collect()) == [("IC1", "ok", "About C1"), ("IC2", "ok", "About C2")]
+    assert main(["--root", str(tmp_path / "s"), "search", "words on C2", "--collection", "Graphs"], spark, {}) == 0 and "About C2" in capsys.readouterr().out
+    env = {"EMBED_API_URL": "http://e", "EMBED_MODEL": "m", "EMBED_DIM": "8", "OCR_API_URL": "http://o"}
+    assert engines(env)[1] == "m" and engines(env)[2] is not None and engines(env, use_ocr=False)[2] is None and engines({})[1:] == ("hash", None)
