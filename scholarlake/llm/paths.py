@@ -85,28 +85,38 @@ def least(key: np.ndarray, value: np.ndarray, *more: np.ndarray) -> tuple[np.nda
     return (key[new], value[rows], *(m[rows] for m in more))
 
 
+def key_ranges(key: np.ndarray, path: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(distinct keys sorted, smallest and largest path hash, smallest and largest document) of some paths."""
+    order = np.argsort(key, kind="stable")
+    key, path, doc = key[order], path[order], doc[order]
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    if not len(cut):
+        return key, path, path, doc, doc
+    return (key[cut], *(f.reduceat(x, cut) for x in (path, doc) for f in (np.minimum, np.maximum)))
+
+
 def answer_paths(payloads: list[list[np.ndarray]]) -> Iterator[tuple | None]:
-    """For each block's (path hash, key, smallest doc, check): where a path is worth a look, (row, smallest doc of the path, check there, look singly)."""
-    path, key, doc, check = (np.concatenate([p[i] for p in payloads]) for i in range(4))
+    """For each block's (path, doc, check; key and its ranges): (rows of paths that other blocks have, smallest doc, check there, rows of branching keys).
+
+    Paths and keys come to buckets of their own hashes: a block sends a range
+    for each of its keys, so a key that all documents hold costs one row a
+    block, and its many paths are spread over all buckets.
+    """
+    path, doc, check = (np.concatenate([p[i] for p in payloads]) for i in range(3))
     names, first, source = least(path, doc, check)
-    # Leaders: one document for each distinct path; keys whose leaders differ branch.
-    _, at = np.unique(path, return_index=True)
-    leader_key = key[at]
-    order = np.lexsort((first, leader_key))
-    k, d = leader_key[order], first[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    group = np.cumsum(new) - 1
-    lows = d[new]
-    highs = d[np.append(np.flatnonzero(new)[1:] - 1, len(k) - 1)] if len(k) else d
-    branches = np.zeros(len(names), bool)
-    branches[order] = (lows != highs)[group]
     copies = np.bincount(np.searchsorted(names, path), minlength=len(names)) > 1
+    key, low, high, least_doc, last_doc = (np.concatenate([p[i] for p in payloads]) for i in range(3, 8))
+    keys, at = np.unique(key, return_inverse=True)
+    ends = [np.full(len(keys), limit, x.dtype) for x, limit in ((low, np.iinfo(np.uint64).max), (high, 0), (least_doc, np.iinfo(np.int64).max), (last_doc, np.iinfo(np.int64).min))]
+    for end, x, f in zip(ends, (low, high, least_doc, last_doc), (np.minimum, np.maximum, np.minimum, np.maximum)):
+        f.at(end, at, x)
+    # Different paths of different documents: their windows are looked at singly.
+    branches = (ends[0] != ends[1]) & (ends[2] != ends[3])
     for p in payloads:
-        i = np.searchsorted(names, p[0])
-        say = np.flatnonzero(branches[i] | copies[i])
+        i, j = np.searchsorted(names, p[0]), np.searchsorted(keys, p[3])
+        say, look = np.flatnonzero(copies[i]), np.flatnonzero(branches[j])
         i = i[say]
-        yield (say.astype(np.uint32), first[i], source[i], branches[i]) if len(say) else None
+        yield (say.astype(np.uint32), first[i], source[i], look.astype(np.uint32)) if len(say) or len(look) else None
 
 
 def answer_windows(payloads: list[list[np.ndarray]]) -> Iterator[tuple | None]:

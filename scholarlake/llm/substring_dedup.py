@@ -3,9 +3,11 @@
 Runs of ``width`` words are the edges of a de Bruijn graph. Inside a document,
 consecutive edges with one minimizer are a nonbranching path, compacted to a
 single hash (see ``paths``). Joins between blocks of documents and buckets of
-minimizers find for each path the smallest document that has all of it; where
-paths with one minimizer branch, one copy of each is taken apart into edges,
-which are joined the same way. Every match carries a second, independent hash
+paths find for each path the smallest document that has all of it; where paths
+with one minimizer branch, which buckets of minimizers tell from one range a
+block, one copy of each is taken apart into edges, which are joined the same
+way. So neither a path nor a minimizer that most documents hold weighs on one
+task. Every match carries a second, independent hash
 of the words at its source, and only matches that agree with it count.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarlake.llm.blocks import Blocks, packed, split, text_batch
-from scholarlake.llm.paths import Paths, Sums, answer_paths, answer_windows, gathered, least, spread
+from scholarlake.llm.paths import Paths, Sums, answer_paths, answer_windows, gathered, key_ranges, least, spread
 from scholarlake.llm.tools import texts
 from scholarlake.llm.words import U, Words, salted, slices, windows
 
@@ -65,15 +67,23 @@ def repeats(docs: DataFrame, width: int, finish, schema: str, empty: pa.Schema)
 
     def ask_paths(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         path, doc, key, check = block_paths(parts_of(table, width))
-        for b, columns, _ in split(bucket_of(key), path, key, doc, check):
-            yield b, packed(*columns)
+        ranges = key_ranges(key, path, doc)
+        of_paths = {b: columns for b, columns, _ in split(bucket_of(path), path, doc, check)}
+        of_keys = {b: columns for b, columns, _ in split(bucket_of(ranges[0]), *ranges)}
+        none = [tuple(x[:0] for x in columns) for columns in ((path, doc, check), ranges)]
+        for b in sorted(of_paths.keys() | of_keys.keys()):
+            yield b, packed(*of_paths.get(b, none[0]), *of_keys.get(b, none[1]))
 
     def known(parts: list[Part], answers: dict) -> tuple[np.ndarray, ...]:
+        """(distinct paths, the smallest document of each, check there, whether to look at its windows singly)."""
         path, doc, key, check = block_paths(parts)
-        first, source, look = gathered(bucket_of(key), path, answers.get(1, {}), (np.int64(np.iinfo(np.int64).max), U(0), False))
+        found = answers.get(1, {})
+        first, source = gathered(bucket_of(path), path, {b: a[:3] for b, a in found.items()}, (np.int64(np.iinfo(np.int64).max), U(0)))
+        keys, of = np.unique(key, return_inverse=True)
+        (look,) = gathered(bucket_of(keys), keys, {b: (a[3], np.ones(len(a[3]), bool)) for b, a in found.items()}, (False,))
         # The block's own smallest document may be the only one with the path.
         inner = doc < first
-        return path, np.where(inner, doc, first), np.where(inner, check, source), look
+        return path, np.where(inner, doc, first), np.where(inner, check, source), look[of]
 
     def single_windows(part: Part, path: np.ndarray, first: np.ndarray, look: np.ndarray) -> tuple[np.ndarray, ...]:
         """(window hash, doc, check, first token) of the windows of branching paths that this part leads."""

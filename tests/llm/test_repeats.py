@@ -128,3 +128,27 @@ def test_even_ids_follow_spark(spark):
     got = spark.range(2000).select(F.expr("pmod(hash(cast(id as int)), 51)").alias("p")).collect()
     assert partition_of(ids, 51).tolist() == [r.p for r in got]
     assert sorted(partition_of(even_ids(211), 211).tolist()) == list(range(211))
+
+
+def test_one_phrase_in_every_document(spark):
+    """A minimizer that all documents hold, each in other surroundings, among which some repeat."""
+    rng = random.Random(21)
+    phrase = " ".join(f"p{i}" for i in range(30))
+    around = [" ".join(f"a{rng.randrange(10**6)}" for _ in range(40)) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        before, after = (rng.choice(around) if rng.random() < 0.5 else " ".join(f"x{rng.randrange(10**6)}" for _ in range(40)) for _ in range(2))
+        rows.append((i, f"{before} {phrase} {after}"))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(frame(spark, rows)).collect()}
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for j in range(len(w) - 49):
+            first.setdefault(tuple(w[j : j + 50]), i)
+    for i, t in rows:
+        w = t.split()
+        gone = set()
+        for j in range(len(w) - 49):
+            if first[tuple(w[j : j + 50])] < i:
+                gone.update(range(j, j + 50))
+        assert got[i] == (len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest())
