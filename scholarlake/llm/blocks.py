@@ -121,6 +121,24 @@ class Blocks:
 
         return asked.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(bucket, ASKED)
 
+    def index(self, table: pa.Table) -> int:
+        """A block's place among the blocks, by which `ask` calls its buckets too."""
+        return int(np.flatnonzero(self.ids == table.column("block")[0].as_py())[0])
+
+    def at_source(self, asked: DataFrame, run: Callable[[pa.Table, list[list[np.ndarray]]], Iterator[tuple]], step: int) -> DataFrame:
+        """``run(texts, payloads)`` yields the arrays that answer what a step asked of this block's texts; rows of other steps pass."""
+
+        def one(table: pa.Table, found: pa.Table) -> pa.Table:
+            steps = found.column("step").to_numpy()
+            mine, others = (found.filter(pa.array(steps == step)), found.filter(pa.array(steps != step)).select(ASKED_ARROW.names).cast(ASKED_ARROW))
+            if not mine.num_rows:
+                return others
+            made = [packed(*a) for a in run(table, [unpacked(x.as_py()) for x in mine.column("payload")])]
+            columns = [mine.column(c).combine_chunks() for c in ("bucket", "block", "step")]
+            return pa.concat_tables([pa.table([*columns, pa.array(made, pa.binary())], schema=ASKED_ARROW), others])
+
+        return self.texts.groupBy("block").cogroup(asked.groupBy("bucket")).applyInArrow(one, ASKED)
+
     def finish(self, answers: DataFrame, run: Callable[[pa.Table, dict], pa.Table], schema: str, empty: pa.Schema) -> DataFrame:
         """``run(texts, answers by step)`` makes the result rows of one block."""
 

@@ -18,7 +18,7 @@ import numpy as np
 from scholarlake.llm.blocks import split
 from scholarlake.llm.words import U, mix, powers
 
-#: Two independent polynomial bases; the second confirms a match at its source.
+#: Two independent polynomial bases; the second confirms a span at its source.
 BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9 | 1)
 
 
@@ -85,49 +85,66 @@ def least(key: np.ndarray, value: np.ndarray, *more: np.ndarray) -> tuple[np.nda
     return (key[new], value[rows], *(m[rows] for m in more))
 
 
-def key_ranges(key: np.ndarray, path: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(distinct keys sorted, smallest and largest path hash, smallest and largest document) of some paths."""
+def ranges(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(distinct keys sorted, smallest and largest of each value)."""
     order = np.argsort(key, kind="stable")
-    key, path, doc = key[order], path[order], doc[order]
-    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-    if not len(cut):
-        return key, path, path, doc, doc
-    return (key[cut], *(f.reduceat(x, cut) for x in (path, doc) for f in (np.minimum, np.maximum)))
+    key = key[order]
+    if not len(key):
+        return (key, *(v[:0] for v in values for _ in range(2)))
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return (key[cut], *(f.reduceat(v[order], cut) for v in values for f in (np.minimum, np.maximum)))
+
+
+def differ(payloads: list[list[np.ndarray]], at: int, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(distinct keys, for each of ``n`` values whether it differs) from the ranges that blocks sent at ``at``."""
+    sent = [np.concatenate([p[at + i] for p in payloads]) for i in range(1 + 2 * n)]
+    keys, group = np.unique(sent[0], return_inverse=True)
+    out = []
+    for low, high in zip(sent[1::2], sent[2::2]):
+        ends = []
+        for x, f, limit in ((low, np.minimum, "max"), (high, np.maximum, "min")):
+            end = np.full(len(keys), getattr(np.iinfo(x.dtype), limit), x.dtype)
+            f.at(end, group, x)
+            ends.append(end)
+        out.append(ends[0] != ends[1])
+    return keys, out
+
+
+def sources(payloads: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """(distinct hashes, smallest document, place there, its block, whether several blocks have it) from (block; hash, doc, place)."""
+    name, doc, place = (np.concatenate([p[i] for p in payloads]) for i in range(1, 4))
+    block = np.concatenate([np.full(len(p[1]), p[0][0], np.int32) for p in payloads])
+    names, first, at, of = least(name, doc, place, block)
+    return names, first, at, of, np.bincount(np.searchsorted(names, name), minlength=len(names)) > 1
 
 
 def answer_paths(payloads: list[list[np.ndarray]]) -> Iterator[tuple | None]:
-    """For each block's (path, doc, check; key and its ranges): (rows of paths that other blocks have, smallest doc, check there, rows of branching keys).
+    """For each block's (block; path, doc, place; key and its ranges): (rows of paths that other blocks have, source document, place, block; rows of branching keys).
 
     Paths and keys come to buckets of their own hashes: a block sends a range
     for each of its keys, so a key that all documents hold costs one row a
     block, and its many paths are spread over all buckets.
     """
-    path, doc, check = (np.concatenate([p[i] for p in payloads]) for i in range(3))
-    names, first, source = least(path, doc, check)
-    copies = np.bincount(np.searchsorted(names, path), minlength=len(names)) > 1
-    key, low, high, least_doc, last_doc = (np.concatenate([p[i] for p in payloads]) for i in range(3, 8))
-    keys, at = np.unique(key, return_inverse=True)
-    ends = [np.full(len(keys), limit, x.dtype) for x, limit in ((low, np.iinfo(np.uint64).max), (high, 0), (least_doc, np.iinfo(np.int64).max), (last_doc, np.iinfo(np.int64).min))]
-    for end, x, f in zip(ends, (low, high, least_doc, last_doc), (np.minimum, np.maximum, np.minimum, np.maximum)):
-        f.at(end, at, x)
+    names, first, place, block, copies = sources(payloads)
+    keys, (paths, docs) = differ(payloads, 4, 2)
     # Different paths of different documents: their windows are looked at singly.
-    branches = (ends[0] != ends[1]) & (ends[2] != ends[3])
+    branches = paths & docs
     for p in payloads:
-        i, j = np.searchsorted(names, p[0]), np.searchsorted(keys, p[3])
-        say, look = np.flatnonzero(copies[i]), np.flatnonzero(branches[j])
+        i = np.searchsorted(names, p[1])
+        say, look = np.flatnonzero(copies[i]), np.flatnonzero(branches[np.searchsorted(keys, p[4])])
         i = i[say]
-        yield (say.astype(np.uint32), first[i], source[i], look.astype(np.uint32)) if len(say) or len(look) else None
+        yield (say.astype(np.uint32), first[i], place[i], block[i], look.astype(np.uint32)) if len(say) or len(look) else None
 
 
 def answer_windows(payloads: list[list[np.ndarray]]) -> Iterator[tuple | None]:
-    """For each block's (window hash, smallest doc, check): (row, smallest doc, check there) where another document is smaller."""
-    key, doc, check = (np.concatenate([p[i] for p in payloads]) for i in range(3))
-    names, first, source = least(key, doc, check)
+    """For each block's (block; window, doc, place; path and the ranges of its neighbours): (rows whose window a smaller document has, source; for each path, 1 if its next one differs, 2 if the one before)."""
+    names, first, place, block, _ = sources(payloads)
+    paths, (after, before) = differ(payloads, 4, 2)
     for p in payloads:
-        i = np.searchsorted(names, p[0])
-        say = np.flatnonzero(first[i] < p[1])
+        i, j = np.searchsorted(names, p[1]), np.searchsorted(paths, p[4])
+        say = np.flatnonzero(first[i] < p[2])
         i = i[say]
-        yield (say.astype(np.uint32), first[i], source[i]) if len(say) else None
+        yield say.astype(np.uint32), first[i], place[i], block[i], after[j].astype(np.uint8) | before[j].astype(np.uint8) << 1
 
 
 def spread(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
