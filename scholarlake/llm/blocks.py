@@ -121,10 +121,6 @@ class Blocks:
 
         return asked.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(bucket, ASKED)
 
-    def index(self, table: pa.Table) -> int:
-        """A block's place among the blocks, by which `ask` calls its buckets too."""
-        return int(np.flatnonzero(self.ids == table.column("block")[0].as_py())[0])
-
     def at_source(self, asked: DataFrame, run: Callable[[pa.Table, list[list[np.ndarray]]], Iterator[tuple]], step: int) -> DataFrame:
         """``run(texts, payloads)`` yields the arrays that answer what a step asked of this block's texts; rows of other steps pass."""
 
@@ -150,6 +146,11 @@ class Blocks:
         return self.texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(one, schema)
 
 
+def place_among(ids: np.ndarray, table: pa.Table) -> int:
+    """A block's place among all ``ids``, by which `Blocks.ask` calls its buckets too."""
+    return int(np.flatnonzero(ids == table.column("block")[0].as_py())[0])
+
+
 def carried(found: pa.Table) -> pa.Table:
     """A block's answers so far as one row, which travels by the block's own number."""
     if not found.num_rows:

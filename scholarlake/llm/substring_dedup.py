@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlake.llm.blocks import Blocks, packed, split, text_batch
+from scholarlake.llm.blocks import Blocks, packed, place_among, split, text_batch
 from scholarlake.llm.paths import Paths, Sums, answer_paths, answer_windows, gathered, least, ranges, spread
 from scholarlake.llm.tools import texts
 from scholarlake.llm.words import U, Words, salted, slices, windows
@@ -170,9 +170,10 @@ def verified(parts: list[Part], width: int, doc: np.ndarray, place: np.ndarray,
 def repeats(docs: DataFrame, width: int, finish, schema: str, empty: pa.Schema) -> DataFrame:
     """The block joins; ``finish(part, covered)`` gets the first tokens of windows to remove."""
     blocks = Blocks(docs)
+    ids = blocks.ids
 
     def graph(table: pa.Table, answers: dict | None = None) -> Graph:
-        g = Graph(parts_of(table, width), width, blocks.index(table), blocks.n)
+        g = Graph(parts_of(table, width), width, place_among(ids, table), len(ids))
         if answers is not None:
             g.paths(answers.get(1, {}))
             g.windows()

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from scholarlake.llm.langid import SEGMENT, forward_backward
 from scholarlake.llm.near_dedup import shingle_sets, sketches
 from scholarlake.llm.paths import sliding_min
-from scholarlake.llm.toxicity import label_model
+from scholarlake.llm.toxicity import LabelModel
 from scholarlake.llm.words import Words, mix, slices, windows
 
 TEXT = st.text(alphabet="aAbÉé \t\n\x0b. 😀", max_size=30)
@@ -106,8 +106,9 @@ def test_label_model_shares_the_weight_of_correlated_voters():
     y = (rng.rand(3000) < 0.2).astype(int)
     one, two = (rng.rand(3000) < np.where(y, 0.6, 0.02)), (rng.rand(3000) < np.where(y, 0.5, 0.02))
     votes = np.stack([one, one, one, two], axis=1).astype(float)
-    labels = np.where(rng.rand(3000) < 0.3, y, -1)
-    q, weight = label_model(votes, labels, 0.2)
+    n, silent = np.array([y.sum(), (1 - y).sum()]), ~votes.any(axis=1)
+    model = LabelModel.of(y @ votes, votes.sum(0), np.array([y[silent].sum(), (1 - y)[silent].sum()]), n, 0.2, votes.T @ votes)
+    weight = 1 / model.shared.sum(axis=1)
     assert weight[3] > 0.9 and weight[:3].max() < 0.5
-    free = labels < 0
-    assert q[free & (y == 1) & (one | two)].mean() > 0.8 and q[free & ~(one | two)].mean() < 0.2
+    q = model.posterior(votes)
+    assert q[(y == 1) & (one | two)].mean() > 0.8 and q[~(one | two)].mean() < 0.2
