@@ -21,10 +21,13 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; only a session without one (tests, local mode) gets its own."""
+    """The cluster's shared checkpoint folder; a local session without one gets its own, any other is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scholarlake-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="scholarlake-"))
     return sc.getCheckpointDir()
 
 
