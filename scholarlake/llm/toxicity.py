@@ -5,8 +5,8 @@ associate with toxicity), word beginnings (patterns that catch inflected and
 compounded forms) and shape patterns. A generative label model estimates each
 voter's hit rates in both classes and the correlations of voters within the
 classes from the votes of all documents, by expectation maximisation over the
-table of distinct vote patterns; labels only choose the voters and tell it
-where to start. Correlated voters of a text share what they say. The model's
+table of distinct vote patterns; labels choose the voters and give the rates
+where it starts, which stay in it as a prior. Correlated voters of a text share what they say. The model's
 posteriors train a logistic classifier, which scores every document by the
 features of its text; only a labelled row on which every voter abstains is
 learned by its label.
@@ -30,6 +30,8 @@ SEEDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "
 PREFIXES = (4, 5, 6)
 #: Shape patterns, in the order that `shapes` returns them.
 SHAPES = ("mostly upper case", "many exclamation marks", "few different words")
+#: Weight of the rates by label in the label model, in documents for each document that votes.
+ANCHOR = 3.0
 N_FEATURES = 512
 N_VOTERS = 96
 #: Share of a voter's votes that must be right on labelled rows.
@@ -130,7 +132,7 @@ class LabelModel:
     """
 
     def __init__(self, a: np.ndarray, b: np.ndarray, silent: tuple[float, float], prior: float, correlation: np.ndarray, least: float = 0.1):
-        self.a, self.b, self.prior = a, b, prior
+        self.a, self.b, self.silent, self.prior = a, b, silent, prior
         self.quiet = float(np.log(silent[0]) - np.log(silent[1]))
         self.loud = float(np.log(1 - silent[0]) - np.log(1 - silent[1]))
         self.each = np.log(a / b) - self.loud
@@ -139,12 +141,12 @@ class LabelModel:
         self.start = np.log(prior / (1 - prior))
 
     @classmethod
-    def of(cls, positive: np.ndarray, votes: np.ndarray, silent: np.ndarray, n: np.ndarray, prior: float, both: np.ndarray) -> LabelModel:
-        """From (expected) toxic documents with each vote, all with each vote, silent ones and all by class, and joint votes."""
+    def of(cls, positive: np.ndarray, votes: np.ndarray, silent: np.ndarray, n: np.ndarray, prior: float, both: np.ndarray, seen: float | None = None) -> LabelModel:
+        """From (expected) toxic documents with each vote, all with each vote, silent ones and all by class, and joint votes of ``seen`` (all) documents."""
         rate = lambda x, k: np.clip((x + 0.05) / (k + 0.1), 1e-5, 1 - 1e-5)
         a, b = rate(positive, n[0]), rate(votes - positive, n[1])
-        total = max(n.sum(), 1)
-        return cls(a, b, (float(rate(silent[0], n[0])), float(rate(silent[1], n[1]))), prior, correlations(both / total, a, b, n[0] / total))
+        total = max(n.sum() if seen is None else seen, 1)
+        return cls(a, b, (float(rate(silent[0], n[0])), float(rate(silent[1], n[1]))), prior, correlations(both / total, a, b, n[0] / max(n.sum(), 1)))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """Probability of toxicity of the rows of a 0/1 table of votes."""
@@ -162,12 +164,16 @@ def correlations(both: np.ndarray, a: np.ndarray, b: np.ndarray, share: float) -
     return out
 
 
-def label_model(patterns: DataFrame, start: LabelModel, rounds: int = 8, close: float = 1e-3) -> LabelModel:
+def label_model(patterns: DataFrame, start: LabelModel, rounds: int = 8, close: float = 1e-3, anchor: float = 0.0) -> LabelModel:
     """Expectation maximisation over patterns(votes, n): a round sums one number per voter.
 
-    Joint votes do not depend on the classes, so they are summed once.
+    Joint votes do not depend on the classes, so they are summed once. The
+    rates of ``start`` count as those of ``anchor`` times as many documents
+    (a prior of the same weight at every size), so that rare voters do not
+    drift to the other class.
     """
     k = len(start.a)
+    quiet_a, quiet_b = start.silent
 
     def summed(width: int, add) -> np.ndarray:
         """Totals over all patterns of ``add(table of votes, documents with each)``, a few thousand patterns at a time."""
@@ -200,7 +206,11 @@ def label_model(patterns: DataFrame, start: LabelModel, rounds: int = 8, close:
         sums = summed(k + 2, expected)
         toxic, quiet = sums[k], sums[k + 1]
         prior = float(np.clip(toxic / max(total, 1), 0.001, 0.5))
-        new = LabelModel.of(sums[:k], np.diag(both), np.array([quiet, silent - quiet]), np.array([toxic, total - toxic]), prior, both)
+        # The documents that `start` stands for, by class.
+        more = anchor * total * np.array([start.prior, 1 - start.prior])
+        positive, negative = sums[:k] + more[0] * start.a, np.diag(both) - sums[:k] + more[1] * start.b
+        hushed = np.array([quiet, silent - quiet]) + more * [quiet_a, quiet_b]
+        new = LabelModel.of(positive, positive + negative, hushed, np.array([toxic, total - toxic]) + more, prior, both, total)
         moved = np.abs(np.append(new.a - model.a, new.prior - model.prior)).max()
         model = new
         if moved < close:
@@ -282,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", holdout: i
         lexicon = np.isin(voters, seed_hashes())
         start = LabelModel(np.where(lexicon, 0.2, 0.02), np.where(lexicon, 0.01, 0.02), (0.2, 0.9), prior, np.eye(len(voters)))
     patterns = checkpointed(held(docs.select(F.lit(0).alias("y"), "text"), voters).groupBy(F.col("at").alias("votes")).agg(F.count("*").alias("n")))
-    model = label_model(patterns, start)
+    model = label_model(patterns, start, anchor=ANCHOR)
     discard(patterns)
     if not len(found):
         each = np.zeros(len(vocabulary))

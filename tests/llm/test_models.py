@@ -283,3 +283,18 @@ def test_mix_keeps_other_columns_and_tells_what_it_missed(spark):
     got = mix(docs, lab, {"q1t0": 0.5, "q0t0": 0.5}, keep=True)
     assert got.columns == [*docs.columns[:-3], "n_tokens", "posterior", "rate", "copies", "target_miss"]
     assert sorted(r.n_tokens for r in got.collect()) == [3] * 60
+
+
+def test_rare_voters_keep_their_class(spark):
+    """Two groups of voters that never meet: without a prior the rarer one may drift to the clean class."""
+    rng = np.random.default_rng(3)
+    toxic = rng.random(6000) < 0.1
+    rare = toxic & (rng.random(6000) < 0.2)
+    votes = rng.random((6000, 12)) < np.where(toxic & ~rare, 0.4, 0.0005)[:, None] * (np.arange(12) < 6) + np.where(rare, 0.5, 0.0005)[:, None] * (np.arange(12) >= 6)
+    y, silent = toxic.astype(float), ~votes.any(axis=1)
+    start = LabelModel.of(y @ votes, votes.sum(0).astype(float), np.array([y[silent].sum(), (1 - y)[silent].sum()]), np.array([y.sum(), (1 - y).sum()]), y.mean(), (votes.T @ votes.astype(float)))
+    rows = Counter(tuple(int(i) for i in np.flatnonzero(v)) for v in votes)
+    patterns = spark.createDataFrame([(list(p), n) for p, n in rows.items()], "votes array<int>, n long").repartition(3)
+    q = label_model(patterns, start, anchor=3.0).posterior(votes.astype(float))
+    spoke = ~silent
+    assert q[rare & spoke].mean() > 0.9 and q[toxic & ~rare & spoke].mean() > 0.9 and q[~toxic & silent].mean() < 0.1
