@@ -10,6 +10,7 @@ from scholarlake.llm.langid import language
 from scholarlake.llm.lm import lm_scores
 from scholarlake.llm.mixing import label_domains, mix
 from scholarlake.llm.near_dedup import near_dedup
+from scholarlake.llm.packing import pack
 from scholarlake.llm.secrets import secrets
 from scholarlake.llm.substring_dedup import substring_dedup
 from scholarlake.llm.suffix_dedup import suffix_dedup
@@ -63,6 +64,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(documents(spark, sf_dir)).drop("lang_shares")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_debruijn_dedup": op8_debruijn_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language": op10_language,
+    "op12_packing": op12_packing,
 }
 
 ORACLES = {
