@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholarlake.llm.alignment import align
 from scholarlake.llm.decontaminate import contamination
 from scholarlake.llm.exact_dedup import exact_dedup
 from scholarlake.llm.langid import language
@@ -64,6 +65,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(documents(spark, sf_dir)).drop("lang_shares")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(documents(spark, sf_dir))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_debruijn_dedup": op8_debruijn_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language": op10_language,
+    "op11_alignment": op11_alignment,
     "op12_packing": op12_packing,
 }
 
