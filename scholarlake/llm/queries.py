@@ -12,6 +12,7 @@ from scholarlake.llm.lm import lm_scores
 from scholarlake.llm.mixing import label_domains, mix
 from scholarlake.llm.near_dedup import near_dedup
 from scholarlake.llm.packing import pack
+from scholarlake.llm.prefix_trie import ordered_turns, prefix_trie, rebuilt
 from scholarlake.llm.secrets import secrets
 from scholarlake.llm.substring_dedup import substring_dedup
 from scholarlake.llm.suffix_dedup import suffix_dedup
@@ -73,6 +74,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -86,6 +91,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_alignment": op11_alignment,
     "op12_packing": op12_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -138,4 +144,29 @@ ORACLES = {
         SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id)
     """,
+    "op13_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, turn, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS nm,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT conv_id, nm, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, nm) - 1 AS pos FROM t),
+        c AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS base,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                       lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h
+            FROM (SELECT DISTINCT conv_id FROM t)),
+        r AS (
+            SELECT c.conv_id, pos, nm, w FROM c JOIN o ON o.conv_id = c.base AND o.pos < h
+            UNION ALL SELECT c.conv_id, pos, nm, w FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos >= h),
+        p AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d, w, md5(string_agg(nm, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS k FROM r
+            UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+        l AS (SELECT conv_id, max(d) AS length FROM p GROUP BY conv_id),
+        n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = length) AS ends FROM p JOIN l USING (conv_id) GROUP BY k, d),
+        a AS (SELECT n.k, n.d, n.n_convs, n.w, p.k AS ak, p.d AS ad FROM n JOIN p ON p.conv_id = n.conv_id AND p.d <= n.d),
+        kids AS (SELECT ak AS k, count(*) AS n_children FROM a WHERE d = ad + 1 GROUP BY ak),
+        below AS (SELECT ak AS k, count(*) FILTER (kids.k IS NULL) AS n_leaves, sum((n_convs - 1) * w)::BIGINT AS saved_tokens FROM a LEFT JOIN kids USING (k) GROUP BY ak)
+        SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+        FROM n JOIN below USING (k) LEFT JOIN kids USING (k)
+        LEFT JOIN p ON p.conv_id = n.conv_id AND p.d = n.d - 1 LEFT JOIN n u ON u.k = p.k
+    """,
 }
