@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from scholarlake.llm.tools import n_parts
 from scholarlake.llm.words import U
 
-#: Beyond so many blocks a literal of their numbers would weigh on the plan; plain hashes are even enough then.
+#: Beyond so many blocks a literal of their numbers would weigh on the plan; their places are numbers even enough then.
 LITERAL_IDS = 20_000
 #: Step number of a row that carries a block's earlier answers.
 CARRIED = 0
@@ -85,8 +85,8 @@ class Blocks:
 
     def __init__(self, docs: DataFrame):
         self.parts = self.n = n_parts(docs.sparkSession)
-        #: Block and bucket numbers as rows carry them.
-        self.ids = even_ids(self.parts)
+        #: Block and bucket numbers as rows carry them, by place; all steps translate by this one table.
+        self.ids = even_ids(self.parts) if self.n <= LITERAL_IDS else np.arange(self.n, dtype=np.int32)
         number = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(self.n)).cast("int")
         block = F.lit(self.ids.tolist()).cast("array<int>")[number] if self.n <= LITERAL_IDS else number
         self.texts = docs.withColumn("block", block).repartition(self.parts, "block")
