@@ -30,7 +30,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 IDENTIFIER = re.compile(r"""(?:[Cc][Ll][Ii][Ee][Nn][Tt]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Aa][Cc][Cc][Ee][Ss][Ss]|[Uu][Ss][Ee][Rr])_?(?:[Kk][Ee][Yy]_?)?(?:[Ii][Dd]|[Nn][Aa][Mm][Ee])["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""")
 IDENTIFIER_HINTS = ("client", "account", "access", "user")
 ENDPOINT = re.compile(r"""(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20"'<>|]{4,}""")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,88}={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 KINDS = ("assign", "access", "hex", "identifier", "endpoint", "opaque")
 ACCESS_LENGTH, ASSIGN_LENGTH, SCOPE, ENTROPY = 20, 6, 400, 3.5
 
@@ -56,7 +56,7 @@ def entropy(token: str) -> float:
 
 
 def opaque(token: str) -> bool:
-    """Whether a long token looks random: mixed classes and high entropy."""
+    """Whether a token of 20 or more characters looks random: mixed classes and high entropy, at any length."""
     return any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and entropy(token) >= ENTROPY
 
 
@@ -109,7 +109,8 @@ def secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
     ``spans``: kind:start:end in code points, by start, then kind; base spans
-    and linked ones. A null or empty text has none. Each row stands alone:
+    and linked ones. An unnamed token counts from 20 characters on, without an
+    upper bound, if it looks random. A null or empty text has none. Each row stands alone:
     null ids, repeated rows and other columns change nothing.
     """
     docs = texts(docs, id_col=id_col, text_col=text_col)

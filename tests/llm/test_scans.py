@@ -4,8 +4,9 @@ import re
 
 import pyarrow as pa
 
+from scholarlake.llm import secrets as S
 from scholarlake.llm.decontaminate import contamination, drop_contaminated, tiles
-from scholarlake.llm.secrets import KINDS, secrets
+from scholarlake.llm.secrets import KINDS, base_spans, linked_spans, named, opaque, secrets
 
 SCHEMA = "doc_id long, text string, item_id long, spans string, lang string"
 
@@ -159,3 +160,47 @@ def test_contamination_equals_tiling_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "JOIN_ROWS", held)
         found.append(sorted(block.check(pa.array([t for _, t in rows]), 0.6)))
     assert found[0] == found[1] and {d for d, *_ in found[0]} == {i for i, k in want.items() if k is not None}
+
+
+def random_token(rng, n):
+    while True:
+        token = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+        if opaque(token) and not S.ACCESS.search(token) and not S.HEX.search(token):
+            return token
+
+
+def test_opaque_tokens_of_any_length_are_linked():
+    rng = random.Random(8)
+    for n in [*range(20, 140), 200, 400, 5000]:
+        token = random_token(rng, n)
+        text = f"client_id = acme_user42 and then {token} end"
+        assert sorted(named(linked_spans(text, base_spans(text))).split(",")) == sorted([f"identifier:0:{len('client_id = acme_user42')}", f"opaque:{text.index(token)}:{text.index(token) + n}"]), n
+    short = "client_id = acme_user42 and " + random_token(rng, 19)
+    assert linked_spans(short, base_spans(short)) == []
+
+
+def all_pairs(text, scope):
+    """Linked spans by looking at every pair of parts."""
+    base = base_spans(text)
+    apart = lambda s, o: s[2] <= o[0] or o[2] <= s[0]
+    near = lambda s, o: o[0] <= s[2] + scope and o[2] >= s[0] - scope
+    found = lambda r, k: [(m.start(), k, m.end()) for m in r.finditer(text)]
+    endpoints = found(S.ENDPOINT, 4)
+    identifiers = [s for s in found(S.IDENTIFIER, 3) if all(apart(s, o) for o in base)]
+    tokens = [s for s in found(S.OPAQUE, 5) if opaque(text[s[0] : s[2]]) and all(apart(s, o) for o in base + endpoints)]
+    names, hidden = identifiers + [s for s in base if s[1] == 1], tokens + [s for s in base if s[1] != 1]
+    out = [e for e in endpoints if any(near(e, o) for o in names) and any(near(e, o) for o in hidden)]
+    out += [i for i in identifiers if any(near(i, o) for o in hidden)]
+    out += [t for t in tokens if any(near(t, o) for o in names + endpoints)]
+    return sorted(out)
+
+
+def test_links_equal_all_pairs():
+    rng, some = random.Random(3), 0
+    for _ in range(400):
+        parts = [lambda: "client_id: " + "".join(rng.choices("abc", k=6)), lambda: random_token(rng, rng.randint(20, 120)), lambda: "https://host.example/" + "".join(rng.choices("xyz", k=5)), lambda: "password=" + "".join(rng.choices("pq12", k=9)), lambda: "AKIA" + "".join(rng.choices("ABC123", k=18)), lambda: "w " * rng.randint(1, 90)]
+        text = " ".join(rng.choice(parts)() for _ in range(rng.randint(1, 9)))
+        linked = sorted(linked_spans(text, base_spans(text), 60))
+        some += len(linked)
+        assert linked == all_pairs(text, 60), text
+    assert some > 200
