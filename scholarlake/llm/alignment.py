@@ -10,9 +10,12 @@ group's key, where documents add up by their groups' places in the scope.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from scholarlake.llm.tokens import SLICE, TABLE_WORDS, WORD_BYTES, byte_letters, byte_level, loaded, pieces
 from scholarlake.llm.tools import checkpointed, rows_out, texts
 
-#: A scope of documents ends at so many bytes or distinct groups.
+#: A scope of documents ends at so many characters, or once a process knows so many distinct groups.
 SCOPE_BYTES = 32 << 20
 SCOPE_GROUPS = 1_000_000
 #: A space behind a character that no rule takes for white space; U+2581 is how pieces write a space.
@@ -38,7 +41,11 @@ ALIGNED_ARROW = pa.schema([(c, pa.string() if c == "groups_sha256" else pa.int64
 
 
 class Pair:
-    """Both tokenizers; ``groups(word)`` cuts the tokens of a space and a word."""
+    """Both tokenizers, with bounded tables of words and of the groups that they are cut into.
+
+    ``places`` numbers distinct groups for as long as the tables last; what a
+    word is cut into is kept as those numbers.
+    """
 
     #: Latin letters, then ASCII punctuation but for the apostrophe: two units of a byte-level BPE.
     UNITS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -53,12 +60,20 @@ class Pair:
             text = self.b.id_to_piece(i)
             hexed = BYTE_PIECE.fullmatch(text)
             self.b_bytes.append(bytes([int(hexed[1], 16)]) if hexed else text.replace("▁", " ").encode())
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
+        self.clear()
+
+    def clear(self) -> None:
         self.units: dict[str, list[int]] = {}
+        self.words: dict[str, bytes | None] = {}
+        self.places: dict[tuple[int, ...], int] = {}
+        self.names: list[str] = []
+        self.tokens = array("q")
 
     def unit(self, text: str) -> list[int]:
         if (found := self.units.get(text)) is None:
-            if len(self.units) >= TABLE_WORDS // 2:
+            if len(self.units) >= TABLE_WORDS:
                 self.units.clear()
             found = self.units[text] = [t.id for t in self.a.model.tokenize(byte_level(text))]
         return found
@@ -67,25 +82,45 @@ class Pair:
         whole = self.UNITS.fullmatch(word)
         if whole is None:
             return self.a.encode(" " + word, add_special_tokens=False).ids
-        return self.unit(" " + whole[1]) + (self.unit(whole[2]) if whole[2] else [])
+        return self.unit(" " + whole[1]) + self.unit(whole[2]) if whole[2] else self.unit(" " + whole[1])
+
+    def place(self, a: list[int], b: list[int]) -> int:
+        key = (*a, -1, *b)
+        if (found := self.places.get(key)) is None:
+            found = self.places[key] = len(self.names)
+            self.names.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+            self.tokens.append((len(a) << 32) + len(b))
+        return found
 
-    def groups(self, word: str, b_ids: list[int]) -> tuple[int, int, list[str]] | None:
-        """(tokens of A, tokens of B, groups), or None if their bytes are not the text's."""
-        a, b, data = self.a_ids(word), b_ids if word else [self.space], (" " + word).encode()
-        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+    def groups(self, word: str, b: list[int]) -> bytes | None:
+        """Numbers of the groups of a space and a word, or None if the tokens' bytes are not the text's."""
+        a, b, data = self.a_ids(word), b if word else [self.space], (" " + word).encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
-        out, i, j, ends_a, ends_b, from_a, from_b = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if ends_a <= ends_b:
-                ends_a += len(self.a_bytes[a[i]])
-                i += 1
-            else:
-                ends_b += len(self.b_bytes[b[j]])
-                j += 1
-            if ends_a == ends_b:
-                out.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                from_a, from_b = i, j
-        return len(a), len(b), out
+        ends = list(accumulate(map(self.b_size.__getitem__, b)))
+        cuts, at, out, from_a, from_b = set(ends), 0, array("i"), 0, 0
+        for i, token in enumerate(a, 1):
+            at += self.a_size[token]
+            if at in cuts:
+                to_b = ends.index(at, from_b) + 1
+                out.append(self.place(a[from_a:i], b[from_b:to_b]))
+                from_a, from_b = i, to_b
+        return out.tobytes()
+
+    def learn(self, words: list[str]) -> list[str]:
+        """Puts the words into the table; returns those too long to stay there."""
+        if len(self.words) >= TABLE_WORDS:
+            self.words.clear()
+        new = list(set(words).difference(self.words))
+        for word, b_ids in zip(new, self.b.encode(new, num_threads=1) if new else ()):
+            self.words[word] = self.groups(word, b_ids)
+        return [w for w in new if len(w) > WORD_BYTES]
+
+
+@functools.cache
+def pair_of(a: str, b: str) -> Pair:
+    """One process's tables."""
+    return Pair(a, b)
 
 
 def words_of(text: str) -> Iterator[list[str]]:
@@ -101,60 +136,44 @@ def words_of(text: str) -> Iterator[list[str]]:
 
 
 class Scope:
-    """Documents that share one dictionary of groups."""
+    """Documents that share one dictionary: the groups that they hold and how often."""
 
     def __init__(self, pair: Pair, number: int):
-        self.pair, self.number = pair, number
-        self.places: dict[str, int] = {}
+        self.pair, self.number, self.held = pair, number, 0
+        if len(pair.names) >= SCOPE_GROUPS:
+            pair.clear()
         self.counts = np.zeros(1024, np.int64)
-        self.words: dict[str, tuple[str, bytes, complex] | None] = {}
-        self.held = 0
-
-    def learn(self, words: list[str]) -> set[str]:
-        """Puts the words into the table; returns those too long to stay there."""
-        new = list(set(words).difference(self.words))
-        for word, b_ids in zip(new, self.pair.b.encode(new, num_threads=1) if new else ()):
-            made = self.pair.groups(word, b_ids)
-            if made is not None:
-                n_a, n_b, groups = made
-                own = np.array([self.places.setdefault(g, len(self.places)) for g in groups], np.int32)
-                made = ";".join(groups), own.tobytes(), (n_a << 32) + n_b
-            self.words[word] = made
-        return {w for w in new if len(w) > WORD_BYTES}
 
     def row(self, doc_id: int | None, text: str) -> tuple:
-        digest, tokens, found, first, known = hashlib.sha256(), 0, [], True, bool(text)
+        digest, found, known, pair = hashlib.sha256(), [], bool(text), self.pair
         for words in words_of(text) if text else ():
-            if len(self.words) >= TABLE_WORDS // 2:
-                self.words.clear()
-            long = self.learn(words)
-            rows = list(map(self.words.__getitem__, words))
+            long = pair.learn(words)
+            rows = list(map(pair.words.__getitem__, words))
             for word in long:
-                del self.words[word]
+                del pair.words[word]
             if None in rows:
                 known = False
                 break
-            groups, own, n = zip(*rows)
-            digest.update((("" if first else ";") + ";".join(groups)).encode())
-            tokens, first = tokens + sum(n), False
-            found.append(b"".join(own))
+            own = np.frombuffer(b"".join(rows), np.int32)
+            digest.update(((";" if found else "") + ";".join(map(pair.names.__getitem__, own.tolist()))).encode())
+            found.append(own)
         self.held += len(text)
         if not known:
             return (self.number, doc_id, 0, 0, 0, "", [], [], None, None, None)
-        places, times = np.unique(np.frombuffer(b"".join(found), np.int32), return_counts=True)
-        if len(self.places) > len(self.counts):
-            self.counts = np.append(self.counts, np.zeros(2 * len(self.places) - len(self.counts), np.int64))
+        places, times = np.unique(np.concatenate(found), return_counts=True)
+        if len(pair.names) > len(self.counts):
+            self.counts = np.append(self.counts, np.zeros(2 * len(pair.names) - len(self.counts), np.int64))
         self.counts[places] += times
+        tokens = int(np.frombuffer(pair.tokens, np.int64)[places] @ times)
         return (self.number, doc_id, tokens >> 32, tokens & 0xFFFFFFFF, int(times.sum()), digest.hexdigest(), np.diff(places, prepend=np.int32(0)), times.astype(np.int32), None, None, None)
 
     @property
     def full(self) -> bool:
-        return self.held >= SCOPE_BYTES or len(self.places) >= SCOPE_GROUPS
+        return self.held >= SCOPE_BYTES or len(self.pair.names) >= SCOPE_GROUPS
 
     def dictionary(self) -> Iterator[tuple]:
-        for group, place in self.places.items():
-            if place < len(self.counts) and self.counts[place]:
-                yield (self.number, *[None] * 7, group, place, int(self.counts[place]))
+        for place in np.flatnonzero(self.counts).tolist():
+            yield (self.number, *[None] * 7, self.pair.names[place], place, int(self.counts[place]))
 
 
 def links(group: Column) -> tuple[Column, Column]:
@@ -210,7 +229,7 @@ def align(docs: DataFrame, a: str | None = None, b: str | None = None, id_col: s
     a, b = a or public_tokenizers.path("byte_bpe_50k.json"), b or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, number = Pair(a, b), TaskContext.get().partitionId() << 20
+        pair, number = pair_of(a, b), TaskContext.get().partitionId() << 20
 
         def rows() -> Iterator[tuple]:
             scope = Scope(pair, number)

@@ -75,9 +75,12 @@ def test_scopes_and_tables_may_be_small(monkeypatch):
     text = "some words, and  more of\nthem   that go on for longer than one slice of text does here "
     words = [w for part in words_of(text) for w in part]
     assert " ".join(words) == text and sum(1 for _ in words_of(text)) > 1
+    monkeypatch.setattr(alignment, "SCOPE_GROUPS", 5)
     pair = Pair(A, B)
-    row = alignment.Scope(pair, 0).row(1, text)
-    assert row[2:6] == tuple(brute([text])[0][i] for i in (0, 1, 2, 6))
+    for number in range(3):
+        scope = alignment.Scope(pair, number)
+        assert scope.row(1, text)[2:6] == tuple(brute([text])[0][i] for i in (0, 1, 2, 6))
+        assert scope.full and sum(r[-1] for r in scope.dictionary()) == brute([text])[0][2]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001"])
