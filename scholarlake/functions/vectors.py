@@ -29,5 +29,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def checked(v: Column, size: int) -> Column:
-    """``v``, or an error where its dimension differs."""
-    return F.when(F.size(v) == size, v).otherwise(F.raise_error(F.concat(F.lit(f"vector dimension is not {size}: "), F.size(v).cast("string"))))
+    """``v``, or an error where its dimension differs; null stays null."""
+    return F.when(v.isNull() | (F.size(v) == size), v).otherwise(F.raise_error(F.concat(F.lit(f"vector dimension is not {size}: "), F.size(v).cast("string"))))

@@ -29,9 +29,7 @@ def stale(indexed: DataFrame, current: DataFrame, converted: DataFrame) -> DataF
     return indexed.select("item_key").distinct().join(current.select("item_key"), "item_key", "left_anti").union(converted.select("item_key")).distinct()
 
 
-def summary(plan: DataFrame, manifest: DataFrame, n_chunks: int, elapsed: float) -> dict:
-    """Counts of a run."""
-    counts = plan.agg(F.count("*").alias("total"), F.count_if(F.col("action") == "convert").alias("converted"), F.count_if(F.col("action") == "skip").alias("skipped")).first()
-    done = plan.filter("action = 'convert'").select("item_key")
-    found = manifest.join(done, "item_key", "left_semi").agg(F.count_if(F.col("status") == "empty").alias("empty"), F.count_if(F.col("route") == "ocr").alias("ocr_used")).first()
-    return counts.asDict() | found.asDict() | {"chunks_indexed": n_chunks, "elapsed_sec": round(elapsed, 1)}
+def summary(counts: DataFrame, entries: DataFrame, n_chunks: int, elapsed: float) -> dict:
+    """A run's counts(total, converted, skipped), those of its manifest entries, chunks and seconds."""
+    found = entries.agg(F.count_if(F.col("status") == "empty").alias("empty"), F.count_if(F.col("route") == "ocr").alias("ocr_used"))
+    return counts.first().asDict() | found.first().asDict() | {"chunks_indexed": n_chunks, "elapsed_sec": round(elapsed, 1)}

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholarlake.checkpoints import removed, written
 from scholarlake.functions.text import creator_summary, item_dir, slug, status_of
 from scholarlake.operators import convert
 from scholarlake.operators.catalog import picked, with_existence
@@ -59,40 +60,60 @@ def converted(todo: DataFrame, engines: Engines) -> DataFrame:
     return out
 
 
-def run(store: Store, collection: str, records: DataFrame, engines: Engines, rebuild: bool = False, partial: bool = False, progress: Progress | None = None) -> dict:
+def run(
+    store: Store,
+    collection: str,
+    records: DataFrame,
+    engines: Engines,
+    rebuild: bool = False,
+    partial: bool = False,
+    progress: Progress | None = None,
+    convert_by: Callable[[DataFrame], DataFrame] | None = None,
+    dropped: DataFrame | None = None,
+    mark: tuple[str, int] | None = None,
+) -> dict:
     """Bring a collection up to date with records(item_key, ord, title, creator, year, version, source_mtime, dir, content_type, ext, name, path, url).
 
     ``partial``: the records are not all of the collection, so nothing else is
-    dropped. Chunks are written before the manifest: a run that dies is
-    repeated. Every key that is converted anew loses its old chunks.
+    dropped but the keys of ``dropped``. All tables change in one version, or
+    none does; ``mark``: the batch of a stream that it is, which a store takes
+    once. ``convert_by``: converted rows of what is to be converted, instead of
+    the routes. Every key that is converted anew loses its old chunks.
+    Converted rows are written once, so that a lost executor converts nothing
+    again that chunks were made of.
     """
     began, tell = time.time(), progress or (lambda what, detail: None)
-    old = store.read("manifest", collection)
-    plan = planned(records, old, store.read("content", collection), rebuild).cache()
-    todo = plan.filter("action = 'convert'")
-    tell("planned", {"convert": todo.count()})
-    # Conversion is the costly part and read four times below: kept, and spilled where memory is short.
-    done = converted(todo, engines).join(todo.select("item_key", "ord", "title", "creator", "year", "version", "source_mtime", "dir", "name"), "item_key").withColumn("collection", F.lit(collection)).withColumn("source_file", F.col("name")).cache()
-    tell("converted", {"items": done.count()})
-    chars = F.length("markdown").cast("long")
-    entries = done.select("collection", "item_key", "dir", "title", "creator", "year", "route", F.col("pages").cast("long").alias("pages"), chars.alias("chars"), status_of(chars).alias("status"), "notes", "version", "source_mtime", F.md5(F.col("markdown").cast("binary")).alias("content_hash"), "ord")
-    meta = F.to_json(F.struct("item_key", "title", "creator", "year", "source_file", F.struct("route", "pages", "page_labels", chars.alias("char_count"), "notes").alias("conversion")))
-    gone = stale(store.item_keys(collection), records, done)
-    if partial:
-        gone = done.select("item_key")
-    rows = chunk_rows(done, engines.embedder, engines.model).cache()
-    n_chunks = rows.count()
-    kept = store.read("chunks", collection).join(gone, "item_key", "left_anti")
-    store.check_vectors(store.read("chunks").filter(F.col("collection") != collection).select("vector", "model").union(kept.select("vector", "model")), rows)
-    store.replace("chunks", collection, kept.unionByName(rows))
-    removed = store.spark.createDataFrame([], "item_key string") if partial else old.select("item_key").join(records.select("item_key"), "item_key", "left_anti")
-    store.upsert("content", collection, done.select("collection", "item_key", "dir", "markdown"), removed)
-    store.upsert("packs", collection, done.select("collection", "item_key", "dir", meta.alias("meta")), removed)
-    store.upsert("manifest", collection, entries, removed)
-    out = summary(plan, store.read("manifest", collection), n_chunks, time.time() - began)
+    with store.transaction() as t:
+        old = t.read("manifest", collection)
+        plan = written(planned(records, old, t.read("content", collection), rebuild))
+        todo = plan.filter("action = 'convert'")
+        tell("planned", {"convert": todo.count()})
+        made = (convert_by or (lambda rows: converted(rows, engines)))(todo)
+        done = written(made.join(todo.select("item_key", "ord", "title", "creator", "year", "version", "source_mtime", "dir", "name"), "item_key").withColumn("collection", F.lit(collection)).withColumn("source_file", F.col("name")))
+        tell("converted", {"items": done.count()})
+        chars = F.length("markdown").cast("long")
+        entries = done.select("collection", "item_key", "dir", "title", "creator", "year", "route", F.col("pages").cast("long").alias("pages"), chars.alias("chars"), status_of(chars).alias("status"), "notes", "version", "source_mtime", F.md5(F.col("markdown").cast("binary")).alias("content_hash"), "ord")
+        meta = F.to_json(F.struct("item_key", "title", "creator", "year", "source_file", F.struct("route", "pages", "page_labels", chars.alias("char_count"), "notes").alias("conversion")))
+        nothing = store.spark.createDataFrame([], "item_key string")
+        if partial:
+            removed_keys = (dropped if dropped is not None else nothing).select("item_key")
+            gone = done.select("item_key").union(removed_keys)
+        else:
+            removed_keys = old.select("item_key").join(records.select("item_key"), "item_key", "left_anti")
+            gone = stale(t.read("chunks", collection).select("item_key").distinct(), records, done)
+        rows = chunk_rows(done, engines.embedder, engines.model)
+        n_chunks = t.replace("chunks", collection, rows) if rebuild and not partial else t.upsert("chunks", collection, rows, gone)
+        t.upsert("content", collection, done.select("collection", "item_key", "dir", "markdown"), removed_keys)
+        t.upsert("packs", collection, done.select("collection", "item_key", "dir", meta.alias("meta")), removed_keys)
+        t.upsert("manifest", collection, entries, removed_keys)
+        if mark is not None:
+            t.mark(*mark)
+        counts = plan.agg(F.count("*").alias("total"), F.count_if(F.col("action") == "convert").alias("converted"), F.count_if(F.col("action") == "skip").alias("skipped"))
+        out = summary(counts, entries, n_chunks, time.time() - began)
+    for table in ("chunks", "content", "packs", "manifest"):
+        store.compact(table, collection)
     tell("done", out)
-    for df in (plan, done, rows):
-        df.unpersist()
+    removed(plan, done)
     return out
 
 

@@ -1,130 +1,132 @@
-"""Parquet tables of the engine, partitioned by collection: content, packs, manifest, chunks.
-
-A write replaces whole collections: new rows go to a staging folder first, so
-that a plan may read what it replaces, and a collection whose rows are all gone
-loses its folder (a dynamic overwrite alone would keep it). The old rows are
-set aside until the new ones are in place; a reader puts them back where a
-writer died in between. Appended rows are a folder of their own within the
-collection's.
+"""Parquet tables of the engine by collection - content, packs, manifest, chunks - as committed versions.
+
+Rows go to a folder of their own and count from the commit that names it (see
+`commits`). Deleting writes the keys alone; a reader leaves out the rows of
+older folders by an anti join, and `compact` folds keys and folders together
+when they have grown. A store may be read as of any version, and a
+`Transaction` changes several tables in one version.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from dataclasses import replace
 from pathlib import Path
-from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from scholarlake.plans.commits import CommitLog, Conflict, Part, Snapshot
 from scholarlake.schemas import CHUNKS, MANIFEST
 
 CONTENT = "collection string, item_key string, dir string, markdown string"
 PACKS = "collection string, item_key string, dir string, meta string"
 TABLES = {"content": CONTENT, "packs": PACKS, "manifest": MANIFEST, "chunks": CHUNKS}
+KEYS = "collection string, item_key string"
+#: Folder of a file by its path.
+FOLDER = "([0-9a-f]{32})/[^/]*$"
+
+
+def shaped(rows: DataFrame, schema: str) -> DataFrame:
+    """Columns of a schema in its order, those that are missing as nulls."""
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in schema.split(", "))])
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """``version``: what is read; None for the last one. Writers add to the last one."""
 
-    def fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+    def __init__(self, spark: SparkSession, root: str, version: int | None = None):
+        self.spark, self.root, self.version = spark, root.rstrip("/"), version
+        self.log = CommitLog(spark, self.root)
 
-    def exists(self, path: str) -> bool:
-        fs, at = self.fs(path)
-        return fs.exists(at)
+    def at(self, version: int) -> Store:
+        return Store(self.spark, self.root, version)
 
-    def folder(self, table: str, collection: str | None = None) -> str:
-        name = quote(collection, safe="") if collection is not None else None
-        return f"{self.root}/{table}" + (f"/c={name}" if name is not None else "")
+    def snapshot(self) -> Snapshot:
+        return self.log.latest() if self.version is None else self.log.at(self.version)
 
-    def read(self, table: str, collection: str | None = None) -> DataFrame:
-        """All rows, or those of one collection (only its folder is read)."""
-        self.recover(table)
-        path = self.folder(table, collection)
-        if not self.exists(path):
-            return self.spark.createDataFrame([], TABLES[table])
-        reader = self.spark.read.schema(TABLES[table])
-        return reader.option("recursiveFileLookup", "true").parquet(path)
-
-    def staged(self, table: str, rows: DataFrame) -> tuple[str, int]:
-        """(folder, number of rows) of rows written aside."""
-        path = f"{self.root}/.staging/{uuid.uuid4().hex}"
-        rows.select(*[F.col(c).cast(t) for c, t in (x.split(" ", 1) for x in TABLES[table].split(", "))]).write.parquet(path)
-        return path, self.spark.read.schema(TABLES[table]).parquet(path).count()
-
-    def aside(self, table: str, collection: str) -> str:
-        return f"{self.root}/{table}/.was/c={quote(collection, safe='')}"
-
-    def moved(self, source: str, target: str) -> bool:
-        """Whether a folder was renamed; a missing one is not."""
-        fs, at = self.fs(source)
-        to = self.fs(target)[1]
-        fs.mkdirs(to.getParent())
-        return bool(fs.exists(at) and fs.rename(at, to))
+    def read(self, table: str, collection: str | None = None, of: Snapshot | None = None) -> DataFrame:
+        """All rows, or those of one collection (only its folders are read), of one version."""
+        of = of or self.snapshot()
+        parts, keys = of.of(table, collection), of.of(table, collection, "keys")
+        newest: dict[str, int] = {}
+        for p in keys:
+            newest[p.collection] = max(p.version, newest.get(p.collection, 0))
+        old = [p for p in parts if p.version < newest.get(p.collection, 0)]
+        whole = [p for p in parts if p not in old]
+        out = self.files(whole, TABLES[table])
+        if not old:
+            return out
+        rows = self.versioned(old, TABLES[table])
+        gone = self.versioned(keys, KEYS).select(F.col("collection").alias("of"), F.col("item_key").alias("key"), F.col("at").alias("gone"))
+        left = rows.join(gone, (rows.collection == gone.of) & (rows.item_key == gone.key) & (rows["at"] < gone.gone), "left_anti").drop("at")
+        return out.union(left) if whole else left
+
+    def files(self, parts: list[Part], schema: str) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p.path}" for p in parts])
+
+    def versioned(self, parts: list[Part], schema: str) -> DataFrame:
+        """Rows with ``at``, the version of their folder; as many folders as the log names are broadcast."""
+        at = self.spark.createDataFrame([(p.path[-32:], p.version) for p in parts], "folder string, at long")
+        rows = self.files(parts, schema).withColumn("folder", F.regexp_extract("_metadata.file_path", FOLDER, 1))
+        return rows.join(F.broadcast(at), "folder").drop("folder")
+
+    def written(self, table: str, collection: str, rows: DataFrame, kind: str = "rows") -> Part | None:
+        """A folder of rows that no version names yet; None for no rows. Counts are taken in the pass that writes."""
+        shape = TABLES[table] if kind == "rows" else KEYS
+        seen = Observation()
+        more = [F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high"), F.min("model").alias("model"), F.max("model").alias("model_2")] if shape == CHUNKS else []
+        rows = shaped(rows.withColumn("collection", F.lit(collection)), shape)
+        path = f"data/{table}/{uuid.uuid4().hex}"
+        rows.observe(seen, F.count(F.lit(1)).alias("n"), *more).write.parquet(f"{self.root}/{path}")
+        got = seen.get
+        if not got["n"]:
+            self.removed(path)
+            return None
+        if more and (got["low"] != got["high"] or got["model"] != got["model_2"]):
+            self.removed(path)
+            raise ValueError(f"vectors of {got['low']} and {got['high']} dimensions, of models {got['model']!r} and {got['model_2']!r}")
+        return Part(path, table, collection, kind, got["n"], dimension=got.get("low"), model=got.get("model"))
 
     def removed(self, path: str) -> None:
-        fs, at = self.fs(path)
+        fs, at = self.log.fs(f"{self.root}/{path}")
         fs.delete(at, True)
 
-    def recover(self, table: str) -> None:
-        """Put back what a writer that died had set aside; remove what is replaced."""
-        fs, at = self.fs(f"{self.root}/{table}/.was")
-        if not fs.exists(at):
-            return
-        for found in fs.listStatus(at):
-            name = found.getPath().getName()
-            old, target = f"{self.root}/{table}/.was/{name}", f"{self.root}/{table}/{name}"
-            if not self.exists(target):
-                self.moved(old, target)
-            self.removed(old)
+    def transaction(self) -> Transaction:
+        return Transaction(self)
 
     def replace(self, table: str, collection: str, rows: DataFrame) -> int:
         """Put ``rows`` in the place of a collection; the number of rows."""
-        path, n = self.staged(table, rows)
-        self.recover(table)
-        target, old = self.folder(table, collection), self.aside(table, collection)
-        self.moved(target, old)
-        if n and not self.moved(path, target):
-            self.recover(table)
-            raise OSError(f"cannot put {collection} of {table} in place")
-        self.removed(old)
-        self.removed(path)
-        return n
+        with self.transaction() as t:
+            return t.replace(table, collection, rows)
 
     def drop(self, table: str, collection: str) -> None:
-        self.recover(table)
-        self.removed(self.folder(table, collection))
+        with self.transaction() as t:
+            t.drop(table, collection)
 
     def upsert(self, table: str, collection: str, rows: DataFrame, gone: DataFrame) -> int:
-        """Replace the rows of the keys in ``gone`` and ``rows`` by ``rows``."""
-        keys = gone.select("item_key").union(rows.select("item_key")).distinct()
-        return self.replace(table, collection, self.read(table, collection).join(keys, "item_key", "left_anti").unionByName(rows, allowMissingColumns=True))
-
-    def check_vectors(self, stay: DataFrame, rows: DataFrame) -> None:
-        """Dimension and model of ``rows`` must be those of the chunks that stay in the index."""
-        seen = stay.select(F.size("vector").alias("d"), "model").limit(1).collect()
-        if seen:
-            other = rows.filter((F.size("vector") != seen[0].d) | (F.col("model") != seen[0].model)).select(F.size("vector").alias("d"), "model").limit(1).collect()
-            if other:
-                raise ValueError(f"the index holds {seen[0].d} dimensions of model {seen[0].model!r}, not {other[0].d} of {other[0].model!r}")
+        """Replace the rows of the keys in ``gone`` and ``rows`` by ``rows``; the number of these."""
+        with self.transaction() as t:
+            return t.upsert(table, collection, rows, gone)
 
     def append_chunks(self, collection: str, rows: DataFrame) -> int:
         """Add vector rows; dimension and model must be those of the index. The number of rows that the collection then has."""
-        self.check_vectors(self.read("chunks"), rows)
-        path, n = self.staged("chunks", rows.withColumn("collection", F.lit(collection)))
-        if n and not self.moved(path, f"{self.folder('chunks', collection)}/{uuid.uuid4().hex}"):
-            raise OSError(f"cannot add to {collection}")
-        self.removed(path)
-        return self.read("chunks", collection).count()
-
-    def delete_items(self, collection: str, keys: list[str]) -> int:
-        """Delete the chunks of some items; the number of keys asked for."""
-        gone = self.spark.createDataFrame([(k,) for k in keys], "item_key string")
-        self.replace("chunks", collection, self.read("chunks", collection).join(gone, "item_key", "left_anti"))
-        return len(keys)
+        with self.transaction() as t:
+            t.add("chunks", collection, rows)
+        now = self.log.latest()
+        if now.of("chunks", collection, "keys"):
+            return self.read("chunks", collection, now).count()
+        return sum(p.rows for p in now.of("chunks", collection))
+
+    def delete_items(self, collection: str, keys: DataFrame | list[str]) -> int:
+        """Delete the chunks of some items, by a frame of item_key or a list; the number of distinct keys asked for."""
+        if not isinstance(keys, DataFrame):
+            keys = self.spark.createDataFrame([(k,) for k in keys], "item_key string")
+        with self.transaction() as t:
+            return t.delete("chunks", collection, keys)
 
     def reset(self, collection: str) -> None:
         self.drop("chunks", collection)
@@ -132,9 +134,45 @@ class Store:
     def item_keys(self, collection: str) -> DataFrame:
         return self.read("chunks", collection).select("item_key").distinct()
 
+    def compact(self, table: str, collection: str, deleted: float = 0.1, folders: int = 16) -> int | None:
+        """One folder in the place of a collection's folders and keys, once keys are ``deleted`` of its rows or folders as many; the new version."""
+        while True:
+            now = self.log.latest()
+            parts, keys = now.of(table, collection), now.of(table, collection, "keys")
+            if sum(p.rows for p in keys) < deleted * sum(p.rows for p in parts) and len(parts) < folders or not keys and len(parts) < 2:
+                return None
+            new = self.written(table, collection, self.read(table, collection, now))
+            gone = [p.path for p in parts + keys]
+
+            def build(found: Snapshot, now=now, new=new, gone=gone):
+                if not set(gone) <= found.parts.keys() or any(p.version > now.version for p in found.of(table, collection, "keys")):
+                    raise Conflict(f"{collection} of {table} has changed")
+                return [new] if new else [], gone, {}
+
+            try:
+                return self.log.commit(build)
+            except Conflict:
+                if new:
+                    self.removed(new.path)
+
+    def vacuum(self, keep: int = 1, older_than: float = 86_400.0) -> int:
+        """Remove folders that none of the last ``keep`` versions names and no writer may still be at; how many."""
+        last = self.log.latest().version
+        live = {p for v in range(max(1, last - keep + 1), last + 1) for p in self.log.at(v).parts}
+        n = 0
+        for table in TABLES:
+            fs, at = self.log.fs(f"{self.root}/data/{table}")
+            for found in fs.listStatus(at) if fs.exists(at) else ():
+                path = f"data/{table}/{found.getPath().getName()}"
+                if path not in live and found.getModificationTime() / 1000 <= time.time() - older_than:
+                    self.removed(path)
+                    n += 1
+        return n
+
     def export(self, collection: str, folder: str) -> int:
         """content.md and meta.json of every item below ``folder``, which tasks must be able to write to."""
-        rows = self.read("content", collection).join(self.read("packs", collection).select("item_key", "meta"), "item_key", "left")
+        of = self.snapshot()
+        rows = self.read("content", collection, of).join(self.read("packs", collection, of).select("item_key", "meta"), "item_key", "left")
 
         def write(part) -> None:
             for r in part:
@@ -145,3 +183,76 @@ class Store:
 
         rows.foreachPartition(write)
         return rows.count()
+
+
+class Transaction:
+    """Changes of several tables that become one version when the block ends, or none.
+
+    ``base`` is what the block may read while it works. Keys delete rows of
+    earlier versions only, so writers of other rows need not wait for each
+    other; whoever replaces a collection replaces what is there at the commit.
+    """
+
+    def __init__(self, store: Store):
+        self.store, self.base = store, store.log.latest()
+        self.parts: list[Part] = []
+        self.whole: set[tuple[str, str]] = set()
+        self.marks: dict[str, int] = {}
+        self.version: int | None = None
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is None:
+            try:
+                self.version = self.store.log.commit(self.built)
+            except Exception:
+                self.discard()
+                raise
+        if kind is not None or self.version is None:
+            self.discard()
+
+    def discard(self) -> None:
+        for p in self.parts:
+            self.store.removed(p.path)
+
+    def read(self, table: str, collection: str | None = None) -> DataFrame:
+        return self.store.read(table, collection, self.base)
+
+    def mark(self, stream: str, batch: int) -> None:
+        """This version is a stream's batch; a version that has it, or a later one, makes the commit void."""
+        self.marks[stream] = batch
+
+    def add(self, table: str, collection: str, rows: DataFrame, kind: str = "rows") -> int:
+        part = self.store.written(table, collection, rows, kind)
+        if part is not None:
+            self.parts.append(part)
+        return part.rows if part else 0
+
+    def replace(self, table: str, collection: str, rows: DataFrame) -> int:
+        self.drop(table, collection)
+        return self.add(table, collection, rows)
+
+    def drop(self, table: str, collection: str) -> None:
+        self.whole.add((table, collection))
+
+    def delete(self, table: str, collection: str, keys: DataFrame) -> int:
+        """Write the keys, sorted; rows of theirs that earlier versions have are gone."""
+        return self.add(table, collection, keys.select("item_key").distinct().sortWithinPartitions("item_key"), "keys")
+
+    def upsert(self, table: str, collection: str, rows: DataFrame, gone: DataFrame) -> int:
+        self.delete(table, collection, gone.select("item_key").union(rows.select("item_key")))
+        return self.add(table, collection, rows)
+
+    def built(self, now: Snapshot):
+        if any(now.marks.get(s, -1) >= b for s, b in self.marks.items()):
+            return None
+        remove = [p.path for p in now.parts.values() if (p.table, p.collection) in self.whole]
+        stay = [p for p in now.of("chunks") if p.path not in remove]
+        for new in (p for p in self.parts if p.table == "chunks" and p.kind == "rows"):
+            for p in stay:
+                if (p.dimension, p.model) != (new.dimension, new.model):
+                    raise ValueError(f"the index holds {p.dimension} dimensions of model {p.model!r}, not {new.dimension} of {new.model!r}")
+            stay.append(new)
+        return [replace(p, version=0) for p in self.parts], remove, self.marks

@@ -565,9 +565,10 @@ def stored(spark, sf_dir) -> Store:
     key = F.col("doc_id").cast("string")
     entries = docs.select(F.col("lang").alias("collection"), key.alias("item_key"), F.concat(F.lit("d"), key).alias("dir"), F.concat(F.col("source"), F.lit(" "), key).alias("title"), F.lit("").alias("creator"), F.lit(None).cast("string").alias("year"), F.lit("text").alias("route"), F.lit(0).cast("long").alias("pages"), F.col("n_chars").alias("chars"), F.lit("ok").alias("status"), F.array().cast("array<string>").alias("notes"), F.col("n_chars").alias("version"), F.lit(None).cast("long").alias("source_mtime"), md5(F.col("text")).alias("content_hash"), F.col("doc_id").alias("ord"), F.col("text").alias("markdown"), F.col("source").alias("meta"))
     # Languages are few.
-    for lang in sorted(r.lang for r in docs.select("lang").distinct().collect()):
-        for name in ("manifest", "content", "packs"):
-            store.replace(name, lang, entries.filter(F.col("collection") == lang))
+    with store.transaction() as t:
+        for lang in sorted(r.lang for r in docs.select("lang").distinct().collect()):
+            for name in ("manifest", "content", "packs"):
+                t.replace(name, lang, entries.filter(F.col("collection") == lang))
     return store
 
 
@@ -605,6 +606,68 @@ def store_append_delete(spark, sf_dir):
         if label % 3 == 1:
             store.reset(str(label))
         elif label % 3 == 2:
-            gone = store.item_keys(str(label)).filter("cast(item_key as long) % 4 = 0").collect()
-            store.delete_items(str(label), [r.item_key for r in gone])
+            store.delete_items(str(label), store.item_keys(str(label)).filter("cast(item_key as long) % 4 = 0"))
     return store.read("chunks").groupBy("collection").agg(F.count("*").alias("n"))
+
+
+def texts_of(spark, sf_dir, text=None) -> DataFrame:
+    """Documents as content rows; the store names the collection."""
+    key = F.col("doc_id").cast("string")
+    return table(spark, sf_dir, "documents").select("doc_id", key.alias("item_key"), F.concat(F.lit("d"), key).alias("dir"), (F.col("text") if text is None else text).alias("markdown"))
+
+
+def written_versions(spark, sf_dir) -> Store:
+    """Documents in four versions: all; every third with more text; without every seventh; compacted."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    docs = texts_of(spark, sf_dir)
+    store.replace("content", "all", docs)
+    store.upsert("content", "all", texts_of(spark, sf_dir, F.concat(F.col("text"), F.lit(" again"))).filter("doc_id % 3 = 0"), docs.limit(0))
+    with store.transaction() as t:
+        t.delete("content", "all", docs.filter("doc_id % 7 = 0"))
+    store.compact("content", "all", deleted=0.0)
+    return store
+
+
+@query("""WITH c AS (SELECT doc_id, length(text) AS a, length(text) + CASE WHEN doc_id % 3 = 0 THEN 6 ELSE 0 END AS b FROM documents)
+SELECT 1::BIGINT AS version, count(*) AS n, sum(a)::BIGINT AS chars FROM c UNION ALL SELECT 2, count(*), sum(b)::BIGINT FROM c
+UNION ALL SELECT v, count(*), sum(b)::BIGINT FROM c, (VALUES (3), (4)) t(v) WHERE doc_id % 7 <> 0 GROUP BY v""")
+def store_time_travel(spark, sf_dir):
+    """Rows and characters of every version of a collection."""
+    store = written_versions(spark, sf_dir)
+    out = None
+    for version in range(1, store.snapshot().version + 1):
+        one = store.at(version).read("content", "all").agg(F.lit(version).cast("long").alias("version"), F.count("*").alias("n"), F.sum(F.length("markdown")).alias("chars"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT doc_id::VARCHAR AS item_key, md5(CASE WHEN doc_id % 3 = 0 THEN text || ' again' ELSE text END) AS hash FROM documents WHERE doc_id % 7 <> 0")
+def store_compacted(spark, sf_dir):
+    """What is left of a collection after changes, deletes and a compaction."""
+    return written_versions(spark, sf_dir).read("content", "all").select("item_key", md5(F.col("markdown")).alias("hash"))
+
+
+@query("""SELECT doc_id::VARCHAR AS item_key, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version, length(x) AS chars, md5(x) AS hash, md5(x) AS content_hash
+FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' again' ELSE text END AS x FROM documents WHERE doc_id % 5 <> 0)""")
+def stream_delta(spark, sf_dir):
+    """Documents as a stream of changes: all new; every third changed and every seventh sent again unchanged but for its text; every fifth deleted."""
+    from scholarlake.plans.prepare import Engines
+    from scholarlake.streaming.ingest import CHANGES, delta, ingest
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    store, key = Store(spark, f"{folder}/store"), F.col("doc_id").cast("string")
+    docs = table(spark, sf_dir, "documents")
+    record = lambda version, text, gone: docs.select("doc_id", key.alias("item_key"), F.col("doc_id").alias("ord"), F.concat_ws(" ", "source", key).alias("title"), F.lit("").alias("creator"), F.lit(None).cast("string").alias("year"), version.cast("long").alias("version"), F.lit(None).cast("long").alias("source_mtime"), F.concat(F.lit("d"), key).alias("dir"), *[F.lit(None).cast("string").alias(c) for c in ("content_type", "ext", "name", "path", "url")], text.alias("markdown"), F.lit(gone).alias("deleted"))
+    again = F.concat(F.col("text"), F.lit(" again"))
+    third = F.col("doc_id") % 3 == 0
+    batches = [
+        record(F.lit(1), F.col("text"), False),
+        record(F.when(third, 2).otherwise(1), F.when(third, again).otherwise(F.lit("not a new version")), False).filter("doc_id % 3 = 0 OR doc_id % 7 = 0"),
+        record(F.lit(3), F.lit(None).cast("string"), True).filter("doc_id % 5 = 0"),
+    ]
+    sink = delta(store, "all", Engines(HashEmbedder(16), model="hash"), "changes")
+    for i, rows in enumerate(batches):
+        rows.drop("doc_id").write.parquet(f"{folder}/in/{i}")
+        ingest(spark, f"{folder}/in/*", CHANGES, sink, f"{folder}/checkpoint").awaitTermination()
+    found = store.read("content", "all").select("item_key", md5(F.col("markdown")).alias("hash"))
+    return store.read("manifest", "all").join(found, "item_key").select("item_key", "version", "chars", "hash", "content_hash")

@@ -5,23 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from scholarlake.checkpoints import removed, written
+from scholarlake.plans.prepare import Engines, converted, run
+from scholarlake.plans.store import Store
+
 
 def ingest(spark: SparkSession, source: str, schema: str, each: Callable[[DataFrame, int], None], checkpoint: str, files_per_trigger: int = 100, once: bool = True, **options: str) -> StreamingQuery:
     """Feed new Parquet files below ``source`` to ``each(rows, batch)``, one batch at a time; the checkpoint remembers what is done.
 
     ``once`` works off what is there and stops. A batch may come again after a
-    failure, so ``each`` must be idempotent, as `Store.upsert` is.
+    failure, so ``each`` must be idempotent, as `Store.upsert` and `delta` are.
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_trigger)).options(**options).parquet(source)
     writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def running_counts(spark: SparkSession, source: str, schema: str, time: str, key: str, late: str, width: str) -> DataFrame:
-    """Streaming counts of ``key`` in windows of event time, open for ``late``."""
-    from pyspark.sql import functions as F
+#: What a change record may carry; those without ``markdown`` are converted by the routes.
+CHANGES = "item_key string, ord bigint, title string, creator string, year string, version bigint, source_mtime bigint, dir string, content_type string, ext string, name string, path string, url string, markdown string, deleted boolean"
+
+
+def newest(changes: DataFrame) -> DataFrame:
+    """One change a key, that of the largest version; of equal versions a deletion, then the largest text. Null keys are no items."""
+    row = F.struct(*[c for c in changes.columns if c != "item_key"])
+    order = F.struct(F.coalesce("version", F.lit(-1)), F.coalesce("deleted", F.lit(False)), F.coalesce("markdown", F.lit("")))
+    return changes.filter("item_key IS NOT NULL").groupBy("item_key").agg(F.max_by(row, order).alias("row")).select("item_key", "row.*")
+
+
+def as_given(todo: DataFrame) -> DataFrame:
+    """Converted rows of items whose change carries their text."""
+    none = F.array().cast("array<string>")
+    return todo.select("item_key", F.coalesce("markdown", F.lit("")).alias("markdown"), F.lit("text").alias("route"), F.lit(0).alias("pages"), none.alias("page_labels"), none.alias("notes"))
+
+
+def delta(store: Store, collection: str, engines: Engines, stream: str, told: Callable[[int, dict], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """The sink of a stream of changes (`CHANGES`) into one collection.
+
+    Each batch is planned against the manifest, converted, and becomes one
+    version of the store that carries the stream's name and the batch's number.
+    A batch that comes again, after a crash on either side of the commit, is
+    known by that mark and changes nothing.
+    """
+
+    def each(changes: DataFrame, batch: int) -> None:
+        if store.snapshot().marks.get(stream, -1) >= batch:
+            return
+        last = written(newest(changes))
+        given, gone = last.filter("NOT coalesce(deleted, false)").drop("deleted"), last.filter("deleted").select("item_key")
+        out = run(store, collection, given, engines, partial=True, convert_by=lambda todo: by_text(todo, engines), dropped=gone, mark=(stream, batch))
+        removed(last)
+        if told is not None:
+            told(batch, out)
+
+    return each
+
 
-    rows = spark.readStream.schema(schema).parquet(source)
-    return rows.withWatermark(time, late).groupBy(F.window(time, width), key).count()
+def by_text(todo: DataFrame, engines: Engines) -> DataFrame:
+    return as_given(todo.filter("markdown IS NOT NULL")).unionByName(converted(todo.filter("markdown IS NULL").drop("markdown"), engines))
