@@ -432,13 +432,30 @@ def test_knn_in_several_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)], "key long, vector array<double>, scope long").repartition(3)
     queries_ = rows.filter("key % 4 = 0").withColumnRenamed("key", "query_key")
     want = sorted(map(tuple, search.knn(rows, queries_, 5, scope="scope", but_self=True).collect()))
-    monkeypatch.setattr(search, "QUERY_BYTES", 500)
+    monkeypatch.setattr(search, "BLOCK", 10)
+    monkeypatch.setattr(search, "QUERIES", 9)
+    monkeypatch.setattr(search, "CELLS", 16)
     assert sorted(map(tuple, search.knn(rows, queries_, 5, scope="scope", but_self=True).collect())) == want
     unit = v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
     for q in (0, 4):
         sims = sorted((-round(float(unit[q] @ unit[k]), 6), k) for k in range(120) if k % 3 == q % 3 and k != q and k != 7)[:5]
         assert [k for _, k in sims] == [k for qk, k, *_ in sorted(want, key=lambda r: (r[0], r[3])) if qk == q]
-    assert search.knn(rows, queries_.limit(0), 5).collect() == []
+    assert search.knn(rows, queries_.limit(0), 5).collect() == [] and search.knn(rows.limit(0), queries_, 5).collect() == []
+    short = spark.createDataFrame([(900, [1.0, 0.0], 0), (901, None, 0), (902, [0.0, 3.0], 0)], rows.schema)
+    mixed = search.knn(rows.union(short), queries_.union(short.withColumnRenamed("key", "query_key")), 5, scope="scope", but_self=True).collect()
+    assert sorted(map(tuple, (r for r in mixed if r.query_key < 900))) == want and sorted((r.query_key, r.key, r.sim) for r in mixed if r.query_key >= 900) == [(900, 902, 0.0), (902, 900, 0.0)]
+
+
+def test_knn_leaves_out_cells_that_are_too_far(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    v = centres[np.arange(600) % 12] + rng.normal(size=(600, 16)) * 0.05
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key long, vector array<double>").repartition(3)
+    asked, told = rows.filter("key % 20 = 0").withColumnRenamed("key", "query_key"), []
+    want = sorted(map(tuple, search.knn(rows, asked, 5).collect()))
+    monkeypatch.setattr(search, "BLOCK", 20)
+    assert sorted(map(tuple, search.knn(rows, asked, 5, report=lambda *n: told.append(n)).collect())) == want
+    assert told[0][1] < 0.5 * told[0][0]
 
 
 def test_named_files_are_taken_by_extension(spark, tmp_path, monkeypatch):
