@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarlake.checkpoints import removed, written
 from scholarlake.functions.text import empty_to_null
+from scholarlake.operators.trees import numbered, one_a_key
 
 # Attachment types.
 PDF_TYPES = ("application/pdf",)
@@ -36,34 +37,40 @@ def chains(nodes: DataFrame, start: list[Column], step, over: Column) -> DataFra
     return at
 
 
-def tree(collections: DataFrame) -> DataFrame:
-    """Every collection below its root: depth, path of keys, and place in a depth-first listing.
+def tree(collections: DataFrame, paths: bool = False) -> DataFrame:
+    """Every collection below its root: depth, place in a depth-first listing, size of its subtree; with ``paths`` the keys from the root too.
 
     A collection whose parent is not there is a root; collections of a cycle,
-    or only reachable from one, have no row. Paths are joined by doubling, so
-    neither the depth nor the number of collections is limited.
+    or only reachable from one, have no row; of rows that repeat a key the
+    first by api_ord counts. Neither the depth nor the number of collections
+    is limited; paths grow with the depth and are joined by doubling.
     """
-    there = collections.select(F.col("key").alias("parent"), F.col("key").alias("up")).distinct()
-    nodes = collections.join(there, "parent", "left")
-    start = [F.array("key").alias("path"), F.array("api_ord").alias("place"), "name", "num_items"]
-    step = lambda c: F.concat(F.col(f"{c}_2"), F.col(c)) if c in ("path", "place") else F.col(c)
-    found = chains(nodes, start, step, F.col("up").isNull()).filter("up is null")
-    return found.select("key", "name", "num_items", (F.size("path") - 1).cast("long").alias("depth"), "path", "place")
+    found = numbered(collections.select("key", "parent", "api_ord", "name", "num_items"))
+    rows = found.select("key", "name", "num_items", "depth", F.col("pre").alias("place"), "size")
+    if not paths:
+        return rows
+    nodes = found.select("key", F.when(F.col("depth") > 0, F.col("parent")).alias("up"))
+    step = lambda c: F.concat(F.col(f"{c}_2"), F.col(c))
+    return rows.join(chains(nodes, [F.array("key").alias("path")], step, F.col("up").isNull()).select("key", "path"), "key")
 
 
 def listing(collections: DataFrame) -> DataFrame:
-    """(ord, line): depth-first, two spaces a level; numbered by ranges of places, so no task holds all."""
-    t = tree(collections)
+    """(ord, line): depth-first, two spaces a level."""
     line = F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.col("name"))
-    rows = written(t.select("place", line.alias("line")).orderBy("place").select("line", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row")))
-    # One row a partition.
-    before = rows.groupBy("part").count().select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-    return rows.join(F.broadcast(before), "part").select((F.col("before") + F.col("row") + 1).alias("ord"), "line")
+    return tree(collections).select((F.col("place") + 1).alias("ord"), line.alias("line"))
 
 
 def descendants(collections: DataFrame, key: str) -> DataFrame:
-    """Keys of a collection and all below it, however deep; cycle-safe."""
-    nodes = collections.select("key", F.col("parent").alias("up"))
+    """Keys of a collection and all below it, however deep: those whose place lies in its interval.
+
+    A collection in a circle, or below one, has no interval; what is below it
+    is found by following parents.
+    """
+    t = tree(collections)
+    own = t.filter(F.col("key") == key).select("place", "size").collect()
+    if own:
+        return t.filter((F.col("place") >= own[0].place) & (F.col("place") < own[0].place + own[0]["size"])).select("key")
+    nodes = one_a_key(collections.select("key", "parent", "api_ord")).select("key", F.col("parent").alias("up"))
     there = F.coalesce(F.col("up") == F.lit(key), F.lit(False))
     found = chains(nodes, [there.alias("below")], lambda c: F.coalesce(F.col(f"{c}_2"), F.lit(False)) | F.coalesce(F.col("up_2") == F.lit(key), F.lit(False)), F.col("below") | F.col("up").isNull())
     self_row = collections.sparkSession.range(1).select(F.lit(key).alias("key"))

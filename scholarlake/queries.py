@@ -244,7 +244,7 @@ UNION ALL SELECT d.doc_id, t.depth + 1, t.path || '/' || d.doc_id FROM t JOIN do
 
 @query(f"{TREE} SELECT key::VARCHAR AS key, depth::BIGINT AS depth, path FROM t")
 def collection_tree(spark, sf_dir):
-    return catalog.tree(nested(spark, sf_dir)).select("key", "depth", F.array_join("path", "/").alias("path"))
+    return catalog.tree(nested(spark, sf_dir), paths=True).select("key", "depth", F.array_join("path", "/").alias("path"))
 
 
 @query(f"{TREE} SELECT key::VARCHAR AS key FROM t WHERE path || '/' LIKE '0/1/%'")

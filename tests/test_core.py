@@ -410,7 +410,7 @@ def test_trees_have_no_depth_limit(spark):
     n = 300
     rows = [(f"k{i}", f"N{i}", f"k{i - 1}" if i else None, 0, i) for i in range(n)] + [("x", "X", "z", 0, n), ("y", "Y", "x", 0, n + 1), ("z", "Z", "y", 0, n + 2), ("w", "W", "x", 0, n + 3)]
     df = spark.createDataFrame(rows, "key string, name string, parent string, num_items long, api_ord long")
-    t = {r.key: r for r in catalog.tree(df).collect()}
+    t = {r.key: r for r in catalog.tree(df, paths=True).collect()}
     assert len(t) == n and all(t[f"k{i}"].depth == i and t[f"k{i}"].path == [f"k{j}" for j in range(i + 1)] for i in (0, 1, 150, 299))
     assert {r.key for r in catalog.descendants(df, "k100").collect()} == {f"k{i}" for i in range(100, n)}
     assert {r.key for r in catalog.descendants(df, "x").collect()} == {"x", "y", "z", "w"} and {r.key for r in catalog.descendants(df, "nobody").collect()} == {"nobody"}
