@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholarlake.llm.tokens import SLICE, TABLE_WORDS, WORD_BYTES, byte_letters, byte_level, loaded, pieces
+from scholarlake.llm.tokens import SLICE, WORD_BYTES, byte_letters, byte_level, loaded, pieces
 from scholarlake.llm.tools import checkpointed, rows_out, texts
 
 #: A scope of documents ends at so many characters, or once a process knows so many distinct groups.
 SCOPE_BYTES = 32 << 20
 SCOPE_GROUPS = 1_000_000
+#: Words and units that a process remembers before it starts afresh.
+TABLE_WORDS, TABLE_UNITS = 800_000, 400_000
 #: A space behind a character that no rule takes for white space; U+2581 is how pieces write a space.
 CUT = re.compile("(?<=[^\\s᠎▁]) ")
 OTHER_SPACE = re.compile("(?:^|[\\s᠎▁]) ")
@@ -54,6 +56,8 @@ class Pair:
         self.a, self.b = loaded(a, True), pieces(b)
         byte = {letter: i for i, letter in enumerate(byte_letters())}
         size = self.a.get_vocab_size()
+        #: One object an id, however many units hold it.
+        self.ids = list(range(size))
         self.a_bytes = [bytes(byte[x] for x in t) if all(x in byte for x in t) else t.encode() for t in map(self.a.id_to_token, range(size))]
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
@@ -73,9 +77,9 @@ class Pair:
 
     def unit(self, text: str) -> list[int]:
         if (found := self.units.get(text)) is None:
-            if len(self.units) >= TABLE_WORDS:
+            if len(self.units) >= TABLE_UNITS:
                 self.units.clear()
-            found = self.units[text] = [t.id for t in self.a.model.tokenize(byte_level(text))]
+            found = self.units[text] = [self.ids[t.id] for t in self.a.model.tokenize(byte_level(text))]
         return found
 
     def a_ids(self, word: str) -> list[int]:
