@@ -671,3 +671,25 @@ def stream_delta(spark, sf_dir):
         ingest(spark, f"{folder}/in/*", CHANGES, sink, f"{folder}/checkpoint").awaitTermination()
     found = store.read("content", "all").select("item_key", md5(F.col("markdown")).alias("hash"))
     return store.read("manifest", "all").join(found, "item_key").select("item_key", "version", "chars", "hash", "content_hash")
+
+
+STATUS_OF = "CASE event_id % 9 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'deferred' WHEN 3 THEN 'done' WHEN 4 THEN 'queued' WHEN 5 THEN 'running' WHEN 6 THEN 'error' END"
+
+
+@query(f"""WITH l AS (SELECT user_id::VARCHAR AS job_id, list({{'status': {STATUS_OF}, 'last': event_id, 'illegal': 0::BIGINT}} ORDER BY event_id) AS rows FROM events GROUP BY 1),
+r AS (SELECT job_id, rows, list_reduce(list_prepend({{'status': '', 'last': (-1)::BIGINT, 'illegal': 0::BIGINT}}, rows), lambda a, x: CASE WHEN x.status IS NULL THEN a
+WHEN (a.status = '' AND x.status = 'queued') OR (a.status = 'queued' AND x.status IN ('deferred', 'running', 'error')) OR (a.status = 'deferred' AND x.status IN ('queued', 'running', 'error')) OR (a.status = 'running' AND x.status IN ('done', 'error'))
+THEN {{'status': x.status, 'last': x.last, 'illegal': a.illegal}} ELSE {{'status': a.status, 'last': a.last, 'illegal': a.illegal + 1}} END) AS s FROM l)
+SELECT job_id, s.status AS status, s.last AS last, s.illegal AS illegal, least(len(rows), 20)::BIGINT AS kept, rows[greatest(1, len(rows) - 19)].last AS oldest FROM r""")
+def stream_job_state(spark, sf_dir):
+    """Events as a keyed stream in three runs over one checkpoint: status by legal transitions, illegal ones counted, the last 20 messages."""
+    from scholarlake.streaming import states
+
+    folder = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), F.expr(STATUS_OF).alias("status"), F.col("event_type").alias("msg"), F.col("event_id").alias("seq"))
+    third = F.percentile_approx("seq", [0.33, 0.66]).alias("c")
+    low, high = (rows.agg(third).first().c or [0, 0])
+    for i, part in enumerate([F.col("seq") <= low, (F.col("seq") > low) & (F.col("seq") <= high), F.col("seq") > high]):
+        rows.filter(part).write.parquet(f"{folder}/in/{i}")
+        states.follow(spark, f"{folder}/in/*", f"{folder}/out", f"{folder}/checkpoint", kept=20).awaitTermination()
+    return states.current(spark, f"{folder}/out")
