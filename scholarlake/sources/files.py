@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,12 +63,24 @@ def key_of(path: str) -> str:
     return "adh" + hashlib.md5(path.encode()).hexdigest()[:12]
 
 
+def bytes_of(path: str) -> bytes | None:
+    """Bytes of a local path, a ``file:`` path, or one in a store that Arrow opens; None if there is no such file, an error if it cannot be read."""
+    local = re.sub("^file:/+", "/", path)
+    if "://" not in local:
+        return Path(local).read_bytes() if os.path.isfile(local) else None
+    fs, at = pa_fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", local))
+    if fs.get_file_info(at).type != pa_fs.FileType.File:
+        return None
+    with fs.open_input_stream(at) as stream:
+        return stream.read()
+
+
 def with_content(files: DataFrame) -> DataFrame:
-    """``files`` and their bytes, read by the tasks; null where a file is gone."""
+    """``files`` and their bytes, read by the tasks by the path that a listing gave; null where a file is gone."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["content"] = [Path(p).read_bytes() if os.path.isfile(p) else None for p in batch["path"]]
+            batch["content"] = [None if p is None else bytes_of(p) for p in batch["path"]]
             yield batch
 
     return files.mapInPandas(read, f"{', '.join(f'{n} {t}' for n, t in files.dtypes)}, content binary")
