@@ -21,6 +21,11 @@ def prepared(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("collection").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("ok"))
 
 
+def counted(store: Store) -> DataFrame:
+    """The same from the store's maintained counts: a row a collection and status, and a few changes since the last fold."""
+    return store.read("counts").groupBy("collection").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("status") == "ok", F.col("n"))), F.lit(0)).alias("ok")).filter("total > 0")
+
+
 def collections(tree: DataFrame, manifest: DataFrame) -> DataFrame:
     """The tree depth-first with the state of each collection, then packs that no collection has."""
     t = catalog.tree(tree)
@@ -78,7 +83,7 @@ def meta(store: Store, collection: str, item_dir: str) -> DataFrame:
 
 def packs(store: Store) -> DataFrame:
     """Packs of plain files with their counts."""
-    return prepared(store.read("manifest").filter(F.startswith(F.col("collection"), F.lit("adhoc:")))).orderBy("collection")
+    return counted(store).filter(F.startswith(F.col("collection"), F.lit("adhoc:"))).orderBy("collection")
 
 
 def job_status(queue: jobs.Jobs, job_id: str, lines: int = jobs.TOLD) -> dict[str, DataFrame]:

@@ -105,12 +105,12 @@ def run(
         n_chunks = t.replace("chunks", collection, rows) if rebuild and not partial else t.upsert("chunks", collection, rows, gone)
         t.upsert("content", collection, done.select("collection", "item_key", "dir", "markdown"), removed_keys)
         t.upsert("packs", collection, done.select("collection", "item_key", "dir", meta.alias("meta")), removed_keys)
-        t.upsert("manifest", collection, entries, removed_keys)
+        t.entries(collection, entries, removed_keys)
         if mark is not None:
             t.mark(*mark)
         counts = plan.agg(F.count("*").alias("total"), F.count_if(F.col("action") == "convert").alias("converted"), F.count_if(F.col("action") == "skip").alias("skipped"))
         out = summary(counts, entries, n_chunks, time.time() - began)
-    for table in ("chunks", "content", "packs", "manifest"):
+    for table in ("chunks", "content", "packs", "manifest", "counts"):
         store.compact(table, collection)
     tell("done", out)
     removed(plan, done)

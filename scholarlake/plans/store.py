@@ -22,7 +22,9 @@ from scholarlake.schemas import CHUNKS, MANIFEST
 
 CONTENT = "collection string, item_key string, dir string, markdown string"
 PACKS = "collection string, item_key string, dir string, meta string"
-TABLES = {"content": CONTENT, "packs": PACKS, "manifest": MANIFEST, "chunks": CHUNKS}
+#: Signed changes of the manifest's counts; their sums are the counts.
+COUNTS = "collection string, status string, n bigint"
+TABLES = {"content": CONTENT, "packs": PACKS, "manifest": MANIFEST, "chunks": CHUNKS, "counts": COUNTS}
 KEYS = "collection string, item_key string"
 #: Folder of a file by its path.
 FOLDER = "([0-9a-f]{32})/[^/]*$"
@@ -141,7 +143,10 @@ class Store:
             parts, keys = now.of(table, collection), now.of(table, collection, "keys")
             if sum(p.rows for p in keys) < deleted * sum(p.rows for p in parts) and len(parts) < folders or not keys and len(parts) < 2:
                 return None
-            new = self.written(table, collection, self.read(table, collection, now))
+            rows = self.read(table, collection, now)
+            if table == "counts":
+                rows = rows.groupBy("status").agg(F.sum("n").alias("n")).filter("n != 0")
+            new = self.written(table, collection, rows)
             gone = [p.path for p in parts + keys]
 
             def build(found: Snapshot, now=now, new=new, gone=gone):
@@ -191,6 +196,8 @@ class Transaction:
     ``base`` is what the block may read while it works. Keys delete rows of
     earlier versions only, so writers of other rows need not wait for each
     other; whoever replaces a collection replaces what is there at the commit.
+    Counts are changes against ``base``: entries of one collection have one
+    writer at a time, or the second one's commit is a `Conflict`.
     """
 
     def __init__(self, store: Store):
@@ -245,9 +252,20 @@ class Transaction:
         self.delete(table, collection, gone.select("item_key").union(rows.select("item_key")))
         return self.add(table, collection, rows)
 
+    def entries(self, collection: str, rows: DataFrame, gone: DataFrame) -> int:
+        """`upsert` of manifest rows, which also writes by how much the counts of each status change."""
+        keys = gone.select("item_key").union(rows.select("item_key")).distinct()
+        lost = self.read("manifest", collection).join(keys, "item_key", "left_semi").select("status", F.lit(-1).cast("long").alias("n"))
+        changes = rows.select("status", F.lit(1).cast("long").alias("n")).union(lost).groupBy("status").agg(F.sum("n").alias("n"))
+        self.add("counts", collection, changes.filter("n != 0"))
+        return self.upsert("manifest", collection, rows, gone)
+
     def built(self, now: Snapshot):
         if any(now.marks.get(s, -1) >= b for s, b in self.marks.items()):
             return None
+        for p in now.of("manifest"):
+            if p.version > self.base.version and any((q.table, q.collection) == ("counts", p.collection) for q in self.parts):
+                raise Conflict(f"entries of {p.collection} have changed")
         remove = [p.path for p in now.parts.values() if (p.table, p.collection) in self.whole]
         stay = [p for p in now.of("chunks") if p.path not in remove]
         for new in (p for p in self.parts if p.table == "chunks" and p.kind == "rows"):

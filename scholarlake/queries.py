@@ -415,7 +415,7 @@ def embed_stub(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", embedded(HashEmbedder(), F.col("text")).alias("vector"))
 
 
-@query()
+@query("SELECT doc_id, 'text' AS kind, md5(text) AS text FROM documents")
 def ocr_stub(spark, sf_dir):
     images = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), F.lit("").alias("label"), F.encode("text", "utf-8").alias("image"))
     return convert.ocr_lines(images.select("doc_id", "page", recognised(StubOcr(), F.col("image")).alias("raw"))).select("doc_id", "kind", "text")
@@ -693,3 +693,19 @@ def stream_job_state(spark, sf_dir):
         rows.filter(part).write.parquet(f"{folder}/in/{i}")
         states.follow(spark, f"{folder}/in/*", f"{folder}/out", f"{folder}/checkpoint", kept=20).awaitTermination()
     return states.current(spark, f"{folder}/out")
+
+
+@query("""SELECT lang AS collection, count(*) AS total, count_if(CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 = 0 ELSE n_chars > 500 END)::BIGINT AS ok FROM documents WHERE doc_id % 5 <> 0 GROUP BY lang""")
+def counts_maintained(spark, sf_dir):
+    """Counts by collection after three changes of its entries: all; every third with another status; every fifth gone. Nothing is counted again."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents")
+    key = F.col("doc_id").cast("string").alias("item_key")
+    entry = lambda ok: docs.select("doc_id", "lang", key, F.when(ok, "ok").otherwise("empty").alias("status"))
+    # Languages are few.
+    for lang in sorted(r.lang for r in docs.select("lang").distinct().collect()):
+        own = F.col("lang") == lang
+        for rows, gone in ((entry(F.col("n_chars") > 500), "false"), (entry(F.col("doc_id") % 2 == 0).filter("doc_id % 3 = 0"), "false"), (entry(F.lit(True)).filter("false"), "doc_id % 5 = 0")):
+            with store.transaction() as t:
+                t.entries(lang, rows.filter(own), docs.filter(own).filter(gone).select(key))
+    return api.counted(store)

@@ -4,8 +4,9 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from scholarlake import api
 from scholarlake.plans import commits
-from scholarlake.plans.commits import CommitLog, Part, Snapshot
+from scholarlake.plans.commits import CommitLog, Conflict, Part, Snapshot
 from scholarlake.plans.prepare import Engines
 from scholarlake.plans.store import Store, Transaction
 from scholarlake.sources.engines import HashEmbedder
@@ -138,6 +139,26 @@ def test_writers_at_once_all_get_in(spark, tmp_path, monkeypatch):
     assert Snapshot().after([], [], {}).version == 1
 
 
+def test_counts_follow_the_manifest(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    entry = lambda *given: spark.createDataFrame([(k, s) for k, s in given], "item_key string, status string")
+    recount = lambda: sorted(map(tuple, api.prepared(store.read("manifest")).collect()))
+    for rows_, gone in ([("a", "ok"), ("b", "empty"), ("n", "ok")], []), ([("a", "empty"), ("x", "ok")], ["b", "none"]), ([], ["x"]):
+        with store.transaction() as t:
+            t.entries("c", entry(*rows_), keys(spark, *gone))
+        assert sorted(map(tuple, api.counted(store).collect())) == recount()
+    assert recount() == [("c", 2, 1)]
+    store.compact("counts", "c", folders=2)
+    assert [p.rows for p in store.snapshot().of("counts")] == [2] and sorted(map(tuple, api.counted(store).collect())) == recount()
+    late = store.transaction()
+    with store.transaction() as t:
+        t.entries("c", entry(("a", "ok")), keys(spark))
+    late.entries("c", entry(("a", "ok")), keys(spark))
+    with pytest.raises(Conflict):
+        late.__exit__(None, None, None)
+    assert sorted(map(tuple, api.counted(store).collect())) == recount() == [("c", 2, 2)]
+
+
 def changes(spark, *given):
     """(key, version, text or None, deleted)"""
     return spark.createDataFrame([(k, 1, k, "", None, v, None, "d", None, None, None, None, None, t, gone) for k, v, t, gone in given], CHANGES)
