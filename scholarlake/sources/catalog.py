@@ -92,12 +92,6 @@ def register_catalog(spark: SparkSession, fetch: Fetch | None = None, name: str
     spark.dataSource.register(Catalog)
 
 
-def exported(spark: SparkSession, path: str) -> DataFrame:
-    """Raw records of an export: one JSON object a line, with its collection where the file has one."""
-    lines = spark.read.text(path, lineSep="\n").withColumnRenamed("value", "json")
-    return lines.select(F.monotonically_increasing_id().alias("ord"), F.get_json_object("json", "$.collection").alias("collection"), "json")
-
-
 def field(name: str):
     return F.get_json_object("json", f"$.data.{name}")
 
