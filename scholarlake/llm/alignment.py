@@ -56,6 +56,7 @@ class Pair:
         self.a, self.b = loaded(a, True), pieces(b)
         byte = {letter: i for i, letter in enumerate(byte_letters())}
         size = self.a.get_vocab_size()
+        self.blank = byte_letters()[32]
         #: One object an id, however many units hold it.
         self.ids = list(range(size))
         self.a_bytes = [bytes(byte[x] for x in t) if all(x in byte for x in t) else t.encode() for t in map(self.a.id_to_token, range(size))]
@@ -79,7 +80,8 @@ class Pair:
         if (found := self.units.get(text)) is None:
             if len(self.units) >= TABLE_UNITS:
                 self.units.clear()
-            found = self.units[text] = [self.ids[t.id] for t in self.a.model.tokenize(byte_level(text))]
+            letters = text.replace(" ", self.blank) if text.isascii() else byte_level(text)  # visible ASCII stands for itself
+            found = self.units[text] = [self.ids[t.id] for t in self.a.model.tokenize(letters)]
         return found
 
     def a_ids(self, word: str) -> list[int]:
@@ -88,13 +90,12 @@ class Pair:
             return self.a.encode(" " + word, add_special_tokens=False).ids
         return self.unit(" " + whole[1]) + self.unit(whole[2]) if whole[2] else self.unit(" " + whole[1])
 
-    def place(self, a: list[int], b: list[int]) -> int:
-        key = (*a, -1, *b)
-        if (found := self.places.get(key)) is None:
-            found = self.places[key] = len(self.names)
-            self.names.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-            self.tokens.append((len(a) << 32) + len(b))
-        return found
+    def place(self, key: tuple[int, ...], a: list[int], b: list[int]) -> int:
+        """The number of a group that is new."""
+        self.places[key] = len(self.names)
+        self.names.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+        self.tokens.append((len(a) << 32) + len(b))
+        return self.places[key]
 
     def groups(self, word: str, b: list[int]) -> bytes | None:
         """Numbers of the groups of a space and a word, or None if the tokens' bytes are not the text's."""
@@ -107,7 +108,8 @@ class Pair:
             at += self.a_size[token]
             if at in cuts:
                 to_b = ends.index(at, from_b) + 1
-                out.append(self.place(a[from_a:i], b[from_b:to_b]))
+                key = (*a[from_a:i], -1, *b[from_b:to_b])
+                out.append(self.places[key] if key in self.places else self.place(key, a[from_a:i], b[from_b:to_b]))
                 from_a, from_b = i, to_b
         return out.tobytes()
 
