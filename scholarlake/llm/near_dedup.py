@@ -13,9 +13,11 @@ first each class meets the bucket's hub. What is left are buckets that hold
 several components. Their classes are joined on prefixes: of a set's shingles
 in one global order, rare ones first, two sets at the threshold share one among
 their first size - ceil(threshold * size) + 1. So classes that can have no link
-meet nobody, however large their bucket. Shingles that join several components
-are swept, by random pivots first if there are many pairs, until no
-untested pair across components is left; no link between components is lost.
+meet nobody, however large their bucket. How late in a prefix the shingle comes
+bounds the size of a partner, so the smaller of two linked sets has it early; late
+rows that no early one is small enough for are left out. Shingles that join
+several components are swept, by random pivots first if there are many pairs, until
+no untested pair across components is left; no link between components is lost.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from scholarlake.llm.words import BASE, MASK, U, Words, distinct, mix, salted, s
 #: At similarity 0.8 a pair is missed by all bands with probability 1.3e-7.
 BANDS, BAND_ROWS = 40, 5
 #: Ids that may be broadcast; pairs a document that are swept without pivots.
-BROADCAST_IDS, SWEEP_PAIRS = 1 << 20, 64
+BROADCAST_IDS, SWEEP_PAIRS = 1 << 20, 4
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,12 +140,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(bucket, rep, n, place, root): a row for each shingle of a set's prefix that sets of another component hold too.
+    """(bucket, rep, n, cap, root): a row for each shingle of a set's prefix that sets of another component hold too.
 
     ``sets`` has doc_id, s and root, the component so far. Shingles are ordered
     by the number of sets that hold them, looked up by blocks of sets (see
-    ``blocks``), then by value; ``place`` is that order's. A shingle that only
-    one component holds can link nothing new and makes no row.
+    ``blocks``), then by value. At their first common shingle two sets have no
+    more in common than it and what follows in the shorter rest: ``cap`` is the
+    size up to which a set can reach the threshold there. A shingle that only one
+    component holds can link nothing new and makes no row.
     """
     blocks = Blocks(sets)
     bucket_of = lambda key: ((key >> U(32)) % U(blocks_n)).astype(np.int64)
@@ -191,27 +195,37 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             own, freq = v[end - n : end], held[end - n : end]
             order = np.lexsort((own, freq))[: n - (percent * n + 99) // 100 + 1]
             place = np.flatnonzero(mixed[end - n : end][order])
-            out.append((own[order[place]], *(np.full(len(place), x) for x in (doc_id, n)), place, np.full(len(place), root)))
-        bucket, rep, n, place, root = (np.concatenate([np.asarray(o[i], np.int64 if i else U) for o in out]) for i in range(5))
-        return pa.table([signed(bucket), rep, n, place, root], schema=PREFIX_ARROW)
+            cap = ((100 + percent) * (n - place) - percent * n) // percent
+            out.append((own[order[place]], *(np.full(len(place), x) for x in (doc_id, n)), cap, np.full(len(place), root)))
+        bucket, rep, n, cap, root = (np.concatenate([np.asarray(o[i], np.int64 if i else U) for o in out]) for i in range(5))
+        return pa.table([signed(bucket), rep, n, cap, root], schema=PREFIX_ARROW)
 
     answered = blocks.answer(blocks.ask(ask, 1), answer, 1)
-    return blocks.finish(answered, finish, "bucket long, rep long, n long, place long, root long", PREFIX_ARROW)
+    return blocks.finish(answered, finish, "bucket long, rep long, n long, cap long, root long", PREFIX_ARROW)
 
 
-PREFIX_ARROW = pa.schema([(c, pa.int64()) for c in ("bucket", "rep", "n", "place", "root")])
+PREFIX_ARROW = pa.schema([(c, pa.int64()) for c in ("bucket", "rep", "n", "cap", "root")])
+
+
+def linkable(placed: DataFrame) -> DataFrame:
+    """Rows of ``placed(bucket, rep, n, cap, root)`` that may still link components: in buckets with several, without late rows (cap < n) that no early row is small enough for.
+
+    Of two sets that may be linked the smaller, or either of equal ones, is early.
+    """
+    least = F.min(F.when(F.col("cap") >= F.col("n"), F.col("n"))).alias("least")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), least).filter("lo != hi").select("bucket", "least")
+    return placed.join(mixed, "bucket").filter("cap >= n OR cap >= least").select("bucket", "rep", "n", "cap", "root")
 
 
 def unsettled(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows of ``cells(bucket, rep, n, place)`` in buckets that hold several components, with their component ``root``."""
-    cells = cells.select("bucket", "rep", "n", "place")
+    """The linkable rows of ``cells(bucket, rep, n, cap)``, with their component ``root``."""
+    cells = cells.select("bucket", "rep", "n", "cap")
     if roots is None:
         placed = cells.withColumn("root", F.col("rep"))
     else:
         placed = cells.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    placed = checkpointed(placed.select("bucket", "rep", "n", "place", "root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-    out = checkpointed(placed.join(mixed, "bucket"))
+    placed = checkpointed(placed.select("bucket", "rep", "n", "cap", "root"))
+    out = checkpointed(linkable(placed))
     discard(placed)
     return out
 
@@ -219,29 +233,28 @@ def unsettled(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
 def sweep(left: DataFrame, roots: DataFrame | None, sets: DataFrame, percent: int, limit: int) -> DataFrame | None:
     """Components after all pairs across components that share a bucket of ``left`` are tested.
 
-    Where these are more than ``limit``, random pivots of the buckets are
-    tested first, ever more of them, for links found shrink what is left. Each
-    turn reads only the rows that the turn before left unsettled.
+    A pair has an early row (see `linkable`). Where pairs are more than
+    ``limit``, random early pivots of the buckets are tested first, ever more of
+    them, for links found shrink what is left. Each turn reads only the rows
+    that the turn before left unsettled.
     """
     spread = 8
+    early = F.col("cap") >= F.col("n")
     while True:
-        same = left.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        total, biggest = same.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.max("n")).first()
+        own = left.groupBy("bucket", "root").agg(F.count_if(early).alias("e"), F.count("*").alias("c"))
+        same = own.groupBy("bucket").agg(F.sum("e").alias("e"), F.sum("c").alias("c"), F.sum(F.col("e") * (F.col("c") - F.col("e") / 2)).alias("own"))
+        total, biggest = same.agg(F.sum(F.col("e") * (F.col("c") - F.col("e") / 2) - F.col("own")), F.max("e")).first()
         if not total:
             discard(left)
             return roots
         every = total <= limit or spread >= biggest
-        if every:
-            pivots = left
-        else:
-            m = left.groupBy("bucket").agg(F.count("*").alias("m"))
+        pivots = left.filter(early)
+        if not every:
+            m = pivots.groupBy("bucket").agg(F.count("*").alias("m"))
             chance = F.pmod(F.xxhash64("rep", "bucket", F.lit(spread)), F.lit(1 << 20)) * F.col("m") < F.lit(spread << 20)
-            pivots = left.join(m, "bucket").filter(chance)
-        pivots = pivots.select("bucket", F.col("rep").alias("p"), F.col("n").alias("p_n"), F.col("place").alias("p_place"), F.col("root").alias("p_root"))
-        # At their first common shingle two sets have no more in common than it and what follows in the shorter rest.
-        bound = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")) >= percent * (F.col("n") + F.col("p_n"))
-        close = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
-        cross = left.join(pivots, "bucket").filter("root != p_root" + (" and rep < p" if every else "")).filter(close & bound)
+            pivots = pivots.join(m, "bucket").filter(chance)
+        pivots = pivots.select("bucket", F.col("rep").alias("p"), F.col("n").alias("p_n"), F.col("cap").alias("p_cap"), F.col("root").alias("p_root"))
+        cross = left.join(pivots, "bucket").filter("root != p_root AND n <= p_cap AND p_n <= cap" + (" AND (rep < p OR cap < n)" if every else ""))
         cross = checkpointed(cross.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct())
         more = checkpointed(confirmed(cross, sets, percent))
         if not more.isEmpty():
@@ -285,12 +298,12 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     pairs = checkpointed(cells.filter("rep != hub").filter(close).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
     links = checkpointed(confirmed(pairs, sets, percent))
     roots = None if links.isEmpty() else components(links)
-    left = unsettled(cells.filter("m > 2").select("bucket", "rep", "n", F.lit(0).alias("place")), roots)
+    left = unsettled(cells.filter("m > 2").select("bucket", "rep", "n", F.floor(F.col("n") * 100 / percent).alias("cap")), roots)
     if not left.isEmpty():
         some = checkpointed(sets.join(left.select(F.col("rep").alias("doc_id"), "root").distinct(), "doc_id"))
         rare = checkpointed(prefixes(some, percent))
-        roots = sweep(rare, roots, some.select("doc_id", "s"), percent, SWEEP_PAIRS * max(members.count(), 1 << 16))
-        discard(some)
+        roots = sweep(checkpointed(linkable(rare)), roots, some.select("doc_id", "s"), percent, SWEEP_PAIRS * max(members.count(), 1 << 16))
+        discard(some, rare)
     discard(left, cells, sets, pairs, links)
 
     if roots is None:

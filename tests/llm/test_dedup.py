@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from scholarlake.llm import near_dedup as near
 from scholarlake.llm.exact_dedup import GraceTable, drop_copies, exact_dedup
 from scholarlake.llm.near_dedup import drop_near_copies, near_dedup
 
@@ -142,3 +143,16 @@ def test_drop_copies_keeps_columns_that_clash(spark):
     left = drop_copies(docs)
     assert left.columns == docs.columns
     assert sorted((r["__sha"], r["id"], r["row"]) for r in left.collect()) == [(10, "x", 5), (12, "z", 7), (14, "v", 9), (15, "u", 4)]
+
+
+def test_turns_of_the_sweep_read_few_rows(spark, monkeypatch):
+    """Random copies at the edge of the threshold: turns with pivots find what brute force finds, and late rows without a partner are not read again."""
+    rng = random.Random(8)
+    base = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(w if rng.random() > 0.055 else f"y{rng.randrange(10**6)}" for w in base)) for i in range(150)]
+    read, real = [], near.unsettled
+    monkeypatch.setattr(near, "SWEEP_PAIRS", 0)
+    monkeypatch.setattr(near, "unsettled", lambda cells, roots: (read.append(cells.count()), real(cells, roots))[1])
+    got = near_dedup(frame(spark, rows), width=2)
+    assert sorted(map(tuple, got.collect())) == near_brute(rows, 2, 80)
+    assert len(read) > 1 and read[1] < 400
