@@ -20,16 +20,17 @@ def chains(nodes: DataFrame, start: list[Column], step, over: Column) -> DataFra
     ``start``: columns that each row begins with; ``step(own, above)``: their
     values after a turn; rows with ``over`` are done. The turns are the
     logarithm of the longest chain: when a turn ends none, what is left runs in
-    a circle, for a chain of any length has all lengths below it.
+    a circle, for a chain of any length has all lengths below it. Joins are
+    merge joins: small files hold many rows, which no broadcast takes through the driver.
     """
     at = written(nodes.select("key", "up", *start))
     names = [c for c in at.columns if c not in ("key", "up")]
     left = at.filter(~over).count()
     while left:
         above = at.select(F.col("key").alias("up"), F.col("up").alias("up_2"), *[F.col(c).alias(f"{c}_2") for c in names])
-        joined = at.join(above, "up", "left")
-        rows = joined.select("key", F.when(over, F.col("up")).otherwise(F.col("up_2")).alias("up"), *[F.when(over, F.col(c)).otherwise(step(c)).alias(c) for c in names])
-        new = written(rows)
+        joined = at.filter(~over).join(above.hint("merge"), "up", "left")
+        rows = joined.select("key", F.col("up_2").alias("up"), *[step(c).alias(c) for c in names])
+        new = written(at.filter(over).union(rows))
         removed(at)
         at, before, left = new, left, new.filter(~over).count()
         if left == before:
@@ -51,7 +52,7 @@ def tree(collections: DataFrame, paths: bool = False) -> DataFrame:
         return rows
     nodes = found.select("key", F.when(F.col("depth") > 0, F.col("parent")).alias("up"))
     step = lambda c: F.concat(F.col(f"{c}_2"), F.col(c))
-    return rows.join(chains(nodes, [F.array("key").alias("path")], step, F.col("up").isNull()).select("key", "path"), "key")
+    return rows.join(chains(nodes, [F.array("key").alias("path")], step, F.col("up").isNull()).select("key", "path").hint("merge"), "key")
 
 
 def listing(collections: DataFrame) -> DataFrame:

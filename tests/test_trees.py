@@ -59,3 +59,19 @@ def test_a_chain_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(trees, "BLOCK", 1000)
     n = 5000
     assert numbers(spark, [(f"k{i}", f"k{i - 1}" if i else None, 0, "n", 0) for i in range(n)]) == {f"k{i}": (i, i, n - i) for i in range(n)}
+
+
+def test_rows_of_nodes_are_not_broadcast(spark, monkeypatch):
+    """Only the starts of `ranked`, a row a partition, may pass through the driver."""
+    plans, real = [], trees.written
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (trees, catalog):
+        monkeypatch.setattr(module, "written", lambda df: (seen(df), real(df))[1])
+    monkeypatch.setattr(trees, "BLOCK", 10)
+    df = spark.createDataFrame([(str(i), str((i - 1) // 3) if i else None, i, "n", 0) for i in range(100)], SCHEMA)
+    out = catalog.tree(df, paths=True)
+    seen(out)
+    want = lambda i: (want((i - 1) // 3) if i else []) + [str(i)]
+    assert {r.key: r.path for r in out.collect()} == {str(i): want(i) for i in range(100)}
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert len(plans) > 8 and all("shiftright" in line for line in joins)
