@@ -19,11 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read again, without its lineage; the files go with `removed`, or when the driver's JVM ends."""
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """``df`` written as Parquet (``codec``: None for the session's) and read again, without its lineage; the files go with `removed`, or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)

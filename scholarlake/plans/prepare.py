@@ -14,7 +14,7 @@ from scholarlake.operators import convert
 from scholarlake.operators.catalog import picked, with_existence
 from scholarlake.operators.chunks import chunk_rows
 from scholarlake.plans.delta import planned, stale, summary
-from scholarlake.plans.store import Store
+from scholarlake.plans.store import CODEC, Store
 from scholarlake.sources.engines import Embedder, Extractor, MissingExtractor, OcrEngine
 from scholarlake.sources.files import with_content
 
@@ -60,6 +60,24 @@ def converted(todo: DataFrame, engines: Engines) -> DataFrame:
     return out
 
 
+#: What entries and chunks take from the records.
+ABOUT = ("ord", "title", "creator", "year", "version", "source_mtime", "dir", "name")
+
+
+def to_do(plan: DataFrame) -> DataFrame:
+    """A plan with the action `drop` for deleted records, and ``markdown`` of what is to be converted alone."""
+    gone = F.coalesce("deleted", F.lit(False)) if "deleted" in plan.columns else F.lit(False)
+    text = F.col("markdown") if "markdown" in plan.columns else F.lit(None).cast("string")
+    out = plan.withColumn("action", F.when(gone, "drop").otherwise(F.col("action"))).drop("deleted")
+    return out.withColumn("markdown", F.when(F.col("action") == "convert", text))
+
+
+def as_given(todo: DataFrame) -> DataFrame:
+    """Converted rows, with their attributes, of records that carry their text."""
+    none = F.array().cast("array<string>")
+    return todo.select("item_key", "markdown", F.lit("text").alias("route"), F.lit(0).alias("pages"), none.alias("page_labels"), none.alias("notes"), *ABOUT)
+
+
 def run(
     store: Store,
     collection: str,
@@ -68,39 +86,39 @@ def run(
     rebuild: bool = False,
     partial: bool = False,
     progress: Progress | None = None,
-    convert_by: Callable[[DataFrame], DataFrame] | None = None,
-    dropped: DataFrame | None = None,
     mark: tuple[str, int] | None = None,
 ) -> dict:
     """Bring a collection up to date with records(item_key, ord, title, creator, year, version, source_mtime, dir, content_type, ext, name, path, url).
 
-    ``partial``: the records are not all of the collection, so nothing else is
-    dropped but the keys of ``dropped``. All tables change in one version, or
-    none does; ``mark``: the batch of a stream that it is, which a store takes
-    once. ``convert_by``: converted rows of what is to be converted, instead of
-    the routes. Every key that is converted anew loses its old chunks.
+    Records may also have ``markdown``, their text where no route is to convert
+    them, and ``deleted``, which drops the item. ``partial``: the records are
+    not all of the collection, so nothing else is dropped. All tables change in
+    one version, or none does; ``mark``: the batch of a stream that it is, which
+    a store takes once. Every key that is converted anew loses its old chunks.
     Converted rows are written once, so that a lost executor converts nothing
-    again that chunks were made of.
+    again that chunks were made of; given texts are written with the plan and
+    read from there, without another join.
     """
     began, tell = time.time(), progress or (lambda what, detail: None)
     with store.transaction() as t:
         old = t.read("manifest", collection)
-        plan = written(planned(records, old, t.read("content", collection), rebuild))
+        plan = written(to_do(planned(records, old, t.read("content", collection), rebuild)), CODEC)
         todo = plan.filter("action = 'convert'")
         tell("planned", {"convert": todo.count()})
-        made = (convert_by or (lambda rows: converted(rows, engines)))(todo)
-        done = written(made.join(todo.select("item_key", "ord", "title", "creator", "year", "version", "source_mtime", "dir", "name"), "item_key").withColumn("collection", F.lit(collection)).withColumn("source_file", F.col("name")))
+        routed = todo.filter("markdown IS NULL").drop("markdown")
+        made = written(converted(routed, engines).join(routed.select("item_key", *ABOUT), "item_key"), CODEC)
+        done = made.unionByName(as_given(todo.filter("markdown IS NOT NULL"))).withColumn("collection", F.lit(collection)).withColumn("source_file", F.col("name"))
         tell("converted", {"items": done.count()})
         chars = F.length("markdown").cast("long")
         entries = done.select("collection", "item_key", "dir", "title", "creator", "year", "route", F.col("pages").cast("long").alias("pages"), chars.alias("chars"), status_of(chars).alias("status"), "notes", "version", "source_mtime", F.md5(F.col("markdown").cast("binary")).alias("content_hash"), "ord")
         meta = F.to_json(F.struct("item_key", "title", "creator", "year", "source_file", F.struct("route", "pages", "page_labels", chars.alias("char_count"), "notes").alias("conversion")))
-        nothing = store.spark.createDataFrame([], "item_key string")
         if partial:
-            removed_keys = (dropped if dropped is not None else nothing).select("item_key")
+            removed_keys = plan.filter("action = 'drop'").select("item_key")
             gone = done.select("item_key").union(removed_keys)
         else:
-            removed_keys = old.select("item_key").join(records.select("item_key"), "item_key", "left_anti")
-            gone = stale(t.read("chunks", collection).select("item_key").distinct(), records, done)
+            current = plan.filter("action <> 'drop'").select("item_key")
+            removed_keys = old.select("item_key").join(current, "item_key", "left_anti")
+            gone = stale(t.read("chunks", collection).select("item_key").distinct(), current, done)
         rows = chunk_rows(done, engines.embedder, engines.model)
         n_chunks = t.replace("chunks", collection, rows) if rebuild and not partial else t.upsert("chunks", collection, rows, gone)
         t.upsert("content", collection, done.select("collection", "item_key", "dir", "markdown"), removed_keys)
@@ -108,12 +126,12 @@ def run(
         t.entries(collection, entries, removed_keys)
         if mark is not None:
             t.mark(*mark)
-        counts = plan.agg(F.count("*").alias("total"), F.count_if(F.col("action") == "convert").alias("converted"), F.count_if(F.col("action") == "skip").alias("skipped"))
+        counts = plan.filter("action <> 'drop'").agg(F.count("*").alias("total"), F.count_if(F.col("action") == "convert").alias("converted"), F.count_if(F.col("action") == "skip").alias("skipped"))
         out = summary(counts, entries, n_chunks, time.time() - began)
     for table in ("chunks", "content", "packs", "manifest", "counts"):
         store.compact(table, collection)
     tell("done", out)
-    removed(plan, done)
+    removed(plan, made)
     return out
 
 

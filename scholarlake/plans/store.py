@@ -26,6 +26,10 @@ PACKS = "collection string, item_key string, dir string, meta string"
 COUNTS = "collection string, status string, n bigint"
 TABLES = {"content": CONTENT, "packs": PACKS, "manifest": MANIFEST, "chunks": CHUNKS, "counts": COUNTS}
 KEYS = "collection string, item_key string"
+#: Compression of the tables' files: two thirds of the default's bytes for texts.
+CODEC = "zstd"
+#: Rows of a bitmap (what Spark's `bitmap_construct_agg` makes), and bytes of bitmaps up to which `compact` broadcasts them.
+BITMAP_ROWS, BITMAP_BYTES = 32_768, 1 << 26
 #: Folder of a file by its path.
 FOLDER = "([0-9a-f]{32})/[^/]*$"
 
@@ -60,20 +64,37 @@ class Store:
         out = self.files(whole, TABLES[table])
         if not old:
             return out
-        rows = self.versioned(old, TABLES[table])
-        gone = self.versioned(keys, KEYS).select(F.col("collection").alias("of"), F.col("item_key").alias("key"), F.col("at").alias("gone"))
-        left = rows.join(gone, (rows.collection == gone.of) & (rows.item_key == gone.key) & (rows["at"] < gone.gone), "left_anti").drop("at")
+        left = self.by_keys(self.versioned(old, TABLES[table]), keys, "left_anti").drop("at")
         return out.union(left) if whole else left
 
+    def by_keys(self, rows: DataFrame, keys: list[Part], how: str) -> DataFrame:
+        """Semi or anti join of `versioned` rows with the keys that newer folders delete."""
+        gone = self.versioned(keys, KEYS).select(F.col("collection").alias("of"), F.col("item_key").alias("key"), F.col("at").alias("gone"))
+        return rows.join(gone, (rows.collection == gone.of) & (rows.item_key == gone.key) & (rows["at"] < gone.gone), how)
+
+    def left(self, parts: list[Part], keys: list[Part], schema: str) -> DataFrame:
+        """What ``keys`` leave of folders, without a shuffle of the rows themselves.
+
+        Keys alone are joined; what is gone is marked in bitmaps by file and place
+        in it, one bit a row, and the rows are read past those.
+        """
+        rows = self.versioned(parts, schema, "_metadata.file_name AS file", f"_metadata.row_index DIV {BITMAP_ROWS} AS block", f"_metadata.row_index % {BITMAP_ROWS} AS place")
+        bits = F.bitmap_construct_agg(F.col("place"))
+        gone = self.by_keys(rows.select("collection", "item_key", "at", "file", "block", "place"), keys, "left_semi")
+        marks = gone.groupBy("file", "block").agg(F.substring(bits, F.lit(1), (F.max("place") / 8).cast("int") + 1).alias("marks"))
+        byte = F.conv(F.hex(F.substring("marks", (F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        marked = F.getbit(F.coalesce(byte, F.lit(0)), (F.col("place") % 8).cast("int")) == 1
+        return rows.join(F.broadcast(marks), ["file", "block"], "left").filter(~marked).drop("file", "block", "place", "at", "marks")
+
     def files(self, parts: list[Part], schema: str) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p.path}" for p in parts])
 
-    def versioned(self, parts: list[Part], schema: str) -> DataFrame:
-        """Rows with ``at``, the version of their folder; as many folders as the log names are broadcast."""
+    def versioned(self, parts: list[Part], schema: str, *more: str) -> DataFrame:
+        """Rows with ``at``, the version of their folder, and ``more``, SQL over a file's columns and metadata; as many folders as the log names are broadcast."""
         at = self.spark.createDataFrame([(p.path[-32:], p.version) for p in parts], "folder string, at long")
-        rows = self.files(parts, schema).withColumn("folder", F.regexp_extract("_metadata.file_path", FOLDER, 1))
+        rows = self.files(parts, schema).select("*", *map(F.expr, more), F.regexp_extract("_metadata.file_path", FOLDER, 1).alias("folder"))
         return rows.join(F.broadcast(at), "folder").drop("folder")
 
     def written(self, table: str, collection: str, rows: DataFrame, kind: str = "rows") -> Part | None:
@@ -83,7 +104,7 @@ class Store:
         more = [F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high"), F.min("model").alias("model"), F.max("model").alias("model_2")] if shape == CHUNKS else []
         rows = shaped(rows.withColumn("collection", F.lit(collection)), shape)
         path = f"data/{table}/{uuid.uuid4().hex}"
-        rows.observe(seen, F.count(F.lit(1)).alias("n"), *more).write.parquet(f"{self.root}/{path}")
+        rows.observe(seen, F.count(F.lit(1)).alias("n"), *more).write.parquet(f"{self.root}/{path}", compression=CODEC)
         got = seen.get
         if not got["n"]:
             self.removed(path)
@@ -137,17 +158,26 @@ class Store:
         return self.read("chunks", collection).select("item_key").distinct()
 
     def compact(self, table: str, collection: str, deleted: float = 0.1, folders: int = 16) -> int | None:
-        """One folder in the place of a collection's folders and keys, once keys are ``deleted`` of its rows or folders as many; the new version."""
+        """One folder in the place of the folders older than a collection's keys, and of the keys, once these are ``deleted`` of its rows.
+
+        Once folders are ``folders`` many, or where there are no keys, it takes the place of all. The new version, or None.
+        """
         while True:
             now = self.log.latest()
             parts, keys = now.of(table, collection), now.of(table, collection, "keys")
             if sum(p.rows for p in keys) < deleted * sum(p.rows for p in parts) and len(parts) < folders or not keys and len(parts) < 2:
                 return None
-            rows = self.read(table, collection, now)
+            newest = max((p.version for p in keys), default=0)
+            old = [p for p in parts if p.version < newest]
+            whole = [p for p in parts if p not in old and (not keys or len(parts) >= folders)]
+            rows = self.files(whole, TABLES[table])
+            if old:
+                left = self.left(old, keys, TABLES[table]) if self.bitmap_bytes(old) <= BITMAP_BYTES else self.by_keys(self.versioned(old, TABLES[table]), keys, "left_anti").drop("at")
+                rows = rows.union(left) if whole else left
             if table == "counts":
                 rows = rows.groupBy("status").agg(F.sum("n").alias("n")).filter("n != 0")
             new = self.written(table, collection, rows)
-            gone = [p.path for p in parts + keys]
+            gone = [p.path for p in old + whole + keys]
 
             def build(found: Snapshot, now=now, new=new, gone=gone):
                 if not set(gone) <= found.parts.keys() or any(p.version > now.version for p in found.of(table, collection, "keys")):
@@ -160,6 +190,11 @@ class Store:
                 if new:
                     self.removed(new.path)
 
+    def bitmap_bytes(self, parts: list[Part]) -> int:
+        """At most so many bytes have the bitmaps of `left`, with what a row of theirs needs besides."""
+        rows = sum(p.rows for p in parts)
+        return rows // 8 + 256 * (rows // BITMAP_ROWS + len(self.files(parts, KEYS).inputFiles()))
+
     def vacuum(self, keep: int = 1, older_than: float = 86_400.0) -> int:
         """Remove folders that none of the last ``keep`` versions names and no writer may still be at; how many."""
         last = self.log.latest().version

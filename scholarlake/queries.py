@@ -667,7 +667,7 @@ def stream_delta(spark, sf_dir):
     ]
     sink = delta(store, "all", Engines(HashEmbedder(16), model="hash"), "changes")
     for i, rows in enumerate(batches):
-        rows.drop("doc_id").write.parquet(f"{folder}/in/{i}")
+        rows.drop("doc_id").write.parquet(f"{folder}/in/{i}", compression="zstd")
         ingest(spark, f"{folder}/in/*", CHANGES, sink, f"{folder}/checkpoint").awaitTermination()
     found = store.read("content", "all").select("item_key", md5(F.col("markdown")).alias("hash"))
     return store.read("manifest", "all").join(found, "item_key").select("item_key", "version", "chars", "hash", "content_hash")

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scholarlake.checkpoints import removed, written
-from scholarlake.plans.prepare import Engines, converted, run
+from scholarlake.plans.prepare import Engines, run
 from scholarlake.plans.store import Store
 
 
@@ -29,16 +28,14 @@ CHANGES = "item_key string, ord bigint, title string, creator string, year strin
 
 
 def newest(changes: DataFrame) -> DataFrame:
-    """One change a key, that of the largest version; of equal versions a deletion, then the largest text. Null keys are no items."""
-    row = F.struct(*[c for c in changes.columns if c != "item_key"])
-    order = F.struct(F.coalesce("version", F.lit(-1)), F.coalesce("deleted", F.lit(False)), F.coalesce("markdown", F.lit("")))
-    return changes.filter("item_key IS NOT NULL").groupBy("item_key").agg(F.max_by(row, order).alias("row")).select("item_key", "row.*")
+    """One change a key, that of the largest version; of equal versions a deletion, then the largest text. Null keys are no items.
 
-
-def as_given(todo: DataFrame) -> DataFrame:
-    """Converted rows of items whose change carries their text."""
-    none = F.array().cast("array<string>")
-    return todo.select("item_key", F.coalesce("markdown", F.lit("")).alias("markdown"), F.lit("text").alias("route"), F.lit(0).alias("pages"), none.alias("page_labels"), none.alias("notes"))
+    The text is in the row once: the largest row is the newest one.
+    """
+    rank = [F.coalesce("version", F.lit(-1)).alias("rank"), F.coalesce("deleted", F.lit(False)).alias("gone"), F.coalesce("markdown", F.lit("")).alias("text"), F.col("markdown").isNotNull().alias("given")]
+    row = F.struct(*rank, *[c for c in changes.columns if c not in ("item_key", "markdown")])
+    last = changes.filter("item_key IS NOT NULL").groupBy("item_key").agg(F.max(row).alias("row")).select("item_key", "row.*")
+    return last.withColumn("markdown", F.when(F.col("given"), F.col("text"))).select(*changes.columns)
 
 
 def delta(store: Store, collection: str, engines: Engines, stream: str, told: Callable[[int, dict], None] | None = None) -> Callable[[DataFrame, int], None]:
@@ -53,15 +50,8 @@ def delta(store: Store, collection: str, engines: Engines, stream: str, told: Ca
     def each(changes: DataFrame, batch: int) -> None:
         if store.snapshot().marks.get(stream, -1) >= batch:
             return
-        last = written(newest(changes))
-        given, gone = last.filter("NOT coalesce(deleted, false)").drop("deleted"), last.filter("deleted").select("item_key")
-        out = run(store, collection, given, engines, partial=True, convert_by=lambda todo: by_text(todo, engines), dropped=gone, mark=(stream, batch))
-        removed(last)
+        out = run(store, collection, newest(changes), engines, partial=True, mark=(stream, batch))
         if told is not None:
             told(batch, out)
 
     return each
-
-
-def by_text(todo: DataFrame, engines: Engines) -> DataFrame:
-    return as_given(todo.filter("markdown IS NOT NULL")).unionByName(converted(todo.filter("markdown IS NULL").drop("markdown"), engines))

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from scholarlake import api
 from scholarlake.plans import commits
+from scholarlake.plans import store as stores
 from scholarlake.plans.commits import CommitLog, Conflict, Part, Snapshot
 from scholarlake.plans.prepare import Engines
 from scholarlake.plans.store import Store, Transaction
 from scholarlake.sources.engines import HashEmbedder
-from scholarlake.streaming.ingest import CHANGES, delta, ingest
+from scholarlake.streaming.ingest import CHANGES, delta, ingest, newest
 
 CONTENT = "collection string, item_key string, dir string, markdown string"
 
@@ -196,3 +197,76 @@ def test_stream_of_changes_survives_a_kill_and_a_replay(spark, tmp_path, monkeyp
     late.__exit__(None, None, None)
     assert late.version is None and rows(store) == want
     assert {r.item_key: r.text for r in store.read("chunks").collect()} == {"a": "one more", "b": "two", "n": "new"} and store.read("manifest").count() == 3
+
+
+def stages(spark):
+    """(id, bytes shuffled, bytes written) of the stages that are still known."""
+    sc, lists = spark.sparkContext, spark._jvm.java.util.ArrayList
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    found = sc._jsc.sc().statusStore().stageList(lists(), False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), lists())
+    return [(found.apply(i).stageId(), found.apply(i).shuffleWriteBytes(), found.apply(i).outputBytes()) for i in range(found.size())]
+
+
+def shuffled(spark, run):
+    """Bytes that a call shuffles, with merge joins wherever a join isn't told otherwise."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = max((s for s, _, _ in stages(spark)), default=-1)
+    try:
+        run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return sum(n for s, n, _ in stages(spark) if s > before)
+
+
+def long_texts(spark, n):
+    """(id, text) of 20,480 hex digits, which hardly compress in a shuffle."""
+    return spark.range(n).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(320)), lambda i: F.sha2(F.concat_ws(" ", "id", i), 256)), "").alias("text"))
+
+
+def test_a_batch_shuffles_its_texts_once(spark, tmp_path):
+    given = long_texts(spark, 60)
+    key = F.col("id").cast("string")
+    rows_ = given.select(key.alias("item_key"), F.col("id").alias("ord"), *[F.lit("t").alias(c) for c in ("title", "creator", "dir")], F.lit(1).cast("long").alias("version"), F.col("text").alias("markdown"), F.lit(False).alias("deleted"))
+    stores.shaped(rows_, CHANGES).write.parquet(str(tmp_path / "in"))
+    store = Store(spark, str(tmp_path / "s"))
+    sink = delta(store, "c", Engines(HashEmbedder(8), model="h"), "feed")
+    n = shuffled(spark, lambda: sink(spark.read.schema(CHANGES).parquet(str(tmp_path / "in")), 0))
+    assert store.read("content").count() == 60 and store.read("chunks").count() > 60
+    assert n < 1.5 * 60 * 20_480
+
+
+def test_compaction_shuffles_keys_alone_and_leaves_newer_folders(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    of = lambda rows_, mark: rows_.select(F.col("id").cast("string").alias("item_key"), F.lit("d").alias("dir"), F.concat("text", F.lit(mark)).alias("markdown"))
+    texts = long_texts(spark, 60)
+    store.replace("content", "c", of(texts, "1"))
+    store.upsert("content", "c", of(texts.filter("id % 3 = 0"), "2"), keys(spark, "none"))
+    newest_part = store.snapshot().of("content", "c")[-1]
+    n = shuffled(spark, lambda: store.compact("content", "c"))
+    now = store.snapshot()
+    assert [p.rows for p in now.of("content", "c")] == [20, 40] and now.of("content", "c")[0] == newest_part and not now.of("content", "c", "keys")
+    assert sorted((r.item_key, r.end) for r in store.read("content", "c").select("item_key", F.substring("markdown", -1, 1).alias("end")).collect()) == sorted((str(i), "2" if i % 3 == 0 else "1") for i in range(60))
+    assert n < 0.1 * 60 * 20_480
+
+
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_compaction_leaves_what_a_reader_sees(spark, tmp_path, monkeypatch, most):
+    """Several rows a key, files of more rows than a bitmap has, keys of several versions, keys that come back; with and without bitmaps."""
+    monkeypatch.setattr(stores, "BITMAP_BYTES", most)
+    store = Store(spark, str(tmp_path))
+    of = lambda n, mark: spark.range(0, n, 1, 1).select((F.col("id") % (n // 2)).cast("string").alias("item_key"), F.lit("d").alias("dir"), F.lit(mark).alias("markdown"))
+    store.replace("content", "c", of(70_000, "1"))
+    store.upsert("content", "c", of(9_000, "2"), keys(spark, "34999", "none"))
+    with store.transaction() as t:
+        t.delete("content", "c", of(70_000, "").filter("item_key % 5 = 0"))
+    store.upsert("content", "c", of(20, "3"), keys(spark))
+    store.replace("content", "other", of(10, "o"))
+    before = {(r.item_key, r.markdown): r["count"] for r in store.read("content", "c").groupBy("item_key", "markdown").count().collect()}
+    assert store.compact("content", "c") and not store.snapshot().of("content", "c", "keys")
+    assert {(r.item_key, r.markdown): r["count"] for r in store.read("content", "c").groupBy("item_key", "markdown").count().collect()} == before
+    assert len(before) == 28_001 and before["5", "3"] == 2 and ("0", "1") not in before and store.read("content", "other").count() == 10
+
+
+def test_the_newest_change(spark):
+    rows_ = newest(changes(spark, ("a", 1, "x", False), ("a", 1, "y", None), ("d", 2, "z", False), ("d", 2, None, True), ("n", None, None, False), ("v", None, "old", True), ("v", 0, None, False), ("e", 1, "", False))).collect()
+    assert {r.item_key: (r.version, r.markdown, r.deleted) for r in rows_} == {"a": (1, "y", None), "d": (2, None, True), "n": (None, None, False), "v": (0, None, False), "e": (1, "", False)}
