@@ -22,7 +22,7 @@ def chunked(docs: DataFrame, markdown: Column | str = "markdown", *keep: str) ->
 def chunk_rows(converted: DataFrame, embedder: Embedder, model: str = "") -> DataFrame:
     """Vector rows of converted items (with title, creator, year, collection, source_file); chunks without a direction are left out."""
     keep = ("item_key", "title", "creator", "year", "collection", "source_file")
-    rows = chunked(converted, "markdown", *keep)
-    vector = checked(embedded(embedder, F.col("text")), embedder.dim)
+    rows = chunked(converted, "markdown", *keep).withColumn("vector", embedded(embedder, F.col("text")))
+    vector = checked(F.col("vector"), embedder.dim)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return rows.select(vector.alias("vector"), "text", blank("page"), "item_key", blank("title"), blank("creator"), blank("year"), "collection", blank("source_file"), "page_ord", "window_ord", F.lit(model).alias("model")).filter("vector is not null")

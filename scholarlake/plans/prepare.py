@@ -64,18 +64,23 @@ def converted(todo: DataFrame, engines: Engines) -> DataFrame:
 ABOUT = ("ord", "title", "creator", "year", "version", "source_mtime", "dir", "name")
 
 
+def measured(rows: DataFrame) -> DataFrame:
+    """``chars`` and ``content_hash`` of the texts, so that nothing that needs these alone reads a text again."""
+    return rows.withColumn("chars", F.length("markdown").cast("long")).withColumn("content_hash", F.md5(F.col("markdown").cast("binary")))
+
+
 def to_do(plan: DataFrame) -> DataFrame:
-    """A plan with the action `drop` for deleted records, and ``markdown`` of what is to be converted alone."""
+    """A plan with the action `drop` for deleted records, and ``markdown`` of what is to be converted alone; ``given``: it has one."""
     gone = F.coalesce("deleted", F.lit(False)) if "deleted" in plan.columns else F.lit(False)
     text = F.col("markdown") if "markdown" in plan.columns else F.lit(None).cast("string")
     out = plan.withColumn("action", F.when(gone, "drop").otherwise(F.col("action"))).drop("deleted")
-    return out.withColumn("markdown", F.when(F.col("action") == "convert", text))
+    return measured(out.withColumn("markdown", F.when(F.col("action") == "convert", text))).withColumn("given", F.col("markdown").isNotNull())
 
 
 def as_given(todo: DataFrame) -> DataFrame:
     """Converted rows, with their attributes, of records that carry their text."""
     none = F.array().cast("array<string>")
-    return todo.select("item_key", "markdown", F.lit("text").alias("route"), F.lit(0).alias("pages"), none.alias("page_labels"), none.alias("notes"), *ABOUT)
+    return todo.select("item_key", "markdown", F.lit("text").alias("route"), F.lit(0).alias("pages"), none.alias("page_labels"), none.alias("notes"), *ABOUT, "chars", "content_hash")
 
 
 def run(
@@ -97,21 +102,25 @@ def run(
     a store takes once. Every key that is converted anew loses its old chunks.
     Converted rows are written once, so that a lost executor converts nothing
     again that chunks were made of; given texts are written with the plan and
-    read from there, without another join.
+    read from there, without another join. Every chunk is embedded once, and
+    routes are planned only for records that need one.
     """
     began, tell = time.time(), progress or (lambda what, detail: None)
     with store.transaction() as t:
         old = t.read("manifest", collection)
         plan = written(to_do(planned(records, old, t.read("content", collection), rebuild)), CODEC)
         todo = plan.filter("action = 'convert'")
-        tell("planned", {"convert": todo.count()})
-        routed = todo.filter("markdown IS NULL").drop("markdown")
-        made = written(converted(routed, engines).join(routed.select("item_key", *ABOUT), "item_key"), CODEC)
-        done = made.unionByName(as_given(todo.filter("markdown IS NOT NULL"))).withColumn("collection", F.lit(collection)).withColumn("source_file", F.col("name"))
+        n = todo.agg(F.count("*").alias("convert"), F.count_if(~F.col("given")).alias("routed")).first()
+        tell("planned", {"convert": n.convert})
+        done, made = as_given(todo.filter("given")), None
+        if n.routed:
+            routed = todo.filter("NOT given").drop("markdown", "chars", "content_hash")
+            made = written(measured(converted(routed, engines).join(routed.select("item_key", *ABOUT), "item_key")), CODEC)
+            done = made.unionByName(done)
+        done = done.withColumn("collection", F.lit(collection)).withColumn("source_file", F.col("name"))
         tell("converted", {"items": done.count()})
-        chars = F.length("markdown").cast("long")
-        entries = done.select("collection", "item_key", "dir", "title", "creator", "year", "route", F.col("pages").cast("long").alias("pages"), chars.alias("chars"), status_of(chars).alias("status"), "notes", "version", "source_mtime", F.md5(F.col("markdown").cast("binary")).alias("content_hash"), "ord")
-        meta = F.to_json(F.struct("item_key", "title", "creator", "year", "source_file", F.struct("route", "pages", "page_labels", chars.alias("char_count"), "notes").alias("conversion")))
+        entries = done.select("collection", "item_key", "dir", "title", "creator", "year", "route", F.col("pages").cast("long").alias("pages"), "chars", status_of(F.col("chars")).alias("status"), "notes", "version", "source_mtime", "content_hash", "ord")
+        meta = F.to_json(F.struct("item_key", "title", "creator", "year", "source_file", F.struct("route", "pages", "page_labels", F.col("chars").alias("char_count"), "notes").alias("conversion")))
         if partial:
             removed_keys = plan.filter("action = 'drop'").select("item_key")
             gone = done.select("item_key").union(removed_keys)
@@ -120,7 +129,12 @@ def run(
             removed_keys = old.select("item_key").join(current, "item_key", "left_anti")
             gone = stale(t.read("chunks", collection).select("item_key").distinct(), current, done)
         rows = chunk_rows(done, engines.embedder, engines.model)
-        n_chunks = t.replace("chunks", collection, rows) if rebuild and not partial else t.upsert("chunks", collection, rows, gone)
+        if rebuild and not partial:
+            t.drop("chunks", collection)
+        else:
+            # All keys of the new chunks are among these; taking them from the chunks would embed every chunk once more.
+            t.delete("chunks", collection, gone)
+        n_chunks = t.add("chunks", collection, rows)
         t.upsert("content", collection, done.select("collection", "item_key", "dir", "markdown"), removed_keys)
         t.upsert("packs", collection, done.select("collection", "item_key", "dir", meta.alias("meta")), removed_keys)
         t.entries(collection, entries, removed_keys)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 import unicodedata
@@ -20,6 +21,7 @@ from scholarlake.plans.delta import planned, stale
 from scholarlake.plans.prepare import Engines, file_records, run
 from scholarlake.plans.store import Store
 from scholarlake.sources import catalog as rest
+from scholarlake.sources import engines
 from scholarlake.sources.engines import HashEmbedder, HttpEmbedder, HttpOcr, StubOcr, main_text
 from scholarlake.sources.files import browse, fingerprints, scan_files, stored_files
 from scholarlake.streaming.ingest import ingest
@@ -502,3 +504,18 @@ def test_sync_and_engines(spark, tmp_path, capsys):
     assert main(["--root", str(tmp_path / "s"), "search", "words on C2", "--collection", "Graphs"], spark, {}) == 0 and "About C2" in capsys.readouterr().out
     env = {"EMBED_API_URL": "http://e", "EMBED_MODEL": "m", "EMBED_DIM": "8", "OCR_API_URL": "http://o"}
     assert engines(env)[1] == "m" and engines(env)[2] is not None and engines(env, use_ocr=False)[2] is None and engines({})[1:] == ("hash", None)
+
+
+def test_hashed_words_are_remembered_within_a_bound(monkeypatch):
+    texts = ["", " \t", "One two one\x1cTWO İx", "a b c d e f g h a", "+".join("ab"), "x " * 400 + "y"]
+    monkeypatch.setattr(engines, "KNOWN_WORDS", 4)
+    for dim in (1, 7, 16):
+        for text, got in zip(texts, HashEmbedder(dim).embed(texts), strict=True):
+            v = np.zeros(dim)
+            for word in text.lower().split():
+                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+                v[h % dim] += 1 if h >> 63 else -1
+            want = engines.unit(v)
+            assert (got is None) == (want is None) and (got is None or got.dtype == np.float32 and (got == want).all())
+        assert len(engines.word_places(dim)) <= 4
+    engines.word_places.cache_clear()

@@ -1,5 +1,7 @@
+import hashlib
 import os
 import threading
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,6 +237,44 @@ def test_a_batch_shuffles_its_texts_once(spark, tmp_path):
     assert n < 1.5 * 60 * 20_480
 
 
+def test_a_batch_embeds_every_chunk_once(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    class Counting:
+        dim = 8
+
+        def embed(self, texts):
+            (asked / uuid.uuid4().hex).write_text(str(len(texts)))
+            return HashEmbedder(8).embed(texts)
+
+    store = Store(spark, str(tmp_path / "s"))
+    sink = delta(store, "c", Engines(Counting(), model="h"), "feed")
+    sink(changes(spark, *[(str(i), 1, f"word{i} " * 500, False) for i in range(20)], ("e", 1, "", False)), 0)
+    made = store.read("chunks", "c").count()
+    assert made > 40 and sum(int(f.read_text()) for f in asked.iterdir()) == made
+    sink(changes(spark, ("0", 2, "one", False), ("1", 2, None, True), ("2", 1, "same version", False)), 1)
+    assert sum(int(f.read_text()) for f in asked.iterdir()) == made + 1
+    assert {r.item_key for r in store.read("chunks", "c").collect()} == {str(i) for i in range(20) if i != 1}
+
+
+def test_routes_are_planned_for_records_without_a_text_alone(spark, tmp_path):
+    planned = []
+
+    def pdf_pages(files):
+        planned.append(1)
+        return spark.createDataFrame([], "doc_id string, page int, label string, text string")
+
+    store = Store(spark, str(tmp_path / "s"))
+    sink = delta(store, "c", Engines(HashEmbedder(8), pdf_pages=pdf_pages, model="h"), "feed")
+    sink(changes(spark, ("a", 1, "one", False), ("d", 1, None, True)), 0)
+    assert not planned and rows(store) == [("a", "one")]
+    sink(changes(spark, ("a", 2, "no\u00e9l", False), ("b", 1, None, False)), 1)
+    assert planned and rows(store) == [("a", "no\u00e9l"), ("b", "")]
+    found = {r.item_key: (r.chars, r.status, r.content_hash) for r in store.read("manifest", "c").collect()}
+    assert found == {"a": (4, "ok", hashlib.md5("no\u00e9l".encode()).hexdigest()), "b": (0, "empty", hashlib.md5(b"").hexdigest())}
+
+
 def test_compaction_shuffles_keys_alone_and_leaves_newer_folders(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     of = lambda rows_, mark: rows_.select(F.col("id").cast("string").alias("item_key"), F.lit("d").alias("dir"), F.concat("text", F.lit(mark)).alias("markdown"))
