@@ -89,9 +89,11 @@ def page_pieces(markdown: Column) -> Column:
 
 
 def windows(body: Column) -> Column:
-    """Overlapping windows of a trimmed text: whole up to the limit, else every ``CHUNK_STEP`` characters."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(body) - 1, F.lit(0)), F.lit(CHUNK_STEP))
-    cut = F.transform(starts, lambda s: F.substring(body, s + 1, F.lit(CHUNK_WIDTH)))
+    """Overlapping windows of a trimmed text: whole up to the limit, else every ``CHUNK_STEP`` characters.
+
+    A step looks ahead at its window, so that a long text is not counted from its start for each of them.
+    """
+    cut = F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{1,{CHUNK_WIDTH}}})).{{1,{CHUNK_STEP}}}"), F.lit(1))
     return F.when(F.length(body) <= WHOLE_LIMIT, F.array(body)).otherwise(cut)
 
 

@@ -519,3 +519,9 @@ def test_hashed_words_are_remembered_within_a_bound(monkeypatch):
             assert (got is None) == (want is None) and (got is None or got.dtype == np.float32 and (got == want).all())
         assert len(engines.word_places(dim)) <= 4
     engines.word_places.cache_clear()
+
+
+def test_windows_of_long_texts_and_wide_characters(spark):
+    texts = [c * n for c in ("x", "\n", "😀") for n in (0, 1, 1350, 1351, 1559, 1560, 1561, 1680, 1681)] + ["a\r\nb 中😀\u0085c$" * 50_000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.windows(F.col("t")).alias("w")).orderBy("i").collect()
+    assert [r.w for r in got] == [[t] if len(t) <= 1350 else [t[i : i + 900] for i in range(0, len(t), 780)] for t in texts]
